@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, unique: Column, n_rows: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, unique: Column, n_rows: int, may_broadcast: bool = False) -> DataFrame:
     """rows left-joined with table on the string or binary column key, safe from hot keys and without a second scan of rows.
 
     table has one row a key; its column weight holds how many rows have that key. Keys with over n_rows/HEAVY rows
