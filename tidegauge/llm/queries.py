@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lattice, mixing, near_dup, repetition, roles, token_counts, token_files, warc
+from . import common, decontaminate, lattice, mixing, near_dup, repetition, roles, surrogates, token_counts, token_files, warc
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).drop("payload", "url")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.repaired(common.table(spark, sf_dir, "conversations"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
+    "op7_surrogates": op7_surrogates,
     "op8_role_repair": op8_role_repair,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
