@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .public_vocab import CACHE_WORDS, default_path, word_ids
+from .public_vocab import default_path, word_ids
 
 #: Words in the broadcast table, and in each list on its way there: its size has that bound at any input.
 FREQUENT = 50_000
 #: Bytes of a word from which it isn't tabled.
 LONGEST_WORD = 64
+#: Words in a worker's cache, the second tier.
+CACHE_WORDS = 300_000
 
 Summary = dict[bytes, int]
 
@@ -31,14 +33,15 @@ def _bounded(counts: Summary, most: int) -> Summary:
     return counts if len(counts) <= most else dict(Counter(counts).most_common(most))
 
 
-def frequent_words(docs: DataFrame, text: str, most: int = FREQUENT) -> list[bytes]:
+def frequent_words(docs: DataFrame, text: str, path: str, most: int = FREQUENT) -> list[bytes]:
     """The words found most often, by lists of at most `most` words from each task, merged in a tree."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
+        ids = word_ids(path)
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts.update((t or b"").split())
+                counts.update(ids.words(t or b""))
                 if len(counts) > 8 * most:
                     counts = Counter(_bounded(counts, 2 * most))
         own = {w: c for w, c in _bounded(counts, most).items() if len(w) < LONGEST_WORD and c > 1}
@@ -60,18 +63,16 @@ class Lengths(dict):
         self.path, self.second = path, {}
 
     def of(self, texts: list[bytes]) -> list[int]:
-        own = [t.split() for t in texts]
-        new = set().union(*own) - self.keys() - self.second.keys()
+        ids = word_ids(self.path)
+        own = [ids.words(t) for t in texts]
+        new = {w for w in set().union(*own) if w not in self and w not in self.second}
         if new:
             if len(self.second) + len(new) > CACHE_WORDS:
                 self.second = {}
-                new = set().union(*own) - self.keys()
-            ids = word_ids(self.path)
+                new = {w for w in set().union(*own) if w not in self}
+            ids.fill(new)
             size = ids.dtype.itemsize
-            words = list(new)
-            for at in range(0, len(words), 20_000):
-                part = [w.decode("utf-8", "replace") for w in words[at : at + 20_000]]
-                self.second.update(zip(words[at : at + 20_000], [len(e.ids) for e in ids.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+            self.second.update((w, len(ids[w]) // size) for w in new)
         return [sum(map(self.__getitem__, w)) for w in own]
 
     def __missing__(self, w: bytes) -> int:
@@ -90,7 +91,7 @@ def token_counts(docs: DataFrame, text: str = "text", *, path: str | None = None
     """
     path = path or default_path("word_bpe_49k.json")
     spark = docs.sparkSession
-    words = frequent_words(docs, text, frequent)
+    words = frequent_words(docs, text, path, frequent)
     table = Lengths(path, b"", b"")
     counts = [n for at in range(0, len(words), 5000) for n in table.of(words[at : at + 5000])]
     short = [(w, c) for w, c in zip(words, counts) if c < 256]

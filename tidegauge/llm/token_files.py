@@ -9,7 +9,8 @@ A file holds the texts of a range of doc_id in order. Little-endian, one after t
     data            the bytes of each id's rank, lowest first
 
 The ranks (the most frequent id has rank 0; ties: the smaller id) are a Parquet table beside the files, as is the list of
-files with the ids before each. Files are written whole under a name of their own and then renamed, so a task that runs
+files. Texts are tokenised once, after they were ranged by doc_id; their ids wait, packed, in a table that also has each
+part's count of every id, until all counts are known. Files are written whole under a name of their own and then renamed, so a task that runs
 again after its executor was lost leaves the same files.
 """
 
@@ -23,17 +24,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, settled
 from .public_vocab import default_path, word_ids
 
 MAGIC = b"TGIDS\x01\0\0"
 NO_ID = -(1 << 63)
 #: Ids in a file, about; a file may pass it by one text.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 
 #: For each control byte: the lengths of its four ids.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -71,10 +73,10 @@ def decode_stream(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def pack(doc_ids: list[int | None], counts: list[int], ranks: np.ndarray) -> bytes:
+def pack(docs: bytes, counts: bytes, ranks: np.ndarray) -> bytes:
+    """A file of the little-endian doc_ids and numbers of ids of its texts, and all their ranks."""
     control, data = encode_stream(ranks)
-    ids = np.array([NO_ID if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, struct.pack("<QQQ", len(ids), len(ranks), len(data)), ids.tobytes(), np.array(counts, "<u4").tobytes(), control, data])
+    return b"".join([MAGIC, struct.pack("<QQQ", len(docs) // 8, len(ranks), len(data)), docs, counts, control, data])
 
 
 def unpack(file: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,34 +123,48 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 def _encoded(path: str, texts: list[bytes], end: bytes) -> Iterator[bytes]:
     ids = word_ids(path)
     for at in range(0, len(texts), 500):
-        own = [t.split() for t in texts[at : at + 500]]
+        own = [ids.words(t) for t in texts[at : at + 500]]
         ids.fill(set().union(*own))
         for w in own:
             yield b"".join(map(ids.__getitem__, w)) + end
 
 
-def id_ranks(docs: DataFrame, text: str, path: str, end_id: int) -> np.ndarray:
-    """Rank of each id of the vocabulary by how often all texts have it; each task sends one count an id at most."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
-        n = np.zeros(max(ids.tokenizer.get_vocab_size(), end_id + 1), np.int64)
-        end = np.array([end_id], ids.dtype).tobytes()
-        for b in batches:
-            held = []
-            for e in _encoded(path, _texts(b), end):
+def _parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int, file_ids: int) -> Iterator[pa.RecordBatch]:
+    """From rows (_id, _text) in order: a row for each file to be, with its ids, packed, and how often it has each."""
+    ids, shard, made = word_ids(path), TaskContext.get().partitionId(), 0
+    end = np.array([end_id], ids.dtype).tobytes()
+    docs, counts, held, n = [], [], [], 0
+
+    def close() -> pa.RecordBatch:
+        nonlocal docs, counts, held, n, made
+        raw = b"".join(held)
+        times = np.bincount(np.frombuffer(raw, ids.dtype))
+        used = np.flatnonzero(times)
+        row = {"name": f"{shard:06d}-{made:06d}.ids", "n_docs": len(docs), "n_ids": n, "docs": np.array([NO_ID if d is None else d for d in docs], "<i8").tobytes(), "counts": np.array(counts, "<u4").tobytes(), "packed": zstandard.compress(raw, 1), "used": used, "times": times[used]}
+        docs, counts, held, n, made = [], [], [], 0, made + 1
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row.values(), _PARTS)], schema=_PARTS)
+
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            for d, e in zip(part.column("_id").to_pylist(), _encoded(path, _texts(part), end)):
+                docs.append(d)
+                counts.append(len(e) // ids.dtype.itemsize)
                 held.append(e)
-                if len(held) >= 500:
-                    n += np.bincount(np.frombuffer(b"".join(held), ids.dtype), minlength=len(n))
-                    held = []
-            n += np.bincount(np.frombuffer(b"".join(held), ids.dtype), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
-
-    rows = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    size = max(word_ids(path).tokenizer.get_vocab_size(), end_id + 1)
+                n += counts[-1]
+                if n >= file_ids:
+                    yield close()
+    if docs:
+        yield close()
+
+
+_PARTS = pa.schema({"name": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "packed": pa.binary(), "used": pa.list_(pa.int64()), "times": pa.list_(pa.int64())})
+
+
+def _ranks(parts: DataFrame, size: int) -> np.ndarray:
+    """Rank of each id by how often parts have it; what is collected is one row an id of the vocabulary."""
     n = np.zeros(size, np.int64)
-    for r in rows:
+    for r in parts.select(F.explode(F.arrays_zip("used", "times")).alias("x")).groupBy(F.col("x.used").alias("id")).agg(F.sum("x.times").alias("n")).collect():
         n[r.id] = r.n
     rank = np.empty(size, np.uint32)
     rank[np.lexsort((np.arange(size), -n))] = np.arange(size)
@@ -164,39 +180,24 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     spark, path = docs.sparkSession, path or default_path("word_bpe_49k.json")
     folder = folder or scratch(spark, "token-files")
     out = TokenFiles(f"{folder}/data", f"{folder}/ranks", f"{folder}/files")
-    rank = id_ranks(docs, text, path, end_id)
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
+    parts = settled(ranged.mapInArrow(lambda b: _parts(b, path, end_id, file_ids), "name string, n_docs bigint, n_ids bigint, docs binary, counts binary, packed binary, used array<bigint>, times array<bigint>"), "token-parts")
+    ids = word_ids(path)
+    rank = _ranks(parts, max(ids.tokenizer.get_vocab_size(), end_id + 1))
     spark.createDataFrame(pa.table({"id": np.arange(len(rank)), "rank": rank.astype(np.int64)})).coalesce(1).write.parquet(out.ranks)
-    ranks, data = spark.sparkContext.broadcast(rank), out.data
+    sent, data, kind = spark.sparkContext.broadcast(rank), out.data, ids.dtype
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
-        end, shard = np.array([end_id], ids.dtype).tobytes(), TaskContext.get().partitionId()
-        docs_, counts, parts, held, done = [], [], [], 0, []
-
-        def close() -> None:
-            nonlocal docs_, counts, parts, held
-            name = f"{shard:06d}-{len(done):06d}.ids"
-            every = np.frombuffer(b"".join(parts), ids.dtype)
-            write_whole(data, name, pack(docs_, counts, ranks.value[every]))
-            done.append((name, len(docs_), held))
-            docs_, counts, parts, held = [], [], [], 0
-
         for b in batches:
-            for d, e in zip(b.column("_id").to_pylist(), _encoded(path, _texts(b), end)):
-                docs_.append(d)
-                counts.append(len(e) // ids.dtype.itemsize)
-                parts.append(e)
-                held += counts[-1]
-                if held >= file_ids:
-                    close()
-        if docs_:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["name", "n_docs", "n_ids"])
+            for i in range(b.num_rows):
+                name, _, n, own, counts, packed = (c[i].as_py() for c in b.columns)
+                every = np.frombuffer(zstandard.decompress(packed, n * kind.itemsize), kind)
+                write_whole(data, name, pack(own, counts, sent.value[every]))
+            yield b.select(["name", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text").mapInArrow(written, "name string, n_docs bigint, n_ids bigint")
-    names.write.parquet(out.files)
+    parts.select("name", "n_docs", "n_ids", "docs", "counts", "packed").mapInArrow(written, "name string, n_docs bigint, n_ids bigint").write.parquet(out.files)
     return out
 
 
