@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "rolling_features"
+FLAGSHIP = "regime_transitions"
+
+for _part in ("bars", "features", "labels", "models"):
+    _m = import_module(f"tidegauge.plans.{_part}")
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
