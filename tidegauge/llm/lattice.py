@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .public_vocab import CACHE_WORDS, default_path
+from .public_vocab import default_path
 
 #: Words whose counts are broadcast. Words that a task holds before it hands on their counts.
 FREQUENT, HELD = 100_000, 300_000
@@ -86,65 +86,72 @@ def model_of(first: dict[bytes, float], inner: dict[bytes, float], single: list[
     return Model(_with_beginnings({p: log(n / start) for p, n in first.items()}), _with_beginnings({p: log(n / after) for p, n in inner.items()}), [log(n / after) for n in single], log(words / after))
 
 
-def edges(word: bytes, model: Model) -> list[list[tuple[int, float, object]]]:
-    """For each position in a word: (start, log probability, piece) of all edges that end there; the boundary's start is -1.
+def forward(word: bytes, model: Model) -> list[float]:
+    """For each position in a word: log of the summed probability of all ways to it through pieces that end there.
 
-    Pieces begin and end between characters; single bytes are always possible.
+    Pieces begin and end between characters; single bytes are always possible, so every position is reached.
     """
-    n = len(word)
-    into: list[list[tuple[int, float, object]]] = [[] for _ in range(n + 1)]
+    n, exp, log1p = len(word), math.exp, math.log1p
+    a: list = [None] * (n + 1)
+    a[0] = model.first[b""]
     get = model.first.get
-    into[0].append((-1, model.first[b""], b""))
     for j in range(1, n + 1):
         p = get(word[:j], 0)
         if p == 0:
             break
-        if p is not None:
-            into[j].append((-1, p, word[:j]))
+        a[j] = p
     get, single = model.inner.get, model.single
     for i in range(n):
-        into[i + 1].append((i, single[word[i]], word[i]))
+        now = a[i]
+        v, w = now + single[word[i]], a[i + 1]
+        a[i + 1] = v if w is None else w + log1p(exp(v - w)) if v < w else v + log1p(exp(w - v))
         if word[i] & 0xC0 != 0x80:
             for j in range(i + 1, n + 1):
                 p = get(word[i:j], 0)
+                if p is None:
+                    continue
                 if p == 0:
                     break
-                if p is not None:
-                    into[j].append((i, p, (word[i:j],)))
-    return into
-
-
-def forward(into: list[list[tuple[int, float, object]]]) -> list[float]:
-    """Log of the summed probability of all ways to each position, and last the boundary's 0, found at index -1."""
-    a = [0.0] * (len(into) + 1)
-    for j, found in enumerate(into):
-        x = [a[i] + p for i, p, _ in found]
-        if len(x) == 1:
-            a[j] = x[0]
-        else:
-            m = max(x)
-            a[j] = m + math.log(sum([math.exp(v - m) for v in x]))
+                v, w = now + p, a[j]
+                a[j] = v if w is None else w + log1p(exp(v - w)) if v < w else v + log1p(exp(w - v))
     return a
 
 
 def log_marginal(word: bytes, model: Model) -> float:
     """Natural log of the probability of a word over all its ways through pieces."""
-    return forward(edges(word, model))[len(word)] + model.stop
+    return forward(word, model)[-1] + model.stop
 
 
 def expected(word: bytes, model: Model, counts: dict) -> None:
     """Adds to counts how often a word holds each piece in expectation: bytes for a first piece, (bytes,) for one that follows, int for a byte."""
-    into = edges(word, model)
-    a = forward(into)
-    share = [0.0] * len(a)
-    share[len(word)] = 1.0
-    for j in range(len(word), -1, -1):
-        if (s := share[j]) > 0.0:
-            s, b = math.log(s), a[j]
-            for i, p, piece in into[j]:
-                x = math.exp(s + a[i] + p - b)
-                share[i] += x
-                counts[piece] = counts.get(piece, 0.0) + x
+    a = forward(word, model)
+    n, exp, log1p = len(word), math.exp, math.log1p
+    b: list = [None] * n + [0.0]
+    z, get, single = a[-1], model.inner.get, model.single
+    for i in range(n - 1, -1, -1):
+        k = word[i]
+        w, at = single[k] + b[i + 1], a[i] - z
+        counts[k] = counts.get(k, 0.0) + exp(at + w)
+        if k & 0xC0 != 0x80:
+            for j in range(i + 1, n + 1):
+                p = get(word[i:j], 0)
+                if p is None:
+                    continue
+                if p == 0:
+                    break
+                v, piece = p + b[j], (word[i:j],)
+                counts[piece] = counts.get(piece, 0.0) + exp(at + v)
+                w = w + log1p(exp(v - w)) if v < w else v + log1p(exp(w - v))
+        b[i] = w
+    get = model.first.get
+    counts[b""] = counts.get(b"", 0.0) + exp(model.first[b""] + b[0] - z)
+    for j in range(1, n + 1):
+        p = get(word[:j], 0)
+        if p is None:
+            continue
+        if p == 0:
+            break
+        counts[word[:j]] = counts.get(word[:j], 0.0) + exp(p + b[j] - z)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -153,33 +160,48 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, c of a table's only column, binary; each task adds up what it holds before it hands it on."""
+    """word, c (how often in rows whose second column is true) of a table (text, binary; boolean); a task adds up what it holds before it hands it on."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
+        others: set[bytes] = set()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            more = [w for w in others if w not in held]
+            return pa.RecordBatch.from_arrays([pa.array([*held, *more], pa.binary()), pa.array([*held.values(), *[0] * len(more)], pa.int64())], names=["word", "c"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update((t or b"").lower().split())
-                if len(held) > HELD:
+            for t, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (held if counts else others).update((t or b"").lower().split())
+                if len(held) + len(others) > HELD:
                     yield out()
                     held.clear()
-        if held:
-            yield out()
+                    others.clear()
+        yield out()
 
     return texts.mapInArrow(counted, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, text: str = "text") -> Trained:
-    counts = settled(word_counts(docs.select(F.col(text).cast("binary"))), "word-counts")
-    n, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    texts = docs.count()
+def train(docs: DataFrame, learns: Column, text: str = "text") -> Trained:
+    """Word counts of the rows of docs for which learns is true; counts has every word of docs, those of others with 0."""
+    counts = settled(word_counts(docs.select(F.col(text).cast("binary"), learns.alias("learns"))), "word-counts")
+    n, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    texts = docs.where(learns).count()
     return Trained(counts, texts, n + texts, distinct + (texts > 0), (once + 0.5) / (once + 2 * twice + 1))
 
 
+def frequent_words(trained: Trained, most: int = FREQUENT) -> Column:
+    """A condition on counts that `most` words meet at most: counts of a quarter of an octave and more are taken together, down to where words get too many."""
+    octave = F.floor(4 * F.log2("c"))
+    n, least = 0, None
+    for r in trained.counts.where("c > 0").groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("o")).collect():
+        n += r.n
+        if n > most:
+            break
+        least = r.o
+    return F.lit(False) if least is None else (F.col("c") > 0) & (octave >= least)
+
+
 def fit(trained: Trained, path: str, rounds: int = ROUNDS) -> Model:
     """Scores of the vocabulary's pieces by expectation-maximisation over the distinct training words, at first all alike.
 
@@ -188,7 +210,7 @@ def fit(trained: Trained, path: str, rounds: int = ROUNDS) -> Model:
     spark = trained.counts.sparkSession
     first, inner = vocabulary(path)
     model = model_of(dict.fromkeys(first, 1.0), dict.fromkeys(inner, 1.0), [0.01] * 256, float(len(inner)))
-    words = trained.counts.select("word").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    words = trained.counts.where("c > 0").select("word").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
@@ -208,75 +230,79 @@ def fit(trained: Trained, path: str, rounds: int = ROUNDS) -> Model:
     return model
 
 
-class Scorer:
-    """A worker's tables: log10 marginals of the words it has met, and counts of frequent words."""
+class Frequent:
+    """A worker's table of frequent words: log10 of their base and model probabilities."""
 
-    def __init__(self, model: Model, words: bytes, counts: bytes, trained: tuple[int, int, float, float]):
-        self.model, self.marginal = model, {}
-        tokens, distinct, discount, self.spared = trained
-        c = np.frombuffer(counts, "<i8")
-        self.base = dict(zip(words.split(b"\n"), np.log10((c + 1) / (tokens + distinct + 1)).tolist())) if len(c) else {}
-        self.whole = dict(zip(self.base, ((c - discount) / tokens).tolist())) if len(c) else {}
+    def __init__(self, words: bytes, base: bytes, score: bytes):
+        own = words.split(b"\n") if base else []
+        self.base, self.score = dict(zip(own, np.frombuffer(base).tolist())), dict(zip(own, np.frombuffer(score).tolist()))
 
-    def of(self, text: bytes) -> tuple[int, int, float, float, list[bytes], list[float]]:
-        """(words, known among the frequent, their base score, their score, the other words, log10 of those as ways through pieces)."""
+    def of(self, text: bytes) -> tuple[int, int, float, float, list[bytes]]:
+        """(words, those in the table, the base score and score of these, the other words)."""
         words = text.lower().split()
-        new = [w for w in set(words) if w not in self.marginal]
-        if len(self.marginal) + len(new) > CACHE_WORDS:
-            self.marginal = {}
-            new = set(words)
-        for w in new:
-            x = log_marginal(w, self.model) / math.log(10) + self.spared
-            self.marginal[w] = math.log10(c + 10**x) if (c := self.whole.get(w)) else x
         got = list(map(self.base.get, words))
         rare = [w for w, v in zip(words, got) if v is None]
-        ways = list(map(self.marginal.__getitem__, rare))
-        score = math.fsum(map(self.marginal.__getitem__, words)) - math.fsum(ways)
-        return len(words), len(words) - len(rare), math.fsum(v for v in got if v is not None), score, rare, ways
+        score = map(self.score.get, words)
+        return len(words), len(words) - len(rare), math.fsum(v for v in got if v is not None), math.fsum(v for v in score if v is not None), rare
+
+
+_frequent: dict[str, Frequent] = {}
 
 
-_scorers: dict[str, Scorer] = {}
+def word_scores(trained: Trained, model: Model) -> DataFrame:
+    """word, c, base and score of each word of trained.counts: log10 of its base and model probability."""
+    spark = trained.counts.sparkSession
+    sent, spared = spark.sparkContext.broadcast(model), trained.spared()
+
+    def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ways = [log_marginal(w, sent.value) / math.log(10) + spared for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ways, pa.float64())], names=["word", "c", "way"])
+
+    dealt = trained.counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    whole = (F.col("c") - F.lit(trained.discount)) / F.lit(float(max(trained.tokens, 1)))
+    score = F.when(F.col("c") > 0, F.log10(whole + F.pow(F.lit(10.0), "way"))).otherwise(F.col("way"))
+    base = F.log10((F.col("c") + 1) / F.lit(float(trained.tokens + trained.distinct + 1)))
+    return dealt.mapInArrow(marginals, "word binary, c bigint, way double").select("word", "c", base.alias("base"), score.alias("score"))
 
 
-def scores(docs: DataFrame, trained: Trained, model: Model, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
+def scores(docs: DataFrame, trained: Trained, model: Model, held_out: Column, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs, which train() had too.
 
     Tokens are a text's words and one end. n_known: tokens found in training; base_score: log10 probability by add-one
     counts; score: by the model. Null and empty texts are the end alone. Rows of equal doc_id are scored apart. Any text
     is scored whole; log space knows no underflow. Without training texts the pieces' first scores hold.
     """
     spark = docs.sparkSession
-    top = trained.counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
-    packed = (b"\n".join(bytes(r.word) for r in top), np.array([r.c for r in top], "<i8").tobytes())
-    tokens, texts, of = trained.tokens, trained.texts, (trained.tokens, trained.distinct, trained.discount, trained.spared())
-    sent, key = spark.sparkContext.broadcast((model, *packed, of)), uuid.uuid4().hex
-    whole = tokens + trained.distinct + 1
+    words = settled(word_scores(trained, model), "word-scores")
+    often = frequent_words(trained, frequent)
+    top = words.where(often).collect()
+    sent, key = spark.sparkContext.broadcast((b"\n".join(bytes(r.word) for r in top), np.array([r.base for r in top]).tobytes(), np.array([r.score for r in top]).tobytes())), uuid.uuid4().hex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*sent.value)
-        scorer = _scorers[key]
+        if key not in _frequent:
+            _frequent.clear()
+            _frequent[key] = Frequent(*sent.value)
+        table = _frequent[key]
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                n, known, base, score, rare, ways = zip(*[scorer.of(t or b"") for t in part.column(3).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(ways, pa.list_(pa.float64()))], names=["row", "doc_id", "held_out", "n", "known", "base", "score", "rare", "ways"])
+                n, known, base, score, rare = zip(*[table.of(t or b"") for t in part.column(3).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "n", "known", "base", "score", "rare"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), is_held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("binary").alias("t"))
-    rows = settled(rows.mapInArrow(scored, f"row bigint, doc_id {kind}, held_out boolean, n bigint, known bigint, base double, score double, rare array<binary>, ways array<double>"), "scored")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("binary").alias("t"))
+    rows = settled(rows.mapInArrow(scored, f"row bigint, doc_id {kind}, held_out boolean, n bigint, known bigint, base double, score double, rare array<binary>"), "scored")
     own = rows.select("row", F.struct("doc_id", "held_out", "n").alias("of"), "known", "base", "score")
-    c = F.coalesce("c", F.lit(0))
-    others = rows.select("row", F.explode(F.arrays_zip("rare", "ways")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.ways").alias("way")).join(trained.counts, "word", "left")
-    score = F.when(c > 0, F.log10((c - F.lit(trained.discount)) / F.lit(tokens) + F.pow(F.lit(10.0), "way"))).otherwise(F.col("way"))
-    others = others.groupBy("row").agg(F.sum((c > 0).cast("long")).alias("known"), F.sum(F.log10((c + 1) / F.lit(float(whole)))).alias("base"), F.sum(score).alias("score"))
+    others = rows.select("row", F.explode("rare").alias("word")).join(words.where(~often), "word")
+    others = others.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     both = own.unionByName(others, allowMissingColumns=True).groupBy("row").agg(F.first("of", ignorenulls=True).alias("of"), *[F.sum(x).alias(x) for x in ("known", "base", "score")])
-    end = math.log10((texts + 1) / whole)
-    return both.select("of.doc_id", "of.held_out", (F.col("of.n") + 1).alias("n_tokens"), (F.col("known") + int(texts > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + end).alias("base_score"), (F.col("score") + trained.end()).alias("score"))
+    end = math.log10((trained.texts + 1) / (trained.tokens + trained.distinct + 1))
+    return both.select("of.doc_id", "of.held_out", (F.col("of.n") + 1).alias("n_tokens"), (F.col("known") + int(trained.texts > 0)).alias("n_known"), F.lit(trained.tokens).cast("long").alias("train_tokens"), (F.col("base") + end).alias("base_score"), (F.col("score") + trained.end()).alias("score"))
 
 
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, path: str | None = None) -> DataFrame:
     """scores() of all rows of docs by a model learned from those that is_held_out() leaves; see there for odd rows."""
-    trained = train(docs.where(~is_held_out(F.col(doc_id))), text)
-    return scores(docs, trained, fit(trained, path or default_path("piece_bpe_32k.model")), doc_id, text)
+    held_out = is_held_out(F.col(doc_id))
+    trained = train(docs, ~held_out, text)
+    return scores(docs, trained, fit(trained, path or default_path("piece_bpe_32k.model")), held_out, doc_id, text)
