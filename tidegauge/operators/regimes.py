@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,7 +171,9 @@ def mean_probabilities(ps: list[str], weights: list[float] | None = None) -> Col
     """Weighted mean of arrays of probabilities; equal weights by default."""
     weights = weights or [1.0] * len(ps)
     total = sum(weights)
-    out = F.transform(ps[0], lambda v: v * (weights[0] / total))
-    for p, w in zip(ps[1:], weights[1:]):
-        out = F.zip_with(out, F.col(p), lambda a, b, w=w: a + b * (w / total))
-    return out
+    parts = [F.transform(p, _times(w / total)) for p, w in zip(ps, weights)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
+
+
+def _times(w: float):
+    return lambda v: v * w
