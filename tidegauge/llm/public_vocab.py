@@ -13,11 +13,11 @@ import numpy as np
 
 #: Entries of a generation of a worker's cache. When one is full it becomes the old one, from which words that are met
 #: again move on, and the old one goes: memory stays bounded, and frequent words stay.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Words encoded in one call.
 CALL = 20_000
 
-#: Lower-case ASCII and Latin letters up to U+017E that no normalisation takes apart (U+0130 is left out).
+#: ASCII letters in lower case and Latin ones up to U+017E that no normalisation takes apart (U+0130 is left out).
 LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbe])+")
 
 
@@ -90,7 +90,9 @@ class WordIds(dict):
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def _latin(self, words: list[bytes]) -> list[bytes]:
-        text = b" ".join(words).decode().lower().encode().decode("latin-1").translate(self.letters)
+        text = b" ".join(words).decode().lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
         ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
         stop = np.flatnonzero(self.final[ids]) + 1
         if len(stop) != len(words):
@@ -105,15 +107,17 @@ class WordIds(dict):
             self.clear()
             new = list(words)
         old = self.old
-        latin, others = [], []
+        ascii_, latin, others = [], [], []
         for w in new:
             if (x := old.get(w)) is not None:
                 self[w] = x
-            elif self.by_letters and LATIN.fullmatch(w):
+            elif self.by_letters and w.isalpha():
+                ascii_.append(w)
+            elif self.by_letters and LATIN.fullmatch(w.lower()):
                 latin.append(w)
             else:
                 others.append(w)
-        for encode, own in ((self._latin, latin), (self._several, others)):
+        for encode, own in ((self._latin, ascii_), (self._latin, latin), (self._several, others)):
             for at in range(0, len(own), CALL):
                 part = own[at : at + CALL]
                 self.update(zip(part, encode(part)))
