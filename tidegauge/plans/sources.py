@@ -75,9 +75,9 @@ def store_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.read("view", "H1")
 
 
-@query("SELECT * FROM (VALUES ('BTC/USD', 'BTCUSDT', 'XXBTZUSD'), ('eth_usd', 'ETHUSDT', 'XETHZUSD'), ('BTC-GBP', 'BTCGBP', 'XBTGBP'), ('SOLUSDT', 'SOLUSDT', 'SOLUSDT')) AS t(symbol, klines, ohlc)")
+@query("SELECT * FROM (VALUES ('BTC/USD', 'BTCUSDT', 'XBTUSD'), ('eth_usd', 'ETHUSDT', 'ETHUSD'), ('ADA-GBP', 'ADAGBP', 'ADA-GBP'), ('SOLUSDT', 'SOLUSDT', 'SOLUSD')) AS t(symbol, klines, ohlc)")
 def symbol_codes(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([("BTC/USD",), ("eth_usd",), ("BTC-GBP",), ("SOLUSDT",)], "symbol string")
+    asked = spark.createDataFrame([("BTC/USD",), ("eth_usd",), ("ADA-GBP",), ("SOLUSDT",)], "symbol string")
     return asked.select("symbol", P.symbol_code("klines", F.col("symbol")).alias("klines"), P.symbol_code("ohlc", F.col("symbol")).alias("ohlc"))
 
 
@@ -85,3 +85,9 @@ def symbol_codes(spark: SparkSession, d: str) -> DataFrame:
 def time_pages(spark: SparkSession, d: str) -> DataFrame:
     made = spark.range(1).select(F.posexplode(P.pages(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-01-10").cast("timestamp_ntz"), 60)).alias("page", "p"))
     return made.select(F.col("page").cast("long").alias("page"), "p.start", "p.stop")
+
+
+@query("SELECT * FROM (VALUES ('M5', '5m', '5', 'M5'), ('H4', '4h', '240', 'H4'), ('1d', '1d', '1440', 'D'), ('S5', 'S5', 'S5', 'S5')) AS t(timeframe, klines, ohlc, candles)")
+def timeframe_codes(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([("M5",), ("H4",), ("1d",), ("S5",)], "timeframe string")
+    return asked.select("timeframe", *[P.timeframe_code(k, F.col("timeframe")).alias(k) for k in ("klines", "ohlc", "candles")])

@@ -50,41 +50,60 @@ def keyed_series(df: DataFrame, payload: str = "payload") -> DataFrame:
 PARSERS = {"klines": klines, "ohlc": ohlc_by_pair, "candles": candles, "series": keyed_series}
 
 
-# Codes of timeframes by service.
+#: Minutes of the timeframes that services share, by our code.
+MINUTES = {"M1": 1, "M5": 5, "M15": 15, "M30": 30, "H1": 60, "H4": 240, "D": 1440, "W": 10080}
+#: The short form of each: 1m, 1h, 1d.
+SHORT = {k: f"{k[1:] or 1}{k[0].lower()}" for k in MINUTES}
+# The granularities of the candle service, other names for some, and the names that the series service takes.
+GRANULARITIES = ("S5", "S10", "S15", "S30", "M1", "M2", "M4", "M5", "M10", "M15", "M30", "H1", "H2", "H3", "H4", "H6", "H8", "H12", "D", "W", "M")
+GRANULARITY_NAMES = {"1min": "M1", "5min": "M5", "15min": "M15", "30min": "M30", "1h": "H1", "4h": "H4", "1d": "D", "1w": "W", "1m": "M"}
+SERIES_NAMES = {"1min": ("1min",), "5min": ("5min",), "15min": ("15min",), "30min": ("30min",), "60min": ("60min",), "1h": ("1h", "1hour", "hour", "h"), "1d": ("1d", "1day", "day", "d", "daily"), "1w": ("1w", "1week", "week", "w", "weekly"), "1m": ("1m", "1month", "month", "m", "monthly")}
 TIMEFRAMES = {
-    "klines": {"M1": "1m", "M5": "5m", "M15": "15m", "M30": "30m", "H1": "1h", "H2": "2h", "H4": "4h", "H6": "6h", "H8": "8h", "H12": "12h", "D": "1d", "D1": "1d", "W": "1w", "W1": "1w", "M": "1M", "MN": "1M"},
-    "ohlc": {"M1": "1", "M5": "5", "M15": "15", "M30": "30", "H1": "60", "H4": "240", "D": "1440", "W": "10080"},
-    "candles": {"1M": "M1", "5M": "M5", "15M": "M15", "30M": "M30", "1H": "H1", "4H": "H4", "DAILY": "D", "WEEKLY": "W", "MONTHLY": "M"},
-    "series": {"m1": "1min", "m5": "5min", "m15": "15min", "m30": "30min", "h1": "60min", "1min": "1min", "5min": "5min", "15min": "15min", "30min": "30min", "60min": "60min", "d": "daily", "daily": "daily", "w": "weekly", "weekly": "weekly"},
+    "klines": SHORT | {v: v for v in SHORT.values()},
+    "ohlc": {name: str(m) for k, m in MINUTES.items() for name in (k, SHORT[k])},
+    "candles": {g: g for g in GRANULARITIES} | GRANULARITY_NAMES,
+    "series": {name: code for code, names in SERIES_NAMES.items() for name in names},
 }
-STRICT = {"series"}
 
 
 def timeframe_code(kind: str, timeframe: Column) -> Column:
-    """A service's code for a timeframe; unknown ones pass through, or raise where the service takes no others."""
-    codes = TIMEFRAMES[kind]
-    asked = F.lower(timeframe) if kind == "series" else F.upper(timeframe) if kind == "candles" else timeframe
-    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), asked)
-    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown timeframe "), timeframe)).cast("string") if kind in STRICT else timeframe)
+    """A service's code for a timeframe; unknown ones pass through, or raise for the series service, which takes no others."""
+    asked = F.lower(timeframe) if kind == "series" else timeframe
+    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in TIMEFRAMES[kind].items() for x in kv]), asked)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown timeframe "), timeframe)).cast("string") if kind == "series" else timeframe)
 
 
-# Pairs that a service names in its own way.
-PAIRS = {"BTC/USD": "XXBTZUSD", "BTC/EUR": "XXBTZEUR", "ETH/USD": "XETHZUSD", "ETH/EUR": "XETHZEUR", "XRP/USD": "XXRPZUSD", "LTC/USD": "XLTCZUSD", "SOL/USD": "SOLUSD", "ADA/USD": "ADAUSD", "DOT/USD": "DOTUSD", "DOGE/USD": "XDGUSD"}
+# What the OHLC service calls the pairs of these currencies; symbols that the series service is asked for most.
+PAIRS = {"BTC": "XBTUSD", "ETH": "ETHUSD", "XRP": "XRPUSD", "SOL": "SOLUSD"}
+STOCKS = ("AAPL", "MSFT", "GOOGL", "AMZN", "FB", "TSLA", "NVDA", "JPM", "JNJ", "V", "PG", "UNH", "HD", "MA", "DIS", "PYPL", "BAC", "ADBE", "NFLX", "CMCSA", "PFE", "INTC", "VZ", "T", "KO")
 
 
 def symbol_code(kind: str, symbol: Column) -> Column:
     """A symbol as a service writes it."""
+    upper = F.upper(symbol)
+    plain = F.regexp_replace(upper, "[_/-]", "")
     if kind == "klines":
-        plain = F.regexp_replace(F.upper(symbol), "[_/-]", "")
         return F.when(plain.endswith("USD"), F.concat(plain, F.lit("T"))).otherwise(plain)
     if kind == "ohlc":
-        asked = F.regexp_replace(F.upper(symbol), "[_-]", "/")
-        known = F.try_element_at(F.create_map(*[F.lit(x) for kv in PAIRS.items() for x in kv]), asked)
-        plain = F.regexp_replace(asked, "/", "")
-        return F.coalesce(known, F.when(plain.startswith("BTC"), F.concat(F.lit("XBT"), F.substr(plain, F.lit(4)))).otherwise(plain))
+        out = upper
+        for currency, pair in PAIRS.items():
+            out = F.when(plain.startswith(currency), pair).otherwise(out)
+        return out
     return symbol
 
 
+def traded(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """symbol: the ones of a payload {"symbols": [{symbol, status}]} that are traded, in order."""
+    rows = df.select(F.explode(F.from_json(payload, "struct<symbols: array<struct<symbol: string, status: string>>>")["symbols"]).alias("r"))
+    return rows.where("r.status = 'TRADING'").select("r.symbol").distinct().orderBy("symbol")
+
+
+def pair_names(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """symbol: the keys of a payload {"result": {pair: ..}}, in order."""
+    keys = F.map_keys(F.from_json(F.get_json_object(payload, "$.result"), "map<string,string>"))
+    return df.select(F.explode(keys).alias("symbol")).distinct().orderBy("symbol")
+
+
 def pages(start: Column, stop: Column, seconds: int, most: int = 5000) -> Column:
     """Pages (start, stop) of at most `most` bars of that many seconds; a page starts a second after the one before stops."""
     width = F.make_dt_interval(secs=F.lit(float(seconds * most)))
