@@ -13,7 +13,7 @@ import numpy as np
 
 #: Entries of a generation of a worker's cache. When one is full it becomes the old one, from which words that are met
 #: again move on, and the old one goes: memory stays bounded, and frequent words stay.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Words encoded in one call.
 CALL = 20_000
 
@@ -73,7 +73,7 @@ class WordIds(dict):
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
         if self.by_letters:
-            self.merges = Tokenizer.from_file(path)
+            self.merges = Tokenizer(self.tokenizer.model)
             self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
         self.old: dict[bytes, bytes] = {}

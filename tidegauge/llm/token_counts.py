@@ -73,6 +73,8 @@ class Lengths(dict):
             ids.fill(new)
             size = ids.dtype.itemsize
             self.second.update((w, len(ids[w]) // size) for w in new)
+            ids.clear()  # lengths are what is kept here
+            ids.old = {}
         return [sum(map(self.__getitem__, w)) for w in own]
 
     def __missing__(self, w: bytes) -> int:
