@@ -37,10 +37,10 @@ def test_marginal_sums_over_all_segmentations(word):
 @settings(deadline=None, max_examples=100)
 @given(st.text(alphabet="theaéb", min_size=1, max_size=9))
 def test_expected_pieces_cover_the_word(word):
-    counts = {}
-    L.expected(word.encode(), MODEL, counts)
-    covered = sum(v * (1 if isinstance(k, int) else len(k[0]) if isinstance(k, tuple) else len(k)) for k, v in counts.items())
-    assert covered == pytest.approx(len(word.encode()))
+    own = L.Expectation(MODEL)
+    own.add(word.encode())
+    assert sum(n * (1 if kind == 2 else len(piece)) for kind, piece, n in own.found()) == pytest.approx(len(word.encode()))
+    assert sum(n for kind, _, n in own.found() if kind == 0) == pytest.approx(1)
 
 
 def test_words_of_all_lengths_sum_to_one_at_most():

@@ -122,36 +122,58 @@ def log_marginal(word: bytes, model: Model) -> float:
     return forward(word, model)[-1] + model.stop
 
 
-def expected(word: bytes, model: Model, counts: dict) -> None:
-    """Adds to counts how often a word holds each piece in expectation: bytes for a first piece, (bytes,) for one that follows, int for a byte."""
-    a = forward(word, model)
-    n, exp, log1p = len(word), math.exp, math.log1p
-    b: list = [None] * n + [0.0]
-    z, get, single = a[-1], model.inner.get, model.single
-    for i in range(n - 1, -1, -1):
-        k = word[i]
-        w, at = single[k] + b[i + 1], a[i] - z
-        counts[k] = counts.get(k, 0.0) + exp(at + w)
-        if k & 0xC0 != 0x80:
-            for j in range(i + 1, n + 1):
-                p = get(word[i:j], 0)
-                if p is None:
-                    continue
-                if p == 0:
+class Expectation:
+    """How often words hold each piece in expectation under a model, added up over add()."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.names = [(0, p) for p, v in model.first.items() if v is not None] + [(1, p) for p, v in model.inner.items() if v is not None] + [(2, bytes([k])) for k in range(256)]
+        place = {n: i for i, n in enumerate(self.names)}
+        self.first, self.inner = ({p: None if v is None else (v, place[kind, p]) for p, v in own.items()} for kind, own in ((0, model.first), (1, model.inner)))
+        self.single = [(v, place[2, bytes([k])]) for k, v in enumerate(model.single)]
+        self.counts = [0.0] * len(self.names)
+
+    def add(self, word: bytes) -> None:
+        n, exp, log1p, counts = len(word), math.exp, math.log1p, self.counts
+        a: list = [None] * (n + 1)
+        a[0], nothing = self.first[b""]
+        begins = [(0, a[0], nothing)]
+        get = self.first.get
+        for j in range(1, n + 1):
+            if (found := get(word[:j], 0)) is not None:
+                if found == 0:
                     break
-                v, piece = p + b[j], (word[i:j],)
-                counts[piece] = counts.get(piece, 0.0) + exp(at + v)
-                w = w + log1p(exp(v - w)) if v < w else v + log1p(exp(w - v))
-        b[i] = w
-    get = model.first.get
-    counts[b""] = counts.get(b"", 0.0) + exp(model.first[b""] + b[0] - z)
-    for j in range(1, n + 1):
-        p = get(word[:j], 0)
-        if p is None:
-            continue
-        if p == 0:
-            break
-        counts[word[:j]] = counts.get(word[:j], 0.0) + exp(p + b[j] - z)
+                a[j] = found[0]
+                begins.append((j, *found))
+        get, single, edges = self.inner.get, self.single, []
+        for i in range(n):
+            now, (p, k) = a[i], single[word[i]]
+            v, w = now + p, a[i + 1]
+            a[i + 1] = v if w is None else w + log1p(exp(v - w)) if v < w else v + log1p(exp(w - v))
+            edges.append((i, i + 1, p, k))
+            if word[i] & 0xC0 != 0x80:
+                for j in range(i + 1, n + 1):
+                    found = get(word[i:j], 0)
+                    if found is None:
+                        continue
+                    if found == 0:
+                        break
+                    p, k = found
+                    v, w = now + p, a[j]
+                    a[j] = v if w is None else w + log1p(exp(v - w)) if v < w else v + log1p(exp(w - v))
+                    edges.append((i, j, p, k))
+        b: list = [None] * n + [0.0]
+        z = a[n]
+        for i, j, p, k in reversed(edges):
+            v, w = p + b[j], b[i]
+            counts[k] += exp(a[i] - z + v)
+            b[i] = v if w is None else w + log1p(exp(v - w)) if v < w else v + log1p(exp(w - v))
+        for j, p, k in begins:
+            counts[k] += exp(p + b[j] - z)
+
+    def found(self) -> list[tuple[int, bytes, float]]:
+        """(kind, piece, count) of what was held: kind 0 for first pieces, 1 for those that follow, 2 for bytes."""
+        return [(*n, c) for n, c in zip(self.names, self.counts) if c]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -215,13 +237,12 @@ def fit(trained: Trained, path: str, rounds: int = ROUNDS) -> Model:
         sent = spark.sparkContext.broadcast(model)
 
         def counted(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found: dict = {}
+            own = Expectation(sent.value)
             for b in batches:
                 for w in b.column(0).to_pylist():
-                    expected(w, sent.value, found)
-            kind = [0 if isinstance(k, bytes) else 1 if isinstance(k, tuple) else 2 for k in found]
-            named = [k if isinstance(k, bytes) else k[0] if isinstance(k, tuple) else bytes([k]) for k in found]
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(named, pa.binary()), pa.array(list(found.values()), pa.float64())], names=["kind", "piece", "n"])
+                    own.add(w)
+            kind, piece, n = zip(*own.found()) if own.found() else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(piece, pa.binary()), pa.array(n, pa.float64())], names=["kind", "piece", "n"])
 
         rows = words.mapInArrow(counted, "kind int, piece binary, n double").groupBy("kind", "piece").agg(F.sum("n").alias("n")).collect()
         n = {(r.kind, bytes(r.piece)): r.n for r in rows}
