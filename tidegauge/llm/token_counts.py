@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from .public_vocab import default_path, word_ids
 
 #: Words in the broadcast table, and in each list on its way there: its size has that bound at any input.
-FREQUENT = 50_000
+FREQUENT = 20_000
 #: Bytes of a word from which it isn't tabled.
 LONGEST_WORD = 64
 #: Words in a worker's cache, the second tier.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 Summary = dict[bytes, int]
 
