@@ -16,7 +16,7 @@ def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
     if isinstance(v, float):
-        return float(f"{v:.9g}")
+        return float(f"{v:.9g}") + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     return v
@@ -52,3 +52,8 @@ def test_runs(spark, sf, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 9
+
+
+@pytest.mark.parametrize("name", ["backtest", "stochastic", "rolling_features", "histogram_entropies", "scale_global"])
+def test_no_negative_zeros(spark, sf, name):
+    assert not [r for r in catalog.QUERIES[name](spark, sf).collect() if any(isinstance(v, float) and v == 0 and math.copysign(1, v) < 0 for v in r)]

@@ -300,3 +300,11 @@ def test_payload_errors(spark):
         spark.range(1).select(payloads.timeframe_code("series", F.lit("7x"))).collect()
     got = payloads.traded(spark.createDataFrame([('{"symbols": [{"symbol": "B", "status": "TRADING"}, {"symbol": "A", "status": "BREAK"}]}',)], "payload string"))
     assert [r.symbol for r in got.collect()] == ["B"]
+
+
+def test_correlation_without_spread_is_null(spark, bars):
+    flat = X.with_returns(bars).withColumn("one", F.lit(1.0))
+    got = flat.withColumn("c", W.correlation("returns", "one", 20)).agg(F.count("c"), W.corr("returns", "one").alias("all")).first()
+    assert got[0] == 0 and got["all"] is None
+    assert {r["corr"] for r in S.correlations(flat, ["one", "close"]).collect()} == {None}
+    close_to(values(flat.withColumn("c", W.correlation("returns", "volume", 20)), "c"), flat.orderBy("ts").toPandas().pipe(lambda d: d.returns.rolling(20).corr(d.volume)))

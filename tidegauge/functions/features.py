@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import col, correlation, div, kurtosis, last_rows, quantile, roll, root, series, skewness, so_far
+from .windows import col, corr, correlation, div, kurtosis, last_rows, quantile, roll, root, series, skewness, so_far
 
 YEAR = 252
 ANNUAL = math.sqrt(YEAR)
@@ -88,8 +88,7 @@ def autocorrelation(df: DataFrame, x: str = "returns", n: int = 20, k: int = 1,
     """Correlation of the last n values with those k before; nulls count as 0; from row n + k - 1 of a series on."""
     df = df.withColumns({"_x": F.coalesce(F.col(x), F.lit(0.0)), "_row": F.row_number().over(series())}).withColumn("_y", lag("_x", k))
     w = last_rows(n)
-    spread = (F.var_pop("_x").over(w) > 0) & (F.var_pop("_y").over(w) > 0)
-    return df.withColumn(out, F.when((F.col("_row") >= n + k) & spread, F.corr("_x", "_y").over(w))).drop("_x", "_y", "_row")
+    return df.withColumn(out, F.when(F.col("_row") >= n + k, corr("_x", "_y", w))).drop("_x", "_y", "_row")
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, n: int = 20, k: int = 0, out: str = "cross_corr") -> DataFrame:

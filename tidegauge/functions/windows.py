@@ -70,7 +70,16 @@ def kurtosis(x: str | Column, n: int) -> Column:
     return F.when((F.count(x).over(w) == n) & (F.var_pop(x).over(w) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x).over(w) + 6))
 
 
+def corr(x: str | Column, y: str | Column, w: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of the pairs without a null, as an aggregate or over a window; null without spread, where corr() raises."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    over = (lambda e: e) if w is None else (lambda e: e.over(w))
+    return div(over(F.covar_pop(a, b)), over(F.stddev_pop(a)) * over(F.stddev_pop(b)))
+
+
 def correlation(x: str | Column, y: str | Column, n: int) -> Column:
+    """Correlation of the last n rows; null until there are n pairs."""
     x, y, w = col(x), col(y), last_rows(n)
-    both = F.when(x.isNotNull() & y.isNotNull(), 1)
-    return F.when((F.count(both).over(w) == n) & (F.var_pop(x).over(w) > 0) & (F.var_pop(y).over(w) > 0), F.corr(x, y).over(w))
+    return F.when(F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).over(w) == n, corr(x, y, w))

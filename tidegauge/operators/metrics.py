@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.windows import KEYS, div, series
+from tidegauge.functions.windows import KEYS, corr, div, series
 
 from . import regimes as G
 
@@ -208,7 +208,7 @@ def silhouette(df: DataFrame, features: list[str], label: str = LABEL, key: str
 def regime_correlations(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
     """label, a, b, corr for each pair of features within a label."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    each = df.groupBy(label).agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    each = df.groupBy(label).agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
     return each.select(label, F.explode(rows).alias("r")).select(label, "r.*")
 

@@ -8,7 +8,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.windows import div
+from tidegauge.functions.windows import corr, div
 
 
 def variances(df: DataFrame, features: list[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def top_variance(df: DataFrame, features: list[str], k: int) -> list[str]:
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """a, b, corr for each pair, a before b; all in one pass."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    row = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs])
+    row = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("corr")) for a, b in pairs])
     return df.agg(row.alias("x")).select(F.explode("x").alias("r")).select("r.*")
 
 
@@ -56,7 +56,7 @@ def regression_scores(df: DataFrame, features: list[str], target: str) -> DataFr
     """feature, score: the F statistic of a straight line through feature and target."""
 
     def score(c: str):
-        r2, n = F.pow(F.corr(c, target), 2), F.count(F.when(F.col(c).isNotNull() & F.col(target).isNotNull(), 1))
+        r2, n = F.pow(corr(c, target), 2), F.count(F.when(F.col(c).isNotNull() & F.col(target).isNotNull(), 1))
         return F.struct(F.lit(c).alias("feature"), div(r2 * (n - 2), 1 - r2).alias("score"))
 
     return df.agg(F.array(*map(score, features)).alias("a")).select(F.explode("a").alias("r")).select("r.*")

@@ -28,11 +28,11 @@ def query(sql: str | None = None):
 
 
 def out(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    return df.select("symbol", "ts", *[F.round(c, digits).alias(c) for c in columns])
+    return df.select("symbol", "ts", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in columns])
 
 
 def sql_of(columns: dict[str, str], source: str = "bars", tail: str = "", digits: int = 6) -> str:
-    return "SELECT symbol, ts, " + ", ".join(f"round({x}, {digits}) AS {n}" for n, x in columns.items()) + f" FROM {source} {tail}"
+    return "SELECT symbol, ts, " + ", ".join(f"round({x}, {digits}) + 0.0 AS {n}" for n, x in columns.items()) + f" FROM {source} {tail}"
 
 
 _S = f"WINDOW s AS ({SERIES})"
@@ -205,13 +205,13 @@ _BINS = f"""w AS (SELECT symbol, ts, list(close) OVER {frame(50)} AS l FROM bars
   b AS (SELECT symbol, ts, unnest(list_transform(l, lambda x: CASE WHEN hi = lo THEN 5 ELSE least(floor((x - lo) / (hi - lo) * 10), 9) END)) AS b FROM m), c AS (SELECT symbol, ts, b, count(*) / 50 AS p FROM b GROUP BY ALL)"""
 
 
-@query(with_(EVENTS, _BINS) + "SELECT symbol, ts, round(-sum(p * log2(p)), 6) AS shannon, round(-log2(sum(p * p)), 6) AS renyi FROM c GROUP BY symbol, ts")
+@query(with_(EVENTS, _BINS) + "SELECT symbol, ts, round(-sum(p * log2(p)), 6) + 0.0 AS shannon, round(-log2(sum(p * p)), 6) + 0.0 AS renyi FROM c GROUP BY symbol, ts")
 def histogram_entropies(spark: SparkSession, d: str) -> DataFrame:
     df = E.with_histogram_entropies(B.events_1h(spark, d), "close", 50)
     return out(df.where("shannon IS NOT NULL"), ["shannon", "renyi"])
 
 
-@query(with_(EVENTS, f"t AS (SELECT *, lag(close, 2) OVER s AS a, {_LAG} AS b FROM bars {_S})", "p AS (SELECT symbol, timeframe, ts, CASE WHEN a IS NULL THEN NULL ELSE (a > b)::INT * 4 + (a > close)::INT * 2 + (b > close)::INT END AS p FROM t)", f"l AS (SELECT symbol, ts, unnest(list(p) OVER {frame(48)}) AS p, count(p) OVER {frame(48)} AS n FROM p)", "c AS (SELECT symbol, ts, p, count(*) / 48 AS q FROM l WHERE n = 48 GROUP BY ALL)") + "SELECT symbol, ts, round(-sum(q * ln(q)) / ln(6), 6) AS permutation FROM c GROUP BY symbol, ts")
+@query(with_(EVENTS, f"t AS (SELECT *, lag(close, 2) OVER s AS a, {_LAG} AS b FROM bars {_S})", "p AS (SELECT symbol, timeframe, ts, CASE WHEN a IS NULL THEN NULL ELSE (a > b)::INT * 4 + (a > close)::INT * 2 + (b > close)::INT END AS p FROM t)", f"l AS (SELECT symbol, ts, unnest(list(p) OVER {frame(48)}) AS p, count(p) OVER {frame(48)} AS n FROM p)", "c AS (SELECT symbol, ts, p, count(*) / 48 AS q FROM l WHERE n = 48 GROUP BY ALL)") + "SELECT symbol, ts, round(-sum(q * ln(q)) / ln(6), 6) + 0.0 AS permutation FROM c GROUP BY symbol, ts")
 def permutation_entropy(spark: SparkSession, d: str) -> DataFrame:
     return out(E.with_permutation_entropy(B.events_1h(spark, d), "close", 50).where("permutation IS NOT NULL"), ["permutation"])
 

@@ -283,10 +283,10 @@ def model_pivot(spark: SparkSession, d: str) -> DataFrame:
 _POS = f"b AS (SELECT symbol, timeframe, ts, regime, returns, coalesce(lag(CASE regime WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END) OVER ({SERIES}), 0)::DOUBLE AS position FROM (SELECT * REPLACE (greatest(least(returns / 100, 0.05), -0.05) AS returns) FROM l)), c AS (SELECT *, position * returns - 0.001 * abs(position - coalesce(lag(position) OVER ({SERIES}), 0)) AS net FROM b), e AS (SELECT *, exp(sum(ln(1 + net)) OVER ({SERIES} ROWS UNBOUNDED PRECEDING)) AS equity FROM c)"
 
 
-@query(with_(*BASE, _POS) + f"SELECT symbol, ts, position, round(net, 11) AS net, round(equity, 11) AS equity, round(equity / max(equity) OVER ({SERIES} ROWS UNBOUNDED PRECEDING) - 1, 11) AS drawdown FROM e")
+@query(with_(*BASE, _POS) + f"SELECT symbol, ts, position, round(net, 11) + 0.0 AS net, round(equity, 11) AS equity, round(equity / max(equity) OVER ({SERIES} ROWS UNBOUNDED PRECEDING) - 1, 11) + 0.0 AS drawdown FROM e")
 def backtest(spark: SparkSession, d: str) -> DataFrame:
     from tidegauge.operators import reports
 
     df = labelled(spark, d).withColumn("returns", F.greatest(F.least(F.col("returns") / 100, F.lit(0.05)), F.lit(-0.05)))
     out = reports.backtested(df, {0: 1.0, 1: 0.5, 2: 0.0}, cost=0.001)
-    return out.select("symbol", "ts", "position", *[F.round(c, 11).alias(c) for c in ("net", "equity", "drawdown")])
+    return out.select("symbol", "ts", "position", *[(F.round(c, 11) + F.lit(0.0)).alias(c) for c in ("net", "equity", "drawdown")])
