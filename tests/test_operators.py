@@ -308,3 +308,42 @@ def test_correlation_without_spread_is_null(spark, bars):
     assert got[0] == 0 and got["all"] is None
     assert {r["corr"] for r in S.correlations(flat, ["one", "close"]).collect()} == {None}
     close_to(values(flat.withColumn("c", W.correlation("returns", "volume", 20)), "c"), flat.orderBy("ts").toPandas().pipe(lambda d: d.returns.rolling(20).corr(d.volume)))
+
+
+def test_feature_engine(bars, tmp_path, monkeypatch):
+    from tidegauge.plans import engine
+
+    got = engine.compute(bars, config={"entropy": {"window": 30}})
+    assert {"rsi", "macd", "sma_20", "ema_20", "parkinson_20", "mean_20", "shannon", "permutation"} <= set(got.columns) and got.count() == 100
+    for bad in ({"other": {}}, {"volatility": {"window": 1}}):
+        with pytest.raises(ValueError):
+            engine.compute(bars, config=bad)
+    with pytest.raises(ValueError):
+        engine.compute(bars, ["other"])
+    monkeypatch.setenv("N_BINS", "8")
+    engine.save_config({"entropy": {"features": ["shannon", "${NOBODY}"], "bins": 8}}, str(tmp_path / "c.json"))
+    assert engine.load_config(str(tmp_path / "c.json"))["entropy"]["features"][1] == "${NOBODY}"
+    cache = engine.FeatureCache()
+    assert cache.get(bars, ["statistical"]) is cache.get(bars, ["statistical"]) and len(cache.held) == 1
+    cache.clear()
+
+
+def test_more_models(spark, tmp_path):
+    df = regimes(spark)
+    assert C.accuracy(C.boosted_stumps(df, ["a", "b"], "target", 6, 2)) > 0.95
+    made = C.Detector("logistic", ["a", "b"]).fit(df, "target")
+    C.save(made, str(tmp_path / "m"))
+    assert C.accuracy(C.load(spark, str(tmp_path / "m")).transform(df)) == C.accuracy(made.transform(df))
+    assert C.best_k(df, ["a", "b"], (2, 3, 4)) == 3 and C.best_k(df, ["a", "b"], (2, 3), "calinski", 0.05) == 3
+    far = df.unionByName(df.limit(1).withColumns({"a": F.lit(60.0), "b": F.lit(-60.0)}))
+    top = C.isolation_scores(far, ["a", "b"], 50).orderBy(F.desc("isolation")).first()
+    assert top.a == 60 and top.isolation > 0.6
+    names = {r.name for r in M.labelled_by_rank(df.withColumn("returns", F.col("a")).withColumnRenamed("target", "regime"), 3).collect()}
+    assert names == {"Bear_L1", "Neutral", "Bull_L1"}
+    assert M.labelled_by_moments(df.withColumn("regime", F.col("target")), "a").count() == M.labelled_by_quantiles(df.withColumn("regime", F.col("target")), "a").count() == 3
+
+
+def test_shapiro_wilk():
+    rng = np.random.default_rng(2)
+    assert E.shapiro_wilk(rng.normal(size=200)) > 0.98 > E.shapiro_wilk(rng.exponential(size=200)) + 0.05
+    assert E.shapiro_wilk(np.array([1.0, 2.0, 3.0])) == pytest.approx(1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -182,8 +183,9 @@ def over_windows(x: np.ndarray, n: int, f) -> np.ndarray:
     return out
 
 
-def with_complexity(df: DataFrame, x: str = "returns", n: int = 100, kernels: tuple[str, ...] = tuple(KERNELS)) -> DataFrame:
-    """KERNELS by name over each last n values; null until there are n, and where a kernel is undefined."""
+def with_complexity(df: DataFrame, x: str = "returns", n: int = 100, kernels: tuple[str, ...] | None = None) -> DataFrame:
+    """KERNELS by name (all by default) over each last n values; null until there are n, and where a kernel is undefined."""
+    kernels = tuple(KERNELS) if kernels is None else kernels
 
     def one(s: pd.DataFrame) -> dict[str, np.ndarray]:
         v = s[x].to_numpy(float)
@@ -204,3 +206,29 @@ def with_multiscale(df: DataFrame, x: str = "returns", n: int = 100, scales: tup
         return out
 
     return along(df, one, [f"mse_{k}" for k in scales])
+
+
+def shapiro_wilk(x: np.ndarray) -> float:
+    """The W statistic for 3 to 5000 values, with weights from expected normal order statistics and polynomial corrections of the outer ones."""
+    n = len(x)
+    if not 3 <= n <= 5000 or not x.std() > 0:
+        return math.nan
+    inverse = NormalDist().inv_cdf
+    m = np.array([inverse((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u, c = 1 / math.sqrt(n), m / math.sqrt(m @ m)
+    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, c[-1]], u)  # fixed values
+    a = c.copy()
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    elif n <= 5:
+        a[1:-1] = m[1:-1] / math.sqrt((m @ m - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[-1], a[0] = last, -last
+    else:
+        next_ = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, c[-2]], u)  # fixed values
+        a[2:-2] = m[2:-2] / math.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * next_**2))
+        a[-1], a[0], a[-2], a[1] = last, -last, next_, -next_
+    s = np.sort(x)
+    return float(min(1.0, (a @ s) ** 2 / ((s - s.mean()) ** 2).sum()))
+
+
+KERNELS["shapiro_wilk"] = shapiro_wilk

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
+from itertools import product
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+import pandas as pd
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clean
+from . import clean, metrics
 from . import regimes as G
 
 X, Y = "_x", "_y"
@@ -129,14 +130,14 @@ def accuracy(df: DataFrame, label: str = G.LABEL, target: str = "target") -> flo
     return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(data)
 
 
-def cross_validated(df: DataFrame, name: str, features: list[str], target: str, folds: int = 3) -> list[float]:
+def cross_validated(df: DataFrame, name: str, features: list[str], target: str, folds: int = 3, **options) -> list[float]:
     """Accuracy on each later part of time of a classifier that learned from all before; parts are equal in rows over all series."""
     df = df.na.drop(subset=[*features, target])
     edges = df.agg(F.percentile(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"), F.array(*[F.lit(i / (folds + 1)) for i in range(1, folds + 1)]))).first()[0]
     at, out = F.unix_timestamp(F.col("ts").cast("timestamp")), []
     for i, e in enumerate(edges):
         test = df.where(at > e) if i + 1 == folds else df.where((at > e) & (at <= edges[i + 1]))
-        out.append(accuracy(Detector(name, features).fit(df.where(at <= e), target).transform(test, "_label"), "_label", target))
+        out.append(accuracy(Detector(name, features, **options).fit(df.where(at <= e), target).transform(test, "_label"), "_label", target))
     return out
 
 
@@ -207,4 +208,106 @@ def hierarchical(df: DataFrame, levels: list[list[Detector]], target: str, out:
     raise ValueError("no levels")
 
 
-del Pipeline, VectorAssembler
+
+def boosted_stumps(df: DataFrame, features: list[str], target: str, rounds: int = 10, depth: int = 1, out: str = G.LABEL) -> DataFrame:
+    """Multi-class AdaBoost over shallow trees: rows that a round gets wrong weigh more in the next; rounds vote by their weight."""
+    data, _ = assembled(df, features)
+    k = int(df.agg(F.max(target)).first()[0]) + 1
+    data = data.withColumns({Y: F.col(target).cast("double"), "_w": F.lit(1.0)})
+    learned, trees = data.where(F.col(Y).isNotNull()).select(X, Y, "_w").persist(), []
+    for i in range(rounds):
+        tree = DecisionTreeClassifier(featuresCol=X, labelCol=Y, weightCol="_w", maxDepth=depth, seed=i, predictionCol="_c").fit(learned)
+        seen = tree.transform(learned)
+        error = seen.agg(F.sum(F.when(F.col("_c") != F.col(Y), F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
+        if error >= 1 - 1 / k:
+            break
+        alpha = math.log((1 - error) / max(error, 1e-10)) + math.log(k - 1)
+        trees.append((alpha, tree))
+        if error < 1e-10:
+            break
+        again = F.when(F.col("_c") != F.col(Y), F.col("_w") * math.exp(alpha)).otherwise(F.col("_w"))
+        learned = seen.withColumn("_w", again / (error * math.exp(alpha) + 1 - error)).select(X, Y, "_w")
+    votes = [F.lit(0.0)] * k
+    for i, (alpha, tree) in enumerate(trees):
+        data = tree.setPredictionCol(f"_t{i}").transform(data).drop("rawPrediction", "probability")
+        votes = [v + F.when(F.col(f"_t{i}") == c, F.lit(alpha)).otherwise(0.0) for c, v in enumerate(votes)]
+    p = F.array(*votes)
+    return data.withColumn(out, (F.array_position(p, F.array_max(p)) - 1).cast("int")).drop(X, Y, "_w", *[f"_t{i}" for i in range(len(trees))])
+
+
+def tuned(df: DataFrame, name: str, features: list[str], target: str, grid: dict[str, list], folds: int = 3) -> list[tuple[float, dict]]:
+    """(mean accuracy, options) of each choice from grid, the best first; folds are later parts of time."""
+    out = []
+    for values in product(*grid.values()):
+        options = dict(zip(grid, values))
+        out.append((float(np.mean(cross_validated(df, name, features, target, folds, **options))), options))
+    return sorted(out, key=lambda x: -x[0])
+
+
+def save(detector: Detector, path: str) -> None:
+    """The model under path/model by Spark's writer, what else the detector needs as a one-row table beside it."""
+    detector.model.write().overwrite().save(f"{path}/model")
+    told = {"name": detector.name, "features": detector.features, "k": detector.k, "seed": detector.seed, "scaler": detector.scaler, "class": type(detector.model).__name__}
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode("overwrite").parquet(f"{path}/detector")
+
+
+def load(spark: SparkSession, path: str) -> Detector:
+    told = json.loads(spark.read.parquet(f"{path}/detector").first().told)
+    out = Detector(told["name"], told["features"], told["k"], told["seed"])
+    out.scaler = {c: tuple(v) for c, v in told["scaler"].items()}
+    kinds = {c.__name__: c for c in (RandomForestClassificationModel, OneVsRestModel, LogisticRegressionModel)}
+    out.model = kinds[told["class"]].load(f"{path}/model")
+    return out
+
+
+def best_k(df: DataFrame, features: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), criterion: str = "bic", least_share: float = 0.0) -> int:
+    """The number of regimes by aic or bic of a mixture, or by the Calinski-Harabasz index of k-means; choices whose smallest regime has under least_share of the rows are passed over if any other is left."""
+    if criterion in ("aic", "bic"):
+        scores = {k: {"aic": a, "bic": b}[criterion] for k, a, b in selected_mixture(df, features, ks)}
+    else:
+        scores = {k: -(metrics.cluster_quality(clustered(df, features, k), features).first().calinski_harabasz or 0.0) for k in ks}
+    share = {k: 1.0 for k in ks}
+    if least_share:
+        for k in ks:
+            n = [r[1] for r in clustered(df, features, k).groupBy(G.LABEL).count().collect()]
+            share[k] = min(n) / sum(n) if len(n) == k else 0.0
+    left = [k for k in ks if share[k] >= least_share] or list(ks)
+    return min(left, key=scores.__getitem__)
+
+
+def isolation_scores(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, out: str = "isolation") -> DataFrame:
+    """How easily random cuts set a row apart, near 1 for outliers. Trees learn from `sample` rows each, drawn by a hash over all rows; all rows are scored."""
+    data = df.na.drop(subset=features)
+    drawn = data.select(*features).orderBy(F.xxhash64(*features, F.lit(seed))).limit(trees * sample // 4).toPandas().to_numpy(float)  # at most that many rows
+    rng = np.random.default_rng(seed)
+
+    def grow(x: np.ndarray, depth: int):
+        if depth == 0 or len(x) < 2:
+            return len(x)
+        j = rng.integers(x.shape[1])
+        low, high = x[:, j].min(), x[:, j].max()
+        if low == high:
+            return len(x)
+        cut = rng.uniform(low, high)
+        return int(j), float(cut), grow(x[x[:, j] < cut], depth - 1), grow(x[x[:, j] >= cut], depth - 1)
+
+    size = min(sample, len(drawn))
+    forest = [grow(drawn[rng.choice(len(drawn), size, replace=False)], math.ceil(math.log2(max(2, size)))) for _ in range(trees)]
+    usual = lambda n: 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def depths(node, x: np.ndarray, at: np.ndarray, depth: int, into: np.ndarray) -> None:
+        if isinstance(node, int):
+            into[at] += depth + usual(node)
+            return
+        left = x[at, node[0]] < node[1]
+        depths(node[2], x, at[left], depth + 1, into)
+        depths(node[3], x, at[~left], depth + 1, into)
+
+    def scored(*columns: pd.Series) -> pd.Series:
+        x, total = np.column_stack([c.to_numpy(float) for c in columns]), np.zeros(len(columns[0]))
+        for tree in forest:
+            depths(tree, x, np.arange(len(x)), 0, total)
+        return pd.Series(2 ** (-total / trees / usual(size)))
+
+    return data.withColumn(out, F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR)(*features))

@@ -109,6 +109,29 @@ def regime_names(k: int) -> list[str]:
     return [f"Bear_L{h - i}" for i in range(h)] + ["Neutral"] + [f"Bull_L{i + 1}" for i in range(h)]
 
 
+def labelled_by_moments(df: DataFrame, returns: str = "returns", label: str = LABEL) -> DataFrame:
+    """label, name: Bull, Bear or Sideways by the mean return (0.001 and more either way), with high or low volatility (against 1.2 times that of all rows)."""
+    per = df.groupBy(label).agg(F.avg(returns).alias("_m"), F.stddev(returns).alias("_s"))
+    whole = df.agg(F.stddev(returns).alias("_all"))
+    trend = F.when(F.col("_m") > 0.001, "Bull").when(F.col("_m") < -0.001, "Bear").otherwise("Sideways")
+    high = F.when(F.col("_s") > 1.2 * F.col("_all"), "High").otherwise("Low")
+    return per.crossJoin(F.broadcast(whole)).select(label, F.concat_ws("_", trend, high, F.lit("Vol")).alias("name"))
+
+
+def labelled_by_quantiles(df: DataFrame, returns: str = "returns", label: str = LABEL) -> DataFrame:
+    """label, name: Bear under the first quartile of returns by its mean, Bull over the third, else Neutral."""
+    q = df.agg(F.percentile(returns, F.lit(0.25)).alias("_lo"), F.percentile(returns, F.lit(0.75)).alias("_hi"))
+    per = df.groupBy(label).agg(F.avg(returns).alias("_m")).crossJoin(F.broadcast(q))
+    return per.select(label, F.when(F.col("_m") < F.col("_lo"), "Bear").when(F.col("_m") > F.col("_hi"), "Bull").otherwise("Neutral").alias("name"))
+
+
+def labelled_by_rank(df: DataFrame, k: int, returns: str = "returns", label: str = LABEL) -> DataFrame:
+    """label, name: regime_names() in order of the mean return."""
+    place = F.row_number().over(Window.orderBy("_m", label))
+    names = F.array(*[F.lit(n) for n in regime_names(k)])
+    return df.groupBy(label).agg(F.avg(returns).alias("_m")).withColumn("_i", place).select(label, F.get(names, F.col("_i") - 1).alias("name"))
+
+
 # Agreement of two labellings.
 
 
