@@ -59,7 +59,7 @@ def test_counts(spark):
     assert {"lang", "n_bytes", "over_limit"} <= set(got.columns)
     want = sorted((str(i), len((t or "").encode()), len(library(t or "")), len(library(t or "")) > 2048) for i, t in ROWS)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got.collect()) == want
-    assert C.token_counts(docs, frequent=1).agg(F.sum("n_tokens")).first()[0] == sum(w[2] for w in want)
+    assert C.token_counts(docs, table_words=1).agg(F.sum("n_tokens")).first()[0] == sum(w[2] for w in want)
     assert C.token_counts(docs.limit(0)).count() == 0
 
 

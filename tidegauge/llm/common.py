@@ -62,3 +62,15 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, unique: Col
     out = out.join(light.hint("shuffle_hash"), F.col("_k") == F.col("_lk"), "left")
     got = [F.coalesce(F.col(f"_hv.{c}"), F.col(f"_lv.{c}")).alias(c) for c in values]
     return out.select(*rows.columns, *got)
+
+
+def frequent(counts: DataFrame, c: str, most: int) -> Column:
+    """A condition on c that `most` rows of counts meet at most, those with the largest c: rows of a quarter of an octave are taken together, as long as there aren't too many."""
+    octave = F.floor(4 * F.log2(c))
+    n, least = 0, None
+    for r in counts.where(F.col(c) > 0).groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("o")).collect():  # some hundred rows
+        n += r.n
+        if n > most:
+            break
+        least = r.o
+    return F.lit(False) if least is None else (F.col(c) > 0) & (octave >= least)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import settled
 from .public_vocab import default_path
 
@@ -212,18 +213,6 @@ def train(docs: DataFrame, learns: Column, text: str = "text") -> Trained:
     return Trained(counts, texts, n + texts, distinct + (texts > 0), (once + 0.5) / (once + 2 * twice + 1))
 
 
-def frequent_words(trained: Trained, most: int = FREQUENT) -> Column:
-    """A condition on counts that `most` words meet at most: counts of a quarter of an octave and more are taken together, down to where words get too many."""
-    octave = F.floor(4 * F.log2("c"))
-    n, least = 0, None
-    for r in trained.counts.where("c > 0").groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("o")).collect():
-        n += r.n
-        if n > most:
-            break
-        least = r.o
-    return F.lit(False) if least is None else (F.col("c") > 0) & (octave >= least)
-
-
 def fit(trained: Trained, path: str, rounds: int = ROUNDS) -> Model:
     """Scores of the vocabulary's pieces by expectation-maximisation over the distinct training words, at first all alike.
 
@@ -296,7 +285,7 @@ def scores(docs: DataFrame, trained: Trained, model: Model, held_out: Column, do
     """
     spark = docs.sparkSession
     words = settled(word_scores(trained, model), "word-scores")
-    often = frequent_words(trained, frequent)
+    often = common.frequent(trained.counts, "c", frequent)
     top = words.where(often).collect()
     sent, key = spark.sparkContext.broadcast((b"\n".join(bytes(r.word) for r in top), np.array([r.base for r in top]).tobytes(), np.array([r.score for r in top]).tobytes())), uuid.uuid4().hex
 

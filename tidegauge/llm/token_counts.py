@@ -1,7 +1,7 @@
 """Operator 4, token counts: two tiers of pre-token lengths on the map side, no pre-token shuffle.
 
-The first pass sums up each task's texts in a bounded list of its most frequent white-space separated words; lists are
-merged in a tree, still bounded. The lengths of what is left are broadcast as one packed table: the first tier. The
+The first pass sums up each task's texts in a bounded list of its most frequent white-space separated words; only these
+lists are added up across tasks. The lengths of the most frequent words are broadcast as one packed table: the first tier. The
 second pass adds up lengths text by text; words outside the table go to the worker's bounded cache, and only words that
 are new there go to the tokenizer, a batch at a time. Which words are frequent changes the speed, never a count.
 """
@@ -17,42 +17,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frequent, settled
 from .public_vocab import default_path, word_ids
 
-#: Words in the broadcast table, and in each list on its way there: its size has that bound at any input.
+#: Words in the broadcast table, and in each task's list on its way there: its size has that bound at any input.
 FREQUENT = 20_000
 #: Bytes of a word from which it isn't tabled.
 LONGEST_WORD = 64
 #: Words in a worker's cache, the second tier.
 CACHE_WORDS = 200_000
 
-Summary = dict[bytes, int]
-
-
-def _bounded(counts: Summary, most: int) -> Summary:
-    return counts if len(counts) <= most else dict(Counter(counts).most_common(most))
-
-
 def frequent_words(docs: DataFrame, text: str, path: str, most: int = FREQUENT) -> list[bytes]:
-    """The words found most often, by lists of at most `most` words from each task, merged in a tree."""
+    """At most `most` of the words found most often, by lists of at most `most` words from each task."""
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         ids = word_ids(path)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(ids.words(t or b""))
+            for at in range(0, b.num_rows, 500):
+                for t in b.column(0).slice(at, 500).to_pylist():
+                    counts.update(ids.words(t or b""))
                 if len(counts) > 8 * most:
-                    counts = Counter(_bounded(counts, 2 * most))
-        own = {w: c for w, c in _bounded(counts, most).items() if len(w) < LONGEST_WORD and c > 1}
-        yield pa.RecordBatch.from_arrays([pa.array([list(own)], pa.list_(pa.binary())), pa.array([list(own.values())], pa.list_(pa.int64()))], names=["words", "counts"])
-
-    def merged(a: Summary, b: Summary) -> Summary:
-        return _bounded(dict(Counter(a) + Counter(b)), most)
+                    counts = Counter(dict(counts.most_common(most)))
+        own = [(w, c) for w, c in counts.most_common(most) if len(w) < LONGEST_WORD and c > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.array([c for _, c in own], pa.int64())], names=["word", "c"])
 
-    lists = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(summed, "words array<binary>, counts array<bigint>")
-    found = lists.rdd.map(lambda r: dict(zip(map(bytes, r.words), r.counts)))
-    return sorted(found.treeReduce(merged, depth=3)) if not found.isEmpty() else []
+    lists = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(listed, "word binary, c bigint")
+    counts = settled(lists.groupBy("word").agg(F.sum("c").alias("c")), "frequent-words")
+    return sorted(bytes(r.word) for r in counts.where(frequent(counts, "c", most)).select("word").collect())
 
 
 class Lengths(dict):
@@ -84,7 +76,7 @@ class Lengths(dict):
 _lengths: dict[str, Lengths] = {}
 
 
-def token_counts(docs: DataFrame, text: str = "text", *, path: str | None = None, limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
+def token_counts(docs: DataFrame, text: str = "text", *, path: str | None = None, limit: int = 2048, table_words: int = FREQUENT) -> DataFrame:
     """docs with n_bytes (of the UTF-8), n_tokens and over_limit (n_tokens > limit); columns of docs so named give way.
 
     Token counts are those of the library for the file at path, without added special tokens; special strings inside
@@ -93,7 +85,7 @@ def token_counts(docs: DataFrame, text: str = "text", *, path: str | None = None
     """
     path = path or default_path("word_bpe_49k.json")
     spark = docs.sparkSession
-    words = frequent_words(docs, text, path, frequent)
+    words = frequent_words(docs, text, path, table_words)
     table = Lengths(path, b"", b"")
     counts = [n for at in range(0, len(words), 5000) for n in table.of(words[at : at + 5000])]
     short = [(w, c) for w, c in zip(words, counts) if c < 256]
@@ -107,11 +99,11 @@ def token_counts(docs: DataFrame, text: str = "text", *, path: str | None = None
             _lengths[key] = Lengths(path, *packed.value)
         lengths = _lengths[key]
         for b in batches:
-            texts = [t or b"" for t in b.column(b.num_columns - 1).to_pylist()]
-            n = np.zeros(len(texts), np.int64)
-            for at in range(0, len(texts), 500):
-                n[at : at + 500] = lengths.of(texts[at : at + 500])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)], schema=pa.schema([*list(b.schema)[:-1], pa.field("n_bytes", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("over_limit", pa.bool_())]))
+            n, size = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            for at in range(0, b.num_rows, 500):
+                texts = [t or b"" for t in b.column(b.num_columns - 1).slice(at, 500).to_pylist()]
+                n[at : at + 500], size[at : at + 500] = lengths.of(texts), [len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size), pa.array(n), pa.array(n > limit)], schema=pa.schema([*list(b.schema)[:-1], pa.field("n_bytes", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("over_limit", pa.bool_())]))
 
     added = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c not in added]
