@@ -166,10 +166,10 @@ def feature_validation(spark: SparkSession, d: str) -> DataFrame:
 # The standard relational operators beside bars: joins by time, by range, semi and anti.
 
 
-@query(with_(EVENTS, "e AS (SELECT event_id, event_type AS symbol, ts AS at, value FROM events WHERE value > 0 AND event_id % 7 = 0)") + "SELECT event_id, b.ts AS bar_ts, b.close AS close FROM e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.at >= b.ts")
+@query(with_(EVENTS, "e AS (SELECT event_id, event_type AS symbol, ts AS at, value FROM events WHERE value > 0)") + "SELECT event_id, b.ts AS bar_ts, b.close AS close FROM e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.at >= b.ts")
 def asof_join(spark: SparkSession, d: str) -> DataFrame:
-    """Each seventh event with the last bar that began before it: a union in order of time, and the last bar seen."""
-    ticks = spark.read.parquet(f"{d}/events.parquet").where("value > 0 AND event_id % 7 = 0").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    """Each event with the last bar that began before it: a union in order of time, and the last bar seen."""
+    ticks = spark.read.parquet(f"{d}/events.parquet").where("value > 0").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("at"))
     return clean.as_of(ticks, B.events_1h(spark, d).select("symbol", "ts", "close"), "symbol", "at", "ts").select("event_id", F.col("ts").alias("bar_ts"), "close")
 
 

@@ -16,6 +16,7 @@ from .sql import EVENTS, RETURNS, SERIES, frame, roll, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def query(sql: str | None = None):
@@ -28,9 +29,9 @@ def query(sql: str | None = None):
     return named
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
+def labelled(spark: SparkSession, d: str, load=B.events_1h) -> DataFrame:
     """Hourly bars with returns, vol (of 20 returns) and regime: its tercile in the series, of rows that have one."""
-    df = X.with_returns(B.events_1h(spark, d)).withColumn("vol", X.volatility("returns", 20)).where("vol IS NOT NULL")
+    df = X.with_returns(load(spark, d)).withColumn("vol", X.volatility("returns", 20)).where("vol IS NOT NULL")
     return G.quantile_labels(df, "vol", 3)
 
 
@@ -211,33 +212,35 @@ def ensemble_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return P.numbered(labelled(spark, d).where("symbol = 'click'")).select("symbol", "timeframe", "ts", "regime", "row_no").cache()
+    return P.numbered(labelled(spark, d, B.events_all_1h)).select("symbol", "timeframe", "ts", "regime", "row_no").cache()
 
 
-_ROWS = f"x AS (SELECT symbol, ts, regime, row_number() OVER ({SERIES}) - 1 AS row_no, count(*) OVER () AS n FROM l WHERE symbol = 'click')"
+#: Folds are of one series: all events'.
+_ALL = (EVENTS.replace("event_type AS symbol", "'(all)' AS symbol"), RETURNS, LABELS)
+_ROWS = f"x AS (SELECT symbol, ts, regime, row_number() OVER ({SERIES}) - 1 AS row_no, count(*) OVER () AS n FROM l)"
 
 
-@query(with_(*BASE, _ROWS, "k AS (SELECT unnest(range(0, 100)) AS fold)") + "SELECT fold::INT AS fold, CASE WHEN row_no < fold * 21 + 252 THEN 'train' ELSE 'test' END AS role, row_no FROM x JOIN k ON row_no BETWEEN fold * 21 AND fold * 21 + 314 AND fold * 21 + 315 < n")
+@query(with_(*_ALL, _ROWS, "k AS (SELECT unnest(range(0, 100)) AS fold)") + "SELECT fold::INT AS fold, CASE WHEN row_no < fold * 21 + 252 THEN 'train' ELSE 'test' END AS role, row_no FROM x JOIN k ON row_no BETWEEN fold * 21 AND fold * 21 + 314 AND fold * 21 + 315 < n")
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     df = _rows(spark, d)
     return P.assigned(df, P.walk_forward_ranges(df.count())).select("fold", "role", "row_no")
 
 
-@query(with_(*BASE, _ROWS, "k AS (SELECT unnest(range(0, 5)) AS fold)", "b AS (SELECT fold, n - (5 - fold) * (n // 6) AS s, n // 6 AS size FROM k, (SELECT any_value(n) AS n FROM x))") + "SELECT fold::INT AS fold, CASE WHEN row_no < s THEN 'train' ELSE 'test' END AS role, row_no FROM x JOIN b ON row_no <= s - 5 - 1 OR row_no BETWEEN s AND s + size - 1")
+@query(with_(*_ALL, _ROWS, "k AS (SELECT unnest(range(0, 5)) AS fold)", "b AS (SELECT fold, n - (5 - fold) * (n // 6) AS s, n // 6 AS size FROM k, (SELECT any_value(n) AS n FROM x))") + "SELECT fold::INT AS fold, CASE WHEN row_no < s THEN 'train' ELSE 'test' END AS role, row_no FROM x JOIN b ON row_no <= s - 5 - 1 OR row_no BETWEEN s AND s + size - 1")
 def time_series_split(spark: SparkSession, d: str) -> DataFrame:
     df = _rows(spark, d)
     return P.assigned(df, P.time_series_ranges(df.count(), 5, gap=5)).select("fold", "role", "row_no")
 
 
-@query(with_(*BASE, _ROWS, "k AS (SELECT unnest(range(0, 5)) AS fold)", "b AS (SELECT fold, fold * (n // 5) + least(fold, n % 5) AS lo, (fold + 1) * (n // 5) + least(fold + 1, n % 5) - 1 AS hi FROM k, (SELECT any_value(n) AS n FROM x))") + "SELECT fold::INT AS fold, CASE WHEN row_no BETWEEN lo AND hi THEN 'test' ELSE 'train' END AS role, row_no FROM x JOIN b ON row_no < lo - 10 OR row_no > hi + 10 OR row_no BETWEEN lo AND hi - 3")
+@query(with_(*_ALL, _ROWS, "k AS (SELECT unnest(range(0, 5)) AS fold)", "b AS (SELECT fold, fold * (n // 5) + least(fold, n % 5) AS lo, (fold + 1) * (n // 5) + least(fold + 1, n % 5) - 1 AS hi FROM k, (SELECT any_value(n) AS n FROM x))") + "SELECT fold::INT AS fold, CASE WHEN row_no BETWEEN lo AND hi THEN 'test' ELSE 'train' END AS role, row_no FROM x JOIN b ON row_no < lo - 10 OR row_no > hi + 10 OR row_no BETWEEN lo AND hi - 3")
 def purged_split(spark: SparkSession, d: str) -> DataFrame:
     df = _rows(spark, d)
     return P.assigned(df, P.purged_ranges(df.count(), 5, 10, 3)).select("fold", "role", "row_no")
 
 
-@query(with_(*BASE, _ROWS, RUNS.replace("FROM l", "FROM (SELECT * FROM l WHERE symbol = 'click')"), "k AS (SELECT unnest(range(0, 3)) AS fold)", "e AS (SELECT fold::INT AS fold, CASE WHEN run % 3 = fold THEN 'test' ELSE 'train' END AS role, regime, row_number() OVER (PARTITION BY fold ORDER BY ts) - 1 AS row_no FROM n, k)", "few AS (SELECT fold FROM e GROUP BY fold, regime HAVING count(*) FILTER (WHERE role = 'train') < 2)") + "SELECT fold, role, row_no FROM e WHERE fold NOT IN (SELECT fold FROM few)")
+@query(with_(*_ALL, _ROWS, RUNS, "k AS (SELECT unnest(range(0, 3)) AS fold)", "e AS (SELECT fold::INT AS fold, CASE WHEN run % 3 = fold THEN 'test' ELSE 'train' END AS role, regime, row_number() OVER (PARTITION BY fold ORDER BY ts) - 1 AS row_no FROM n, k)", "few AS (SELECT fold FROM e GROUP BY fold, regime HAVING count(*) FILTER (WHERE role = 'train') < 2)") + "SELECT fold, role, row_no FROM e WHERE fold NOT IN (SELECT fold FROM few)")
 def regime_aware_split(spark: SparkSession, d: str) -> DataFrame:
-    return P.regime_aware(labelled(spark, d).where("symbol = 'click'"), 3).select("fold", "role", "row_no")
+    return P.regime_aware(labelled(spark, d, B.events_all_1h), 3).select("fold", "role", "row_no")
 
 
 # Selection of features.
@@ -275,9 +278,9 @@ def model_ranks(spark: SparkSession, d: str) -> DataFrame:
     return reports.ranked(_scores(spark, d), 2)
 
 
-@query(with_(*BASE, _SCORES) + "SELECT model, max(score) FILTER (WHERE dataset = 'click') AS click, max(score) FILTER (WHERE dataset = 'view') AS view FROM x GROUP BY model")
+@query(with_(*BASE, _SCORES) + "SELECT model, " + ", ".join(f"max(score) FILTER (WHERE dataset = '{t}') AS \"{t}\"" for t in EVENT_TYPES) + " FROM x GROUP BY model")
 def model_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).groupBy("model").pivot("dataset", ["click", "view"]).agg(F.max("score"))
+    return _scores(spark, d).groupBy("model").pivot("dataset", list(EVENT_TYPES)).agg(F.max("score"))
 
 
 _POS = f"b AS (SELECT symbol, timeframe, ts, regime, returns, coalesce(lag(CASE regime WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END) OVER ({SERIES}), 0)::DOUBLE AS position FROM (SELECT * REPLACE (greatest(least(returns / 100, 0.05), -0.05) AS returns) FROM l)), c AS (SELECT *, position * returns - 0.001 * abs(position - coalesce(lag(position) OVER ({SERIES}), 0)) AS net FROM b), e AS (SELECT *, exp(sum(ln(1 + net)) OVER ({SERIES} ROWS UNBOUNDED PRECEDING)) AS equity FROM c)"

@@ -138,6 +138,12 @@ def events_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "H1", symbol="event_type", ts="ts", price="value", volume=F.count(F.lit(1)))
 
 
+def events_all_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of all events' values as one series."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("all", F.lit("(all)"))
+    return from_ticks(ticks, "H1", symbol="all", ts="ts", price="value", volume=F.count(F.lit(1)))
+
+
 def lines_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of line prices by return flag; lines of a day are told apart by all their keys."""
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
