@@ -21,11 +21,11 @@ def session(name: str = "tidegauge", **more: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_ is None:
-        set_ = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(set_)
-    return set_.rstrip("/")
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.session import shared_folder
+
 from .bars import PRICES, SCHEMA, last_write, resampled
 
 
@@ -38,9 +40,9 @@ class BarStore:
         both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
         order = F.struct("_new", F.monotonically_increasing_id())
         merged = last_write(both.withColumn("_order", order), F.col("_order")).drop("_order", "_new")
-        # Read in full before the series' files are replaced.
-        merged = merged.checkpoint() if self.spark.sparkContext.getCheckpointDir() else merged.persist()
-        merged.count()
+        # Read in full, into files that a lost executor can't take along, before the series' own files are replaced.
+        shared_folder(self.spark)
+        merged = merged.checkpoint()
         merged.repartition("symbol", "timeframe").sortWithinPartitions("symbol", "timeframe", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe").parquet(self.path)
         return n
 
