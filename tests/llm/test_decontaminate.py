@@ -70,3 +70,30 @@ def test_shuffled_seeds_and_empty_tables(spark, monkeypatch):
 def test_tolerates_substitutions_at_ignored_places():
     for m in D.MASKS:
         assert m[0] == m[-1] == "1" and "0" in m
+
+
+def test_masks_leave_a_seed_for_every_allowed_substitution():
+    from itertools import combinations
+    from math import ceil
+
+    for n in range(D.SHORTEST, D.WINDOW + 1):
+        masks = D.masks_of(n)
+        for gone in combinations(range(n), n - ceil(0.8 * n)):
+            assert any(all(at + k not in gone for k, bit in enumerate(m) if bit == "1") for m in masks for at in range(n - len(m) + 1)), (n, gone)
+    assert D.masks_of(40, 0.5)[-1] == "1"
+
+
+def test_short_items_against_sliding(spark):
+    random.seed(7)
+    items = [(n, passage(n)) for n in range(5, 14)]
+    texts = [[], ["w1"]]
+    for n, w in items:
+        for gone in range(3):
+            for _ in range(6):
+                out = random.sample(range(n), gone)
+                texts.append(passage(random.randint(0, 9)) + ["zz" if k in out else x for k, x in enumerate(w)] + passage(3))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in D.contaminated(docs, bench).collect()}
+    want = {(d, i): best for d, t in enumerate(texts) for i, w in items if (best := plain(" ".join(t), w)) >= 0.8 * len(w)}
+    assert got == want

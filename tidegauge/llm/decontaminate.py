@@ -2,11 +2,15 @@
 
 A mask such as 110101011 picks positions of a window of words; words at the other positions may differ. Hashes of the
 picked words of every window of the benchmark meet those of every window of the documents. A hit fixes how the two texts
-lie side by side, and only those alignments are verified: over some window, enough words must be equal in place.
+lie side by side, and only those alignments are verified: over some window, enough words must be equal in place. An item's
+masks hang on its length, so that every set of differing words that verification allows leaves a hit.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ from .common import settled
 MASKS = ("110101011", "111001101")
 #: Words of a verified overlap (the whole item where it is shorter), and the part of them that must be equal in place.
 WINDOW, MATCH = 13, 0.8
+#: Items with fewer words are passed over: so short a run of words is no sign of the benchmark.
+SHORTEST = 5
+#: Words that added masks pick at most, and the sets of differing words up to which masks are searched for.
+PICKED, MOST_SETS = 6, 1000
 #: Seeds of the benchmark up to which they are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -25,6 +33,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def _escapes(mask: str, width: int, differing: tuple[int, ...]) -> bool:
+    """Whether mask has a place among width words where none that it picks differs."""
+    return any(all(not 0 <= d - at < len(mask) or mask[d - at] == "0" for d in differing) for at in range(width - len(mask) + 1))
+
+
+def masks_of(width: int, match: float = MATCH, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """masks, those that fit into width words, and as many more as leave a seed whichever words verification lets differ."""
+    out = [m for m in masks if len(m) <= width]
+    differ = width - max(1, ceil(match * width - 1e-9))
+    run = ceil((width - differ) / (differ + 1))
+    if comb(width, differ) > MOST_SETS:
+        return (*out, "1" * run)
+    left = [d for d in combinations(range(width), differ) if not any(_escapes(m, width, d) for m in out)]
+    n = min(PICKED, width - differ)
+    every = [m for size in range(n, width + 1) for inner in combinations(range(1, size - 1), max(0, n - 2)) for m in ["".join("1" if i in (0, size - 1, *inner) else "0" for i in range(size))] if m.count("1") == n]
+    while left:
+        best = max(every, key=lambda m: sum(_escapes(m, width, d) for d in left))
+        rest = [d for d in left if not _escapes(best, width, d)]
+        if len(rest) == len(left):
+            return (*out, "1" * run)
+        out.append(best)
+        left = rest
+    return tuple(out)
+
+
 def seeds(w: Column, masks: tuple[str, ...] = MASKS) -> Column:
     """For each mask one array: the hash of the picked words of the window from each position of the words w."""
 
@@ -39,21 +72,33 @@ def seeds(w: Column, masks: tuple[str, ...] = MASKS) -> Column:
 
 def _by_seed(rows: DataFrame, masks: tuple[str, ...], at: str) -> DataFrame:
     """Of rows (key, words w): key, mask, seed and its position."""
-    each = rows.where(F.size("w") >= min(map(len, masks))).select("key", F.posexplode(seeds(F.col("w"), masks)).alias("mask", "seeds"))
+    each = rows.where(F.size("w") >= min(map(len, masks), default=0)).select("key", F.posexplode(seeds(F.col("w"), masks)).alias("mask", "seeds"))
     return each.select("key", "mask", F.posexplode("seeds").alias(at, "seed"))
 
 
+def _own(width: Column, of: dict[int, tuple[str, ...]], every: tuple[str, ...]) -> Column:
+    """Whether the mask numbered `mask` is one for items of width words."""
+    out = F.lit(False)
+    for w, masks in of.items():
+        out = out | ((width == w) & F.col("mask").isin(*[every.index(m) for m in masks]))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, masks: tuple[str, ...] = MASKS, window: int = WINDOW, match: float = MATCH) -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage: doc_id, item_id, matched, window, doc_start, item_start.
 
     matched of window words are equal in place, match * window at least; the best such place is given, the first of
     equals. Items with equal words count as one, under their smallest item_id. Null and empty texts hold no word and match
-    nothing, nor do items with fewer words than the shortest mask is long. Repeated rows of docs give their row once;
+    nothing, nor do items with fewer than SHORTEST words. Repeated rows of docs give their row once;
     texts of any length are taken whole. Other columns of docs and benchmark aren't read.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).groupBy("w").agg(F.min("item_id").alias("item_id")).where(F.size("w") > 0).withColumn("key", F.monotonically_increasing_id())
+    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).groupBy("w").agg(F.min("item_id").alias("item_id")).where(F.size("w") >= SHORTEST).withColumn("key", F.monotonically_increasing_id())
     items = settled(items, "items")
-    wanted = settled(_by_seed(items, masks, "item_at").select("mask", "seed", F.col("key").alias("item"), "item_at"), "seeds")
+    width = F.least(F.size("w"), F.lit(window))
+    of = {r.n: masks_of(r.n, match, masks) for r in items.select(width.alias("n")).distinct().orderBy(F.desc("n")).collect()}  # window rows at most
+    masks = tuple(dict.fromkeys(m for x in of.values() for m in x)) or masks
+    sizes = items.select(F.col("key").alias("_key"), width.alias("_width"))
+    wanted = settled(_by_seed(items, masks, "item_at").join(sizes, F.col("key") == F.col("_key")).where(_own(F.col("_width"), of, masks)).select("mask", "seed", F.col("key").alias("item"), "item_at"), "seeds")
     few = wanted.count() <= BROADCAST_SEEDS
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
     each = _by_seed(rows.select("key", words(F.col("text")).alias("w")), masks, "doc_at")
