@@ -1,7 +1,7 @@
 """The pipeline's stages against plain versions, and the queries' contracts."""
 
 import corpus_pipeline as P
-from tests.llm.test_near_dup import plain_components, plain_fingerprint
+from tests.llm.test_near_dup import plain_similar
 from tidegauge.llm import common, queries, repetition
 
 
@@ -21,8 +21,9 @@ def test_stages(spark, sf):
                 assert (i in after) == (n >= 50 and 2 * n_repeat <= n and covered <= 0.4 * n and longest <= 60)
         if stage is P.dedup:
             ids = sorted(before)
-            comp = plain_components([plain_fingerprint(texts[i]) for i in ids])
-            assert after == {ids[c] for c in comp}
+            comp = plain_similar([texts[i] for i in ids])
+            first = {ids[c] for c in comp}
+            assert after >= first and len(after) - len(first) <= 0.1 * (len(before) - len(first))
     out = P.tokens(spark, kept, sf)
     assert {r.doc_id for r in out.collect()} == after
 

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of a few numbers and short strings up to which it is broadcast.
+FEW = 300_000
 #: A key with more than 1/HEAVY of all rows is heavy, so at most HEAVY keys are; that bounds what is broadcast.
 HEAVY = 1000
 
@@ -45,14 +47,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, unique: Column, n_rows: int, may_broadcast: bool = False) -> DataFrame:
-    """rows left-joined with table on the string or binary column key, safe from hot keys and without a second scan of rows.
+def few(table: DataFrame, most: int = FEW) -> bool:
+    """Whether a table that costs little to make has at most so many rows, and so may be broadcast."""
+    return table.limit(most + 1).count() <= most
 
-    table has one row a key; its column weight holds how many rows have that key. Keys with over n_rows/HEAVY rows
-    (HEAVY at most) are broadcast; other rows are shuffled by key, while rows whose key was found already, or is null,
-    are dealt by a surrogate made from unique, an expression that differs between rows.
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, unique: Column, n_rows: int, most: int = 0) -> DataFrame:
+    """rows left-joined with table on the column key, safe from hot keys and without a second scan of rows.
+
+    table has one row a key; its column weight holds how many rows have that key. A table of `most` rows at most is
+    broadcast. Else keys with over n_rows/HEAVY rows (HEAVY at most) are broadcast; other rows are shuffled by key, while
+    rows whose key was found already, or is null, are dealt by a surrogate made from unique, an expression that differs
+    between rows.
     """
     values = [c for c in table.columns if c not in (key, weight)]
+    if most and few(table, most):
+        return rows.join(F.broadcast(table.select(F.col(key).alias("_hk"), *values)), F.col(key) == F.col("_hk"), "left").drop("_hk")
     limit = max(1, n_rows // HEAVY)
     heavy = table.where(F.col(weight) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
     light = table.where(F.col(weight) <= limit).select(F.struct(F.lit(0).alias("s"), F.col(key).alias("k")).alias("_lk"), F.struct(*values).alias("_lv"))

@@ -71,7 +71,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     most = F.max("weight").over(Window.partitionBy())
     table = checkpointed(fitted.select("_cell", "n", "weight", (F.col("weight") / most).alias("probability")))
     n = table.agg(F.sum("n")).first()[0] or 0
-    out = lookup(rows, table, "_cell", "n", F.monotonically_increasing_id(), n, may_broadcast=True)
+    out = lookup(rows, table, "_cell", "n", F.monotonically_increasing_id(), n, most=10_000)
     return out.withColumn("sampled", draw(F.col(doc_id), seed) < F.col("probability")).drop("_cell", "_source", "_lang")
 
 

@@ -1,15 +1,21 @@
-"""Operator 9, SimHash near-duplicates: BK-trees over fingerprints, sharded by the pigeonhole principle.
-
-Fingerprints within `radius` bits agree on all but `radius` of some blocks of bits, whichever those are. A shard is one
-choice of blocks and their bits, so every link has a shard in which both ends meet. A shard holds distinct fingerprints only
-and so has a proven bound, 2 to the bits outside its mask. In each shard a BK-tree is built, children keyed by the integer
-Hamming distance to the parent, and each fingerprint follows only edges within the radius of its own distance. All trees
-of a task are built and searched together, level by level, as arrays. A shard hands on a spanning star of each of its
-components, never its pairs; stars of all shards are joined to components by alternating large and small stars.
+"""Operator 9, SimHash near-duplicates: BK-trees over fingerprints in shards.
+
+Fingerprints that differ in few bits agree on some choice of the others. A shard is one choice of bits and their values, so
+that fingerprints that link meet in a shard; it holds distinct fingerprints only. In each shard a BK-tree is built, children
+keyed by the integer Hamming distance to the parent, and each fingerprint follows only edges within the radius of its own
+distance. All trees of a task are built and searched together, level by level, as arrays. A shard hands on a spanning star
+of each of its components, never its pairs; a shard of more than SHARD_ROWS fingerprints is dealt out as pairs of pieces of
+bounded size. Stars of all shards are joined to components by alternating large and small stars.
+
+near_duplicates() links fingerprints; its shards are those of the pigeonhole principle, which lose no link. similar_groups()
+links texts by the shared part of their shingles: a wide search by sampled bits of two fingerprints finds groups that may
+hold links, and inside these groups, block by block, shingles themselves are compared.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -20,17 +26,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lookup, settled
+from .common import checkpointed, few, lookup, settled
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Blocks of a fingerprint; a shard's key has all but RADIUS of them.
 BLOCKS = 6
 #: Shingles hashed, tree nodes built, and (query, node) pairs looked at, at once.
 BATCH_SHINGLES, BATCH_NODES, BATCH_PAIRS = 100_000, 100_000, 400_000
+#: Fingerprints of a shard that one task holds; a larger shard is dealt out in pieces of half as many.
+SHARD_ROWS = 200_000
+#: For links by shingles: words of a shingle, their least shared part (Jaccard), the radius of the search in one
+#: fingerprint, the bits that two fingerprints may differ in together, and the part of pairs at that radius that the sampled
+#: masks of one fingerprint must bring together.
+SIMILAR_SHINGLE, SIMILARITY, WIDE, WIDE_BOTH, AT_WIDE = 5, 0.8, 13, 30, 0.4
+#: Texts whose shingles are compared by one task at once: two blocks of this size.
+BLOCK_TEXTS = 400
 
 
-def _hashes(text: bytes, n: int) -> list[int]:
-    words = text.lower().split()
+def _words(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def _hashes(words: list[bytes], n: int) -> list[int]:
     if not words:
         return []
     joined = b" ".join(words)
@@ -42,21 +59,32 @@ def _hashes(text: bytes, n: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(start, stop[n - 1 :])]
 
 
-def simhashes(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
-    """Signed 64-bit fingerprints: a bit is 1 if over half of the text's shingles have it; 0 without words."""
-    out = np.zeros(len(texts), np.uint64)
+def _mixed(h: np.ndarray, family: int) -> np.ndarray:
+    """Another 64-bit hash of each hash, one for each family; family 0 is the hash itself."""
+    if family:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * family + 1)) & ((1 << 64) - 1))
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def simhashes(texts: list[list[bytes]], n: int = SHINGLE, families: int = 1) -> np.ndarray:
+    """A row of signed 64-bit fingerprints, one a family, for each text's words: a bit is 1 if over half of the text's shingles have it; 0 without words."""
+    out = np.zeros((len(texts), families), np.uint64)
     held: list[list[int]] = []
     at: list[int] = []
     size = 0
 
     def close() -> None:
         counts = np.array([len(x) for x in held])
-        bits = np.unpackbits(np.array([h for x in held for h in x], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int64)
-        out[at] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-
-    for i, t in enumerate(texts):
-        if own := _hashes(t, n):
+        hashes = np.array([h for x in held for h in x], "<u8")
+        for k in range(families):
+            bits = np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int64)
+            out[at, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+    for i, words in enumerate(texts):
+        if own := _hashes(words, n):
             held.append(own)
             at.append(i)
             size += len(own)
@@ -68,12 +96,16 @@ def simhashes(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bytes(x: pd.Series) -> list[bytes]:
+    return [bytes(t) if t is not None else b"" for t in x]
+
+
 def fingerprint(text: Column, n: int = SHINGLE) -> Column:
     """The signed 64-bit fingerprint of a string or binary column; null counts as the empty text."""
 
     @F.pandas_udf("bigint")
     def hashed(x: pd.Series) -> pd.Series:
-        return pd.Series(simhashes([bytes(t) if t is not None else b"" for t in x], n))
+        return pd.Series(simhashes([_words(t) for t in _bytes(x)], n)[:, 0])
 
     return hashed(text.cast("binary"))
 
@@ -85,6 +117,13 @@ def shard_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [sum(block[k] for k in c) for c in combinations(range(blocks), blocks - radius)]
 
 
+def sampled_masks(bits: int, radius: int = WIDE, found: float = AT_WIDE) -> list[int]:
+    """Masks of that many bits drawn with a fixed seed, as many as bring the part `found` of pairs at that radius together, more of the nearer ones."""
+    together = math.comb(64 - radius, bits) / math.comb(64, bits)
+    draw = random.Random(bits)
+    return [sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(math.ceil(math.log(1 - found) / math.log(1 - together)))]
+
+
 def _roots(a: np.ndarray) -> np.ndarray:
     while (b := a[a]).tobytes() != a.tobytes():
         a = b
@@ -127,8 +166,11 @@ def forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return root, key[by], child[by]
 
 
-def linked(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For distinct fingerprints in runs of equal shard: the position that stands for the component of each within its run."""
+def linked(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, other: np.ndarray | None = None, both: int = 0) -> np.ndarray:
+    """For distinct fingerprints in runs of equal shard: the position that stands for the component of each within its run.
+
+    Fingerprints within radius bits link; given a second fingerprint of each, only if they differ in `both` bits at most in all.
+    """
     root, key, child = forest(shard, fp)
     comp = np.arange(len(fp))
     size = np.bincount(root, minlength=len(fp))[root]
@@ -142,6 +184,8 @@ def linked(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarra
             continue
         d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
         hit = (d <= radius) & (node < q)
+        if other is not None:
+            hit[hit] = d[hit] + np.bitwise_count(other[q[hit]] ^ other[node[hit]]) <= both
         comp = _union(comp, q[hit], node[hit])
         low = np.searchsorted(key, 65 * node + np.maximum(d - radius, 0), "left")
         n = np.searchsorted(key, 65 * node + np.minimum(d + radius, 64), "right") - low
@@ -152,45 +196,103 @@ def linked(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarra
     return comp
 
 
-def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """From rows (shard, key, fp) sorted by all three: (fp, the fp that stands for its component in the shard)."""
-    held = [np.zeros((0, 3), np.int64)]
+def _stars(batches: Iterator[pa.RecordBatch], radius: int, both: int, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """From rows (key..., fp, other) sorted by all: rows (key..., fp, other, to, to_other) from each fingerprint to the one that stands for its component in its run of equal keys.
+
+    Of a run of over `limit` rows nothing is searched: all its rows are handed on without an end.
+    """
+    held: list[np.ndarray] = []
     n = 0
+    names: list[str] = []
+    passing: np.ndarray | None = None
 
-    def flush(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
-        fp = rows[:, 2]
-        comp = linked(np.cumsum(new), fp.view(np.uint64), radius)
+    def out(rows: np.ndarray, to: np.ndarray | None) -> pa.RecordBatch:
+        ends = [pa.nulls(len(rows), pa.int64())] * 2 if to is None else [pa.array(to[:, 0]), pa.array(to[:, 1])]
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(rows.shape[1])], *ends], names=[*names, "to", "to_other"])
+
+    def searched(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.r_[True, (rows[1:, :-2] != rows[:-1, :-2]).any(axis=1)]
+        fp, other = rows[:, -2].view(np.uint64), rows[:, -1].view(np.uint64)
+        comp = linked(np.cumsum(new), np.ascontiguousarray(fp), radius, np.ascontiguousarray(other) if both else None, both)
         of = np.flatnonzero(comp != np.arange(len(comp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[of]), pa.array(fp[comp[of]])], names=["a", "b"])
+        return out(rows[of], rows[comp[of], -2:])
+
+    def run_start(rows: np.ndarray) -> int:
+        """Where the last run of rows begins."""
+        return int(np.flatnonzero((rows[:, :-2] == rows[-1, :-2]).all(axis=1))[0])
 
     for b in batches:
-        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
-        n += len(held[-1])
+        names = b.schema.names
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+        if passing is not None:
+            more = int((rows[:, :-2] == passing).all(axis=1).sum())
+            if more:
+                yield out(rows[:more], None)
+                rows = rows[more:]
+            if not len(rows):
+                continue
+            passing = None
+        held.append(rows)
+        n += len(rows)
         if n >= BATCH_NODES:
             rows = np.concatenate(held)
-            stop = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
-            if stop:
-                yield flush(rows[:stop])
-            held, n = [rows[stop:]], 0
-    rows = np.concatenate(held)
+            at = run_start(rows)
+            if at:
+                yield from _whole(rows[:at], limit, searched, out)
+            rows = rows[at:]
+            if limit and len(rows) > limit:
+                yield out(rows, None)
+                passing, rows = rows[-1, :-2].copy(), rows[:0]
+            held, n = [rows], len(rows) if at else 0
+    rows = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
     if len(rows):
-        yield flush(rows)
+        yield from _whole(rows, limit, searched, out)
+
+
+def _whole(rows: np.ndarray, limit: int | None, searched, out) -> Iterator[pa.RecordBatch]:
+    """Whole runs: those of over `limit` rows handed on, the others searched."""
+    if limit and len(rows) > limit:
+        first = np.flatnonzero(np.r_[True, (rows[1:, :-2] != rows[:-1, :-2]).any(axis=1)])
+        size = np.repeat(np.diff(np.r_[first, len(rows)]), np.diff(np.r_[first, len(rows)]))
+        if (size > limit).any():
+            yield out(rows[size > limit], None)
+            rows = rows[size <= limit]
+    if len(rows):
+        yield searched(rows)
+
+
+def _edges(shards: DataFrame, radius: int, both: int = 0, limit: int = SHARD_ROWS) -> DataFrame:
+    """Stars of rows (shard, key, fp, other): shard, fp, other, to, to_other."""
+    kinds = "fp bigint, other bigint, to bigint, to_other bigint"
+    found = settled(shards.repartition("shard", "key").sortWithinPartitions("shard", "key", "fp", "other").mapInArrow(lambda b: _stars(b, radius, both, limit), f"shard bigint, key bigint, {kinds}"), "stars")
+    large = found.where("to IS NULL").select("shard", "key", "fp", "other")
+    if large.take(1):
+        # Each pair of pieces of a large shard is one group; a piece has half a task's rows.
+        n = large.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("pieces", F.ceil(F.col("n") / F.lit(max(1, limit // 4))).cast("int")).drop("n")
+        own = large.join(F.broadcast(n) if few(n) else n, ["shard", "key"]).withColumn("piece", F.pmod(F.xxhash64("fp", "other"), F.col("pieces")).cast("int"))
+        dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to_piece")).select("shard", "key", F.least("piece", "to_piece").alias("i"), F.greatest("piece", "to_piece").alias("j"), "fp", "other")
+        split = dealt.repartition("shard", "key", "i", "j").sortWithinPartitions("shard", "key", "i", "j", "fp", "other")
+        found = found.unionByName(split.mapInArrow(lambda b: _stars(b, radius, both, None), f"shard bigint, key bigint, i bigint, j bigint, {kinds}").drop("i", "j"))
+    return found.where("to IS NOT NULL").drop("key")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), for all nodes that edges name."""
-    spark = edges.sparkSession
+    """(node, component): the smallest node reachable over edges (a, b), for all nodes that edges name.
+
+    A node with many edges is a hot key of the joins by node, whose least neighbours lookup() therefore broadcasts.
+    """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    state, size = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = lookup(both.where("b > a"), low, "a", "n", F.col("b"), 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = checkpointed(large)
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = lookup(large, low, "a", "n", F.col("b"), size).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = checkpointed(small)
         told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        size = told[0]
         if told == state:
             break
         state = told
@@ -208,10 +310,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = settled(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
     marks = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "marks")
-    masks = [m - (1 << 64) if m >> 63 else m for m in shard_masks(radius, blocks)]
-    shards = marks.select(F.explode(F.array(*[F.struct(F.lit(j).alias("shard"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"), "fp") for j, m in enumerate(masks)])).alias("s")).select("s.*")
-    dealt = shards.repartition("shard", "key").sortWithinPartitions("shard", "key", "fp")
-    comps = components(dealt.mapInArrow(lambda b: _stars(b, radius), "a bigint, b bigint"))
+    masks = [_signed(m) for m in shard_masks(radius, blocks)]
+    shards = marks.select(F.explode(F.array(*[F.struct(F.lit(j).alias("shard"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"), "fp") for j, m in enumerate(masks)])).alias("s")).select("s.*", F.lit(0).cast("long").alias("other"))
+    comps = components(_edges(shards, radius).select(F.col("fp").alias("a"), F.col("to").alias("b")))
     named = marks.join(comps, F.col("fp") == F.col("node"), "left")
     firsts = named.where("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
     named = named.join(firsts, "component", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("smallest")).otherwise(F.col("first")).alias("component_id"), "n")
@@ -224,11 +325,154 @@ def _hex(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is its component's id in found (near_duplicates() of docs); a doc_id that repeats stays once.
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _text_marks(text: Column, n: int) -> Column:
+    """A struct of two fingerprints and a 128-bit digest of a text's lower-case words."""
+
+    @F.pandas_udf("fp bigint, fp2 bigint, digest string")
+    def marked(x: pd.Series) -> pd.DataFrame:
+        words = [_words(t) for t in _bytes(x)]
+        both = simhashes(words, n, 2)
+        return pd.DataFrame({"fp": both[:, 0], "fp2": both[:, 1], "digest": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]})
 
-    Rows without doc_id stay, equal texts of them once.
+    return marked(text.cast("binary"))
+
+
+def _shingle_sets(text: Column, n: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def sets(x: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.array(_hashes(_words(t), n), np.uint64)).view(np.int64) for t in _bytes(x)])
+
+    return sets(text.cast("binary"))
+
+
+def _shared(first: list[np.ndarray], second: list[np.ndarray] | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """Places in the first list and in the second (within the first if there is none) of sets that share enough; of those that are linked within a list, only the first link is sought.
+
+    For each set of the first list one pass over all words of the second counts what they share.
+    """
+    both = [*first, *(second or [])]
+    size = np.array([len(x) for x in both])
+    _, place = np.unique(np.concatenate(both), return_inverse=True)
+    stop = np.cumsum(size)
+    flag = np.zeros(int(place.max(initial=-1)) + 1, bool)
+    low = len(first) if second is not None else 0
+    inside = place[stop[low] - size[low] :]
+    begin = (stop - size)[low:] - (stop[low] - size[low])
+    for i in range(len(first)):
+        own = place[stop[i] - size[i] : stop[i]]
+        flag[own] = True
+        n = np.add.reduceat(flag[inside], begin)
+        flag[own] = False
+        hit = n >= similarity * (size[i] + size[low:] - n)
+        for j in np.flatnonzero(hit):
+            if second is not None or j > i:
+                yield i, int(j)
+
+
+def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """From rows (comp, i, j, piece, digest, set) sorted by comp, i and j: links (a, b) of digests, a forest of those in a group."""
+    held: list[tuple[str, int, np.ndarray]] = []
+    key = None
+
+    def close() -> pa.RecordBatch:
+        _, i, j = key
+        first = [x for x in held if x[1] == i]
+        second = [x for x in held if x[1] == j] if i != j else None
+        a, b, root = [], [], {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        if first and (second or i == j):
+            for p, q in _shared([x[2] for x in first], [x[2] for x in second] if second is not None else None, similarity):
+                x, y = first[p][0], (second if second is not None else first)[q][0]
+                u, v = top(x), top(y)
+                if u != v:
+                    root[u] = v
+                    a.append(x)
+                    b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    for batch in batches:
+        comp, i, j, piece, digest = (batch.column(k).to_pylist() for k in range(5))
+        sets = batch.column(5)
+        for r, own in enumerate(zip(comp, i, j)):
+            if own != key:
+                if len(held) > 1:
+                    yield close()
+                held, key = [], own
+            values = sets[r].values
+            held.append((digest[r], piece[r], values.to_numpy(zero_copy_only=False).copy() if values is not None else np.zeros(0, np.int64)))
+    if len(held) > 1:
+        yield close()
+
+
+def with_marks(docs: DataFrame, text: str = "text", *, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """docs with _row, a number of its own, and _fp, _fp2 and _digest of the text, written down; columns so named must not be there."""
+    m = F.col("_m")
+    rows = docs.withColumn("_m", _text_marks(F.col(text), shingle)).withColumns({"_row": F.monotonically_increasing_id(), "_fp": m.fp, "_fp2": m.fp2, "_digest": m.digest}).drop("_m")
+    return settled(rows, "marked")
+
+
+def similar_groups(marked: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, both: int = WIDE_BOTH, found: float = AT_WIDE, block: int = BLOCK_TEXTS) -> DataFrame:
+    """digest, component (a digest), doc_id and row (the component's smallest) for each distinct text of with_marks() rows.
+
+    Texts link if their sets of shingles share `similarity` of their union; texts of equal words are one. A text of fewer
+    words than a shingle is one shingle, one without words links to its likes only. Links are sought between texts of which
+    one fingerprint differs in radius bits at most, both together in `both`, and that agree under one of the sampled masks,
+    whose length grows with the number of texts. Groups of such texts, of any size, are then compared block by block by
+    their shingles, so what links is exact, and what is lost is what the search does not bring together.
+    """
+    texts = settled(marked.groupBy(F.col("_digest").alias("digest")).agg(F.first("_fp").alias("fp"), F.first("_fp2").alias("fp2"), F.min(F.struct(F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("doc_id"), F.col("_row").alias("row"))).alias("smallest")), "texts")
+    node = lambda a, b: F.xxhash64(a, b)
+    prints = texts.select("fp", "fp2").distinct()
+    masks = [_signed(m) for m in sampled_masks(min(40, max(8, math.ceil(math.log2(max(2, texts.count()))) - 2)), radius, found)]
+    shards = [F.struct(F.lit(2 * k + f).alias("shard"), F.col(x).bitwiseAND(F.lit(m)).alias("key"), F.col(x).alias("fp"), F.col(y).alias("other")) for k, m in enumerate(masks) for f, (x, y) in enumerate((("fp", "fp2"), ("fp2", "fp")))]
+    stars = _edges(prints.select(F.explode(F.array(*shards)).alias("s")).select("s.*"), radius, both)
+    swapped = F.col("shard") % 2 == 1
+    ends = [F.when(swapped, node(y, x)).otherwise(node(x, y)) for x, y in (("fp", "other"), ("to", "to_other"))]
+    wide = components(stars.select(ends[0].alias("a"), ends[1].alias("b")))
+    placed = texts.select("digest", "smallest.row", node("fp", "fp2").alias("node")).join(wide, "node", "left").select("digest", "row", F.coalesce("component", "node").alias("comp"))
+    n = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    touched = settled(lookup(placed, n, "comp", "n", F.col("row"), texts.count()).where("pieces IS NOT NULL"), "touched")
+    near = F.broadcast(touched) if few(touched) else touched
+    sets = marked.select(F.col("_row").alias("row"), F.col(text).alias("text")).join(near, "row").select("digest", "comp", "pieces", F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int").alias("piece"), _shingle_sets(F.col("text"), shingle).alias("set"))
+    pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to")).select("comp", F.least("piece", "to").alias("i"), F.greatest("piece", "to").alias("j"), "piece", "digest", "set")
+    links = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lambda b: _links(b, similarity), "a string, b string")
+    comps = components(links)
+    named = texts.select("digest", "smallest").join(comps, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("component", "digest").alias("component"), "smallest")
+    named = settled(named, "named")
+    firsts = named.groupBy("component").agg(F.min("smallest").alias("s"), F.count(F.lit(1)).alias("n"))
+    return lookup(named.select("digest", "component"), firsts, "component", "n", F.col("digest"), named.count()).select("digest", "component", "s.doc_id", "s.row")
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of its similar_groups(), for each row of docs; null where a group has no doc_id."""
+    marked = with_marks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle)
+    groups = similar_groups(marked, shingle=shingle, similarity=similarity)
+    rows = marked.select("doc_id", "_digest", "_row")
+    n = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("n"))
+    table = groups.select("digest", F.col("doc_id").alias("component_id")).join(n, F.col("digest") == F.col("_digest")).select("_digest", "component_id", "n")
+    return lookup(rows, table, "_digest", "n", F.col("_row"), rows.count()).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs for each of its similar_groups(): that of the smallest doc_id, then the first.
+
+    Rows are told apart as rows, so equal doc_ids with different texts, and rows without doc_id, are judged by their texts;
+    of repeated rows one stays. Null and empty texts, and those of white space only, are one group. Columns named like the
+    working ones (_row, _fp, _fp2, _digest, _m) raise. An empty table stays empty. Texts are shuffled only where the rows that
+    go are too many to be broadcast.
     """
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    return kept.withColumn("_t", F.when(F.col(doc_id).isNull(), F.xxhash64(text))).dropDuplicates([doc_id, "_t"]).drop("_t")
+    if clash := {"_row", "_fp", "_fp2", "_digest", "_m"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are names of working columns")
+    marked = with_marks(docs, text, shingle=shingle)
+    kept = similar_groups(marked, doc_id, text, shingle=shingle, similarity=similarity).select(F.col("row").alias("_row")).distinct()
+    gone = settled(marked.select("_row").join(kept, "_row", "left_anti"), "gone")
+    return marked.join(F.broadcast(gone) if few(gone) else gone, "_row", "left_anti").select(*docs.columns)
