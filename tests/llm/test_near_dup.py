@@ -163,7 +163,7 @@ def test_similar_against_all_pairs(spark):
 def test_one_row_of_each_group_stays(spark):
     t = [edited("w" + " v w x y z" * 12, 30) for _ in range(3)]
     rows = [(0, t[0]), (1, t[0]), (1, t[1]), (1, t[1]), (None, t[1]), (None, t[2]), (None, t[2]), (7, None), (8, ""), (9, t[0].upper())]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component": F.lit("clash"), "row": F.lit(1), "n": F.lit(2)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component": F.lit("clash"), "row": F.lit(1), "_digest": F.lit(2)})
     kept = N.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(False, 0, t[0]), (False, 1, t[1]), (True, 0, t[2]), (False, 7, "")])

@@ -38,9 +38,19 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager checkpoint() in the shared folder, for the small tables of iterative operators."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """settled(), for the small tables of iterative operators: unlike checkpoint(), it also sets the planner's estimates of size anew, which joins would multiply round by round."""
+    return settled(df, "step")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names for working columns, with underscores before those that df has itself."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        taken.add(n)
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few, lookup, settled
+from .common import checkpointed, few, lookup, settled, unused
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Blocks of a fingerprint; a shard's key has all but RADIUS of them.
@@ -68,9 +68,9 @@ def _mixed(h: np.ndarray, family: int) -> np.ndarray:
     return h
 
 
-def simhashes(texts: list[list[bytes]], n: int = SHINGLE, families: int = 1) -> np.ndarray:
-    """A row of signed 64-bit fingerprints, one a family, for each text's words: a bit is 1 if over half of the text's shingles have it; 0 without words."""
-    out = np.zeros((len(texts), families), np.uint64)
+def simhashes(texts: Iterable[list[bytes]], size_of: int, n: int = SHINGLE, families: int = 1) -> np.ndarray:
+    """For size_of texts, whose words come one text after the other: a row of signed 64-bit fingerprints, one a family, for each: a bit is 1 if over half of the text's shingles have it; 0 without words."""
+    out = np.zeros((size_of, families), np.uint64)
     held: list[list[int]] = []
     at: list[int] = []
     size = 0
@@ -96,8 +96,9 @@ def simhashes(texts: list[list[bytes]], n: int = SHINGLE, families: int = 1) ->
     return out.view(np.int64)
 
 
-def _bytes(x: pd.Series) -> list[bytes]:
-    return [bytes(t) if t is not None else b"" for t in x]
+def _each(x: pd.Series) -> Iterator[list[bytes]]:
+    """The words of each text of a series; null has none."""
+    return (_words(bytes(t)) if t is not None else [] for t in x)
 
 
 def fingerprint(text: Column, n: int = SHINGLE) -> Column:
@@ -105,7 +106,7 @@ def fingerprint(text: Column, n: int = SHINGLE) -> Column:
 
     @F.pandas_udf("bigint")
     def hashed(x: pd.Series) -> pd.Series:
-        return pd.Series(simhashes([_words(t) for t in _bytes(x)], n)[:, 0])
+        return pd.Series(simhashes(_each(x), len(x), n)[:, 0])
 
     return hashed(text.cast("binary"))
 
@@ -334,9 +335,15 @@ def _text_marks(text: Column, n: int) -> Column:
 
     @F.pandas_udf("fp bigint, fp2 bigint, digest string")
     def marked(x: pd.Series) -> pd.DataFrame:
-        words = [_words(t) for t in _bytes(x)]
-        both = simhashes(words, n, 2)
-        return pd.DataFrame({"fp": both[:, 0], "fp2": both[:, 1], "digest": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]})
+        digests = []
+
+        def told() -> Iterator[list[bytes]]:
+            for words in _each(x):
+                digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                yield words
+
+        both = simhashes(told(), len(x), n, 2)
+        return pd.DataFrame({"fp": both[:, 0], "fp2": both[:, 1], "digest": digests})
 
     return marked(text.cast("binary"))
 
@@ -344,7 +351,7 @@ def _text_marks(text: Column, n: int) -> Column:
 def _shingle_sets(text: Column, n: int) -> Column:
     @F.pandas_udf("array<bigint>")
     def sets(x: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.array(_hashes(_words(t), n), np.uint64)).view(np.int64) for t in _bytes(x)])
+        return pd.Series([np.unique(np.array(_hashes(words, n), np.uint64)).view(np.int64) for words in _each(x)])
 
     return sets(text.cast("binary"))
 
@@ -414,9 +421,10 @@ def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
 
 
 def with_marks(docs: DataFrame, text: str = "text", *, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """docs with _row, a number of its own, and _fp, _fp2 and _digest of the text, written down; columns so named must not be there."""
-    m = F.col("_m")
-    rows = docs.withColumn("_m", _text_marks(F.col(text), shingle)).withColumns({"_row": F.monotonically_increasing_id(), "_fp": m.fp, "_fp2": m.fp2, "_digest": m.digest}).drop("_m")
+    """docs with _row, a number of its own, and _fp, _fp2 and _digest of the text, written down; columns of docs so named give way."""
+    (name,) = unused(docs, "marks")
+    m = F.col(name)
+    rows = docs.withColumn(name, _text_marks(F.col(text), shingle)).withColumns({"_row": F.monotonically_increasing_id(), "_fp": m.fp, "_fp2": m.fp2, "_digest": m.digest}).drop(name)
     return settled(rows, "marked")
 
 
@@ -466,13 +474,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     """One row of docs for each of its similar_groups(): that of the smallest doc_id, then the first.
 
     Rows are told apart as rows, so equal doc_ids with different texts, and rows without doc_id, are judged by their texts;
-    of repeated rows one stays. Null and empty texts, and those of white space only, are one group. Columns named like the
-    working ones (_row, _fp, _fp2, _digest, _m) raise. An empty table stays empty. Texts are shuffled only where the rows that
-    go are too many to be broadcast.
+    of repeated rows one stays. Null and empty texts, and those of white space only, are one group. Columns of any name are
+    kept. An empty table stays empty. Texts are shuffled only where the rows that go are too many to be broadcast.
     """
-    if clash := {"_row", "_fp", "_fp2", "_digest", "_m"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are names of working columns")
-    marked = with_marks(docs, text, shingle=shingle)
-    kept = similar_groups(marked, doc_id, text, shingle=shingle, similarity=similarity).select(F.col("row").alias("_row")).distinct()
+    marked = with_marks(docs.select(F.struct("*").alias("doc")), f"doc.`{text}`", shingle=shingle)
+    kept = similar_groups(marked, f"doc.`{doc_id}`", f"doc.`{text}`", shingle=shingle, similarity=similarity).select(F.col("row").alias("_row")).distinct()
     gone = settled(marked.select("_row").join(kept, "_row", "left_anti"), "gone")
-    return marked.join(F.broadcast(gone) if few(gone) else gone, "_row", "left_anti").select(*docs.columns)
+    return marked.join(F.broadcast(gone) if few(gone) else gone, "_row", "left_anti").select("doc.*")
