@@ -1,6 +1,8 @@
 """Operator 1, LM scoring: probability of a text under a unigram model over subwords, summed over all segmentations.
 
-The pieces are those of a public vocabulary; their scores are learned from the training texts' words. A word is a lattice
+The pieces and their first scores are those of a public vocabulary: log probabilities as they stand, or, where a file has
+ranks of merges, probabilities that fall with the rank by Zipf's law. One pass over the training texts' words re-estimates
+them by how often the words' segmentations hold each piece in expectation. A word is a lattice
 of pieces: the first is marked with the word boundary, others follow until the word stops. A word that training knows has
 one more edge, itself as a whole, with its discounted count; what discounting frees weights the ways through pieces. A
 forward recursion in log space sums over all ways. No edge crosses a boundary, so a text's lattice is a chain of its
@@ -29,8 +31,9 @@ from .public_vocab import default_path
 
 #: Words whose counts are broadcast. Words that a task holds before it hands on their counts.
 FREQUENT, HELD = 100_000, 300_000
-#: Added to each piece's expected count; rounds of expectation-maximisation.
-SMOOTHING, ROUNDS = 0.1, 2
+#: Added to each piece's expected count; rounds of expectation-maximisation; ranks added to a merge's in Zipf's law; a
+#: single byte's first part of the pieces that follow.
+SMOOTHING, ROUNDS, RANKS, BYTE = 0.1, 1, 10.0, 1e-5
 BOUNDARY = "▁"
 
 
@@ -62,18 +65,25 @@ class Trained(NamedTuple):
         return math.log10(self.discount * (self.distinct - 1) / self.tokens) if self.distinct > 1 else math.log10(0.5)
 
 
-def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Pieces of a sentencepiece file that begin a word, without their mark, and those that don't; ASCII in lower case."""
+def vocabulary(path: str) -> tuple[dict[bytes, float], dict[bytes, float]]:
+    """Weights of the pieces of a sentencepiece file that begin a word, without their mark, and of those that don't; ASCII in lower case.
+
+    Pieces that fall together in lower case add up. Whole-numbered scores are ranks of merges.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    first, inner = {b""}, set()
-    for i in range(sp.get_piece_size()):
+    own = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    score = np.array([sp.get_score(i) for i in own])
+    weight = 1 / (RANKS - score) if (score == np.round(score)).all() else np.exp(score)
+    first, inner = {b"": float(weight.min())}, {}
+    for i, w in zip(own, weight.tolist()):
         piece = sp.id_to_piece(i)
         body = piece.removeprefix(BOUNDARY)
-        if body and BOUNDARY not in body and not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            (first if piece != body else inner).add(body.encode().lower())
-    return sorted(first), sorted(inner)
+        if body and BOUNDARY not in body:
+            of, key = (first if piece != body else inner), body.encode().lower()
+            of[key] = of.get(key, 0.0) + w
+    return first, inner
 
 
 def _with_beginnings(scores: dict[bytes, float]) -> dict[bytes, float | None]:
@@ -214,13 +224,14 @@ def train(docs: DataFrame, learns: Column, text: str = "text") -> Trained:
 
 
 def fit(trained: Trained, path: str, rounds: int = ROUNDS) -> Model:
-    """Scores of the vocabulary's pieces by expectation-maximisation over the distinct training words, at first all alike.
+    """Scores of the vocabulary's pieces: its own, then by expectation-maximisation over the distinct training words.
 
     Each task sends one number a piece.
     """
     spark = trained.counts.sparkSession
     first, inner = vocabulary(path)
-    model = model_of(dict.fromkeys(first, 1.0), dict.fromkeys(inner, 1.0), [0.01] * 256, float(len(inner)))
+    total = sum(inner.values())
+    model = model_of(first, inner, [BYTE * total] * 256, total)
     words = trained.counts.where("c > 0").select("word").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
