@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import surrogates as S
@@ -27,7 +28,7 @@ TEXTS = [
 
 def run(spark, texts, **more):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumns({"n_entities": F.lit("clash"), "id": F.lit(3), "round": F.lit(1)})
-    return [r.text for r in S.replaced(docs, **more).orderBy("doc_id").collect()]
+    return [r.text for r in S.replaced(docs, **{"key": "k"} | more).orderBy("doc_id").collect()]
 
 
 def test_types_formats_and_coreference(spark):
@@ -38,7 +39,7 @@ def test_types_formats_and_coreference(spark):
         assert all(old not in (t or "") for t in got)
     a, given, surname = re.match(r"(Mr\.) (\S+) (\S+) met Frau", got[1]).groups()
     assert f"Mrs {surname};" in got[1] and f"{given} {surname}" in got[7] and email[1] in got[7]
-    assert set(given.split("-")) <= set(S.MALE_NAMES)
+    assert set(given.split("-")) <= set(S.MALE_NAMES)  # no collision, so no syllable
     assert luhn(re.search(r"card (\d{16})\.", got[1])[1])
     assert re.fullmatch(r"г-жа [А-ЯЁа-яё-]+ [А-Я][а-я]+ова и господин [А-Я][а-я]+ов; κυρία [Ͱ-Ͽ-]+ [Ͱ-Ͽ]+ου", got[2])
     assert re.fullmatch(r'token = "[0-9a-f]{40}" password=[a-z]{12} AKIA[A-Z]{16}', got[3])
@@ -59,5 +60,39 @@ def test_collisions_are_drawn_anew(spark):
     assert not {a for a, _ in pairs} & set(names)
 
 
-def test_empty_table(spark):
-    assert S.replaced(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+def test_empty_table_and_key(spark):
+    docs = spark.createDataFrame([], "doc_id int, text string")
+    assert S.replaced(docs, key="k").count() == 0
+    with pytest.raises(ValueError):
+        S.replaced(docs, key="")
+
+
+def test_secrets_of_signs_and_other_scripts(spark):
+    """A masked password maps to other signs, and one of a script without stand-ins grows; no text is lost."""
+    values = ["********", "--------", "密码密码密码", "пароль", "كلمةسرية", "ሰላምሰላም"]
+    got = run(spark, [f"password={v} end" for v in values])
+    new = [re.fullmatch(r"password=(\S+) end", t)[1] for t in got]
+    assert len(set(new)) == len(values) and not set(new) & set(values)
+    assert re.fullmatch(r"[\u4e00-\u9fff]{6}[a-z]*", new[2]) and re.fullmatch("[а-я]{6}", new[3])
+
+
+def test_more_names_than_listed_ones(spark):
+    """2000 Greek and 2000 Cyrillic given names of one gender stay distinct, though few listed ones stand for them."""
+    greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчш"
+    made = lambda letters, k: (letters[k % 24] + letters[k // 24 % 24] + letters[k // 576 % 24] + letters[5]).capitalize()
+    texts = [f"κυρία {made(greek, k)} Παπα" for k in range(2000)] + [f"госпожа {made(cyrillic, k)} Иванова" for k in range(2000)]
+    got = run(spark, texts)
+    names = [t.split()[1] for t in got]
+    assert len(set(names)) == len(texts) and not set(names) & {t.split()[1] for t in texts}
+    assert len({t.split()[2] for t in got}) == 2
+    assert all(re.fullmatch("[Ͱ-Ͽ-]+", n) for n in names[:2000]) and all(re.fullmatch("[А-Яа-яё-]+", n) for n in names[2000:])
+
+
+def test_numbers_keep_their_checks(spark):
+    got = run(spark, ["pay to DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819", "ssn 123-45-6789, tel 03-1234-5678", None])
+    for iban in re.findall(r"(?:DE|GB)\d\d[A-Z0-9 ]+[0-9]", got[0]):
+        bare = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert "3704" not in got[0] and "NWBK" not in got[0] and re.fullmatch(r"pay to DE\d\d( \d{4}){4} \d\d or GB\d\d[A-Z]{4}\d{14}", got[0])
+    area, group, serial, phone = re.fullmatch(r"ssn (\d{3})-(\d\d)-(\d{4}), tel (0\d-\d{4}-\d{4})", got[1]).groups()
+    assert 0 < int(area) < 666 and int(group) and int(serial) and phone != "03-1234-5678"

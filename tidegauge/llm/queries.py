@@ -40,7 +40,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replaced(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.replaced(common.table(spark, sf_dir, "documents").select("doc_id", "text"), key=spark.conf.get("spark.tidegauge.surrogates.key", "test tables only"))
 
 
 def op8_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

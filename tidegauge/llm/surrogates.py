@@ -3,7 +3,9 @@
 One pattern finds entities; each is replaced by another of its type that is made from a keyed hash of it: digits for
 digits, letters for letters of the same case and script, valid check digits for card numbers, and for names other names of
 the same gender and script. Equal entities have equal surrogates everywhere, so who is who stays plain across documents;
-surrogates that two entities share, or that occur as real entities, are drawn anew until none does.
+surrogates that two entities share, or that occur as real entities, are drawn anew until none does. What a type's format
+allows is bounded, so from some round on surrogates grow by a letter, syllable or digit a round: however many entities there
+are, the drawing ends. Names are found by a title or a listed given name before them; other names stay.
 """
 
 from __future__ import annotations
@@ -11,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, settled
+from .common import checkpointed, few, settled, unused
 
-KEY = "surrogate-key"
+#: Rounds of drawing from which names, addresses and secrets grow, and those from which numbers do.
+GROWS, NUMBERS_GROW = 3, 12
 
 # Titles that tell a gender, titles that don't, and given names by gender.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Mister", "Sir", "господин", "г-н", "κύριος", "κ")
@@ -43,7 +46,7 @@ PATTERNS = {
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?=\d)(?<![\d.-])(?:(?:\d{4}[\x20-]?){3}\d{4}|3[47]\d{2}[\x20-]?\d{6}[\x20-]?\d{5})(?![\d-])",
-    "phone": r"(?=[+(\d])(?<![\w.])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)\x20?\d{3}-\d{4}(?!\d)|(?<!-)\d{3}-\d{3}-\d{4}(?![\w-]))",
+    "phone": r"(?=[+(\d])(?<![\w.])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)\x20?\d{3}-\d{4}(?!\d)|(?<!-)(?:\d{3}-\d{3}|0\d{1,3}-\d{3,4})-\d{4}(?![\w-]))",
     "person": rf"{_TITLED}|{_GIVEN_NAME}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -69,13 +72,24 @@ def _digit(seed: Column, i: Column | int, most: int) -> Column:
     return F.pmod(F.xxhash64(seed, i if isinstance(i, Column) else F.lit(i)), F.lit(most)).cast("int")
 
 
+# For each class of characters, those that stand in for others of it.
+_STAND_INS = (
+    ("0123456789", "0-9"), ("abcdefghijklmnopqrstuvwxyz", "a-z"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A-Z"),
+    ("абвгдежзиклмнопрстуфхцчшщэюя", r"\p{IsCyrillic}&&\p{Ll}"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", r"\p{IsCyrillic}&&\p{Lu}"),
+    ("αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsGreek}&&\p{Ll}"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"\p{IsGreek}&&\p{Lu}"),
+    ("àâçèéêëîïñôùûäöüß", r"\p{IsLatin}&&\p{Ll}"), ("ÀÂÇÈÉÊËÎÏÑÔÙÛÄÖÜ", r"\p{IsLatin}&&\p{Lu}"),
+    ("天地人山水火木金土日月星", r"\p{IsHan}"), ("あいうえおかきくけこさしすせそ", r"\p{IsHiragana}"), ("アイウエオカキクケコサシスセソ", r"\p{IsKatakana}"), ("가나다라마바사아자차카타파하", r"\p{IsHangul}"),
+    ("ابتثجحخدرزسشصطعفقكلمنهوي", r"\p{IsArabic}&&\p{L}"), ("אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsHebrew}&&\p{L}"), ("कखगघचछजझटठडढतथदधनपफबभम", r"\p{IsDevanagari}&&\p{L}"),
+    ("#*+!?~^%&$", r"[\p{P}\p{S}]&&[^\x20@.,;:'\"()/-]"),
+)
+
+
 def _shaped(value: Column, seed: Column, hexadecimal: Column | None = None) -> Column:
-    """value with each digit, and each Latin, Cyrillic or Greek letter, replaced by another of its kind and case."""
-    kinds = (("0123456789", "0-9"), ("abcdefghijklmnopqrstuvwxyz", "a-z"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A-Z"), ("абвгдежзиклмнопрстуфхцчшщэюя", r"\p{IsCyrillic}&&\p{Ll}"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", r"\p{IsCyrillic}&&\p{Lu}"), ("αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsGreek}&&\p{Ll}"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"\p{IsGreek}&&\p{Lu}"), ("àâçèéêëîïñôùûäöüß", r"\p{IsLatin}&&\p{Ll}"), ("ÀÂÇÈÉÊËÎÏÑÔÙÛÄÖÜ", r"\p{IsLatin}&&\p{Lu}"))
+    """value with each digit, letter and sign of a class in _STAND_INS replaced by one of its kind; other characters stay."""
 
     def one(c: Column, i: Column) -> Column:
         out = c
-        for letters, p in reversed(kinds):
+        for letters, p in reversed(_STAND_INS):
             pick = F.substr(F.lit(letters), _digit(seed, i, len(letters)) + 1, F.lit(1))
             if letters[0] == "a" and hexadecimal is not None:
                 pick = F.when(hexadecimal, F.substr(F.lit("abcdef"), _digit(seed, i, 6) + 1, F.lit(1))).otherwise(pick)
@@ -85,6 +99,23 @@ def _shaped(value: Column, seed: Column, hexadecimal: Column | None = None) -> C
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
 
 
+def _grown(seed: Column, round_: Column, since: int, parts: tuple[str, ...]) -> Column:
+    """As many of the parts as rounds have passed since that round; none before."""
+    more = F.transform(F.sequence(F.lit(1), F.greatest(round_ - since, F.lit(1))), lambda i: F.element_at(F.array(*map(F.lit, parts)), _digit(seed, i + 50, len(parts)) + 1))
+    return F.when(round_ > since, F.array_join(more, "")).otherwise("")
+
+
+_LETTERS, _DIGITS = tuple("abcdefghijklmnopqrstuvwxyz"), tuple("0123456789")
+
+
+def _iban(value: Column) -> Column:
+    """value, of which the third and fourth place are made the check digits of the rest."""
+    bare = F.regexp_replace(value, r"\x20", "")
+    chars = F.filter(F.split(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(2)), F.lit("00")), ""), lambda c: c != "")
+    rest = F.aggregate(chars, F.lit(0), lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + F.try_to_number(c, F.lit("9")).cast("int")).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)).cast("int"))
+    return F.concat(F.substr(value, F.lit(1), F.lit(2)), F.lpad((98 - rest).cast("string"), 2, "0"), F.substr(value, F.lit(5)))
+
+
 def _luhn(value: Column) -> Column:
     """value, digits and separators, with its last digit made the check digit of the others."""
     digits = F.reverse(F.regexp_replace(F.substr(value, F.lit(1), F.length(value) - 1), r"\D", ""))
@@ -102,11 +133,11 @@ def _script(word: Column) -> Column:
 
 
 def _given(word: Column, gender: Column, seed: Column, round_: Column) -> Column:
-    """A given name of the word's script and the gender, with a second one joined on from the second round on."""
+    """Given names of the word's script and the gender, joined: two, three from the second round on, and syllables of its script in later ones."""
     script, out = _script(word), F.lit(None).cast("string")
     for (s, g), names in _GIVEN.items():
         pick = lambda k, names=names: F.element_at(F.array(*map(F.lit, names)), _digit(seed, k, len(names)) + 1)
-        joined = F.concat_ws("-", pick(1), pick(2), F.when(round_ > 0, pick(3)), F.when(round_ > 2, pick(4)))
+        joined = F.concat(F.concat_ws("-", pick(1), pick(2), F.when(round_ > 0, pick(3))), _grown(seed, round_, GROWS - 1, SYLLABLES[s]))
         out = F.when((script == s) & (gender == g), joined).otherwise(out)
     return out
 
@@ -116,7 +147,7 @@ def _surname(word: Column, seed: Column, round_: Column) -> Column:
     script, out = _script(word), F.lit(None).cast("string")
     for s, parts in SYLLABLES.items():
         pick = lambda k, parts=parts: F.element_at(F.array(*map(F.lit, parts)), _digit(seed, k, len(parts)) + 1)
-        out = F.when(script == s, F.initcap(F.concat(*[pick(k) for k in range(1, 6)], *[F.when(round_ > k, pick(6 + k)).otherwise("") for k in range(3)]))).otherwise(out)
+        out = F.when(script == s, F.initcap(F.concat(*[pick(k) for k in range(1, 6)], _grown(seed, round_, 0, parts)))).otherwise(out)
     ending = F.when(word.rlike("[оеё]ва$"), "ова").when(word.rlike("[оеё]в$"), "ов").when(word.rlike("ина$"), "ина").when(word.rlike("ин$"), "ин").when(word.rlike("ου$"), "ου").when(word.rlike("ος$"), "ος").otherwise("")
     return F.concat(out, ending)
 
@@ -135,73 +166,79 @@ def entities(match: Column) -> Column:
     return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("type"), match.alias("value"))))
 
 
-def surrogate(kind: Column, value: Column, round_: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, value: Column, round_: Column, key: str) -> Column:
     """The surrogate of an entity in a round of drawing."""
     seed = F.sha2(F.concat_ws("\x01", F.lit(key), kind, value, round_.cast("string"), F.sha2(F.concat(F.lit(key), value), 256)), 256)
     local, host = F.split_part(value, F.lit("@"), F.lit(1)), F.split_part(value, F.lit("@"), F.lit(2))
     top = F.regexp_extract(host, r"((?:\.[^.]+)?\.[^.]+)$", 1)
-    more = F.when(round_ > 3, F.substr(F.md5(seed), F.lit(1), round_)).otherwise("")
-    email = F.concat(_shaped(local, seed), more, F.lit("@"), _shaped(F.substr(host, F.lit(1), F.length(host) - F.length(top)), F.md5(seed)), top)
+    letters, digits = _grown(seed, round_, GROWS, _LETTERS), _grown(seed, round_, NUMBERS_GROW, _DIGITS)
+    email = F.concat(_shaped(local, seed), letters, F.lit("@"), _shaped(F.substr(host, F.lit(1), F.length(host) - F.length(top)), F.md5(seed)), top)
     code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[\x20.(-])|)", 1)
     number = _shaped(F.substr(value, F.length(code) + 1), seed)
-    phone = F.concat(code, F.regexp_replace(number, r"^([^0-9]*)[01]", r"$17"))
+    phone = F.concat(code, F.when(value.rlike("^0"), F.concat(F.lit("0"), F.substr(number, F.lit(2)))).otherwise(F.regexp_replace(number, r"^([^0-9]*)[01]", r"$17")), digits)
     octets = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (_digit(seed, i, 254) + 1).cast("string")), ".")
-    card = _luhn(F.concat(F.substr(value, F.lit(1), F.lit(1)), _shaped(F.substr(value, F.lit(2)), seed)))
-    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "card", card)
-    out = out.when(kind == "access_key", F.concat(F.lit("AKIA"), _shaped(F.substr(value, F.lit(5)), seed))).when(kind == "surname", _surname(value, seed, round_))
-    out = out.when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(3)), seed)))
+    card = _luhn(F.concat(F.substr(value, F.lit(1), F.lit(1)), _shaped(F.substr(value, F.lit(2)), seed), digits))
+    part = lambda k, most: F.lpad((_digit(seed, k, most) + 1).cast("string"), len(str(most)), "0")
+    ssn = F.concat_ws("-", part(1, 665), part(2, 99), F.concat(part(3, 9999), digits))
+    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", F.concat(octets, digits)).when(kind == "card", card).when(kind == "ssn", ssn)
+    out = out.when(kind == "access_key", F.concat(F.lit("AKIA"), _shaped(F.substr(value, F.lit(5)), seed), F.upper(letters))).when(kind == "surname", _surname(value, seed, round_))
+    out = out.when(kind == "iban", _iban(F.concat(F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(3)), seed), digits)))
     out = out.when(kind == "given-f", _given(value, F.lit("f"), seed, round_)).when(kind == "given-m", _given(value, F.lit("m"), seed, round_))
-    return out.otherwise(_shaped(value, seed, value.rlike("^[0-9a-f]+$")))
+    return out.otherwise(F.concat(_shaped(value, seed, value.rlike("^[0-9a-f]+$")), F.when(value.rlike("^[0-9a-f]+$"), digits).otherwise(letters)))
 
 
 def _id(kind: Column, value: Column) -> Column:
     return F.concat_ws("\x01", kind, value)
 
 
-def redrawn(found: DataFrame, key: str = KEY, most: int = 60) -> DataFrame:
+def redrawn(found: DataFrame, key: str) -> DataFrame:
     """(id, round) of the entities (type, value) that need another round than the first for distinct surrogates.
 
     Of entities with one surrogate, that with the smallest value keeps it, unless it is a real entity's own value: the
-    others, or all, go to the next round, until none is left; `most` rounds without an end are an error.
+    others, or all, go to the next round, until none is left. Surrogates grow with the rounds, so there is an end.
     """
     now = checkpointed(found.withColumn("round", F.lit(0)).withColumn("new", surrogate(F.col("type"), F.col("value"), F.col("round"), key)))
     real = now.select(F.col("type").alias("_type"), F.col("value").alias("_value"))
-    for _ in range(most):
+    while True:
         place = F.row_number().over(Window.partitionBy("type", "new").orderBy("value"))
         bad = now.withColumn("place", place).join(real, (F.col("type") == F.col("_type")) & (F.col("new") == F.col("_value")), "left").withColumn("bad", (F.col("place") > 1) | F.col("_value").isNotNull())
         if not bad.where("bad").take(1):
             return now.where("round > 0").select(_id(F.col("type"), F.col("value")).alias("id"), "round")
-        again = F.col("round") + F.col("bad").cast("int")
-        now = checkpointed(bad.select("type", "value", again.alias("round"), F.when(F.col("bad"), surrogate(F.col("type"), F.col("value"), again, key)).otherwise(F.col("new")).alias("new")))
-    raise ValueError("surrogates still collide")
+        # A column of its own, as a name given in the same select would stand for the new round inside lambdas.
+        again = bad.withColumn("again", F.col("round") + F.col("bad").cast("int"))
+        now = checkpointed(again.select("type", "value", F.when(F.col("bad"), surrogate(F.col("type"), F.col("value"), F.col("again"), key)).otherwise(F.col("new")).alias("new"), F.col("again").alias("round")))
 
 
-def replaced(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def replaced(docs: DataFrame, text: str = "text", *, key: str) -> DataFrame:
     """docs with text rewritten, n_entities (matches in the text) and n_distinct; columns of docs so named give way.
 
     Null texts stay null, with no match. Texts are taken whole; repeated rows are rewritten alike. Surrogates hang on the
-    key, on the entity, and, for the few that had to be drawn anew, on the other entities of docs. An empty table gives an
-    empty result.
+    key, on the entity, and, for the few that had to be drawn anew, on the other entities of docs; of entities that draw one
+    surrogate, the smaller value keeps it. Whoever has the key can tell which surrogate an entity gets, so it has no default;
+    an empty one raises. Secrets of signs are replaced by other signs. An empty table gives an empty result.
     """
-    rows = docs.drop("n_entities", "n_distinct").withColumn("_found", found(F.col(text)))
-    parts = F.flatten(F.transform("_found", entities))
-    only = rows.where(F.size("_found") > 0)
+    if not key:
+        raise ValueError("surrogates need a key")
+    c_found, c_text, c_rounds = unused(docs, "found", "text_hash", "rounds")
+    rows = docs.drop("n_entities", "n_distinct").withColumn(c_found, found(F.col(text)))
+    parts = F.flatten(F.transform(c_found, entities))
+    only = rows.where(F.size(c_found) > 0)
     each = only.select(F.explode(F.array_distinct(parts)).alias("e")).select("e.*").distinct()
     again = settled(redrawn(each, key), "redrawn")
     if again.take(1):
         # Few texts hold such an entity: their rounds are gathered by text and joined back.
-        hit = only.select(F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(parts)).alias("e")).select("_text", _id(F.col("e.type"), F.col("e.value")).alias("id")).distinct()
-        rounds = settled(hit.join(again, "id").groupBy("_text").agg(F.map_from_entries(F.collect_set(F.struct("id", "round"))).alias("_rounds")), "rounds")
-        rows = rows.withColumn("_text", F.when(F.size("_found") > 0, F.xxhash64(text)).otherwise(F.monotonically_increasing_id())).join(rounds, "_text", "left").drop("_text")
+        hit = only.select(F.xxhash64(text).alias(c_text), F.explode(F.array_distinct(parts)).alias("e")).select(c_text, _id(F.col("e.type"), F.col("e.value")).alias("id")).distinct()
+        rounds = settled(hit.join(F.broadcast(again) if few(again) else again, "id").groupBy(c_text).agg(F.map_from_entries(F.collect_set(F.struct("id", "round"))).alias(c_rounds)), "rounds")
+        rows = rows.withColumn(c_text, F.when(F.size(c_found) > 0, F.xxhash64(text)).otherwise(F.monotonically_increasing_id())).join(F.broadcast(rounds) if few(rounds, 50_000) else rounds, c_text, "left").drop(c_text)
     else:
-        rows = rows.withColumn("_rounds", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(c_rounds, F.lit(None).cast("map<string,int>"))
 
     def new(match: Column) -> Column:
-        own = F.transform(entities(match), lambda e: surrogate(e["type"], e["value"], F.coalesce(F.try_element_at("_rounds", _id(e["type"], e["value"])), F.lit(0)), key))
+        own = F.transform(entities(match), lambda e: surrogate(e["type"], e["value"], F.coalesce(F.try_element_at(F.col(c_rounds), _id(e["type"], e["value"])), F.lit(0)), key))
         title = F.regexp_extract(match, rf"^((?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.?\x20)", 1)
         return F.concat(F.when(_type(match) == "person", title).otherwise(""), F.array_join(own, " "))
 
     between = F.split(text, PATTERN, -1)
-    pieces = F.zip_with(between, F.transform("_found", new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    rewritten = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text))
-    return rows.withColumns({"n_entities": F.size("_found"), "n_distinct": F.size(F.array_distinct("_found")), text: rewritten}).drop("_found", "_rounds")
+    pieces = F.zip_with(between, F.transform(c_found, new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    rewritten = F.when(F.size(c_found) > 0, F.array_join(pieces, "")).otherwise(F.col(text))
+    return rows.withColumns({"n_entities": F.size(c_found), "n_distinct": F.size(F.array_distinct(c_found)), text: rewritten}).drop(c_found, c_rounds)
