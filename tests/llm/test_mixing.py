@@ -41,3 +41,22 @@ def test_many_cells_take_the_shuffled_way(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("source"), F.lit("en").alias("lang"))
     got = M.mixed(docs, rounds=2)
     assert got.count() == 3000 and got.where("probability IS NULL").count() == 0
+
+
+def test_given_targets(spark):
+    """Targets for two margins, one of which lacks a value; the third keeps its tempered shares."""
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens double")
+    of = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    targets = {"source": of([("a", 1.0), ("b", 3.0), ("nowhere", 9.0)]), "lang": of([("x", 0.25), ("y", 0.75)])}
+    got = M.raked(cells, targets=targets, rounds=200, tolerance=1e-9).collect()
+    total = sum(c[3] for c in CELLS)
+    share = lambda k, v: sum(r.tokens * r.weight for r in got if r[k] == v) / total
+    assert [share("source", v) for v in "abc"] == pytest.approx([0.25, 0.75, 0.0], abs=1e-7)
+    assert [share("lang", v) for v in "xy"] == pytest.approx([0.25, 0.75], abs=1e-7)
+    fitted = spark.createDataFrame(got)
+    errors = M.margin_errors(fitted, {"lang": targets["lang"]}).collect()
+    assert len(errors) == 2 and all(abs(r.error) < 1e-7 for r in errors)
+    docs = spark.createDataFrame([(i, "w w w", "abc"[i % 3], "xy"[i % 2], i) for i in range(600)], "doc_id long, text string, source string, lang string, cell int")
+    out = M.mixed(docs, targets=targets).toPandas()
+    assert not out[(out.source == "c") & out.sampled].size and out[out.source == "b"].sampled.sum() > 1.5 * out[out.source == "a"].sampled.sum()
+    assert out.cell.tolist() == out.doc_id.tolist()

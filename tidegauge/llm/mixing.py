@@ -2,17 +2,18 @@
 
 Documents are summed up to cells of (source, language, topic). Each round rakes the cells' token weights to the three
 sets of targets in turn; a document is then sampled with its cell's weight over the largest weight, so that the expected
-tokens of the sample have the target shares.
+tokens of the sample have the target shares. A step sums the cells to a row for each value of a margin, combined before the
+shuffle, and hands those rows back to the cells, broadcast where they are few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lookup
+from .common import checkpointed, few, lookup, unused
 
-#: Targets are the corpus's own shares to this power, made to sum to one; rounds of raking; seed of the draw.
+#: Where no targets are given: the corpus's own shares to this power, made to sum to one. Rounds of raking; seed of the draw.
 TEMPER, ROUNDS, SEED = 0.9, 8, 7
 MARGINS = ("source", "lang", "topic")
 #: A null source, language or topic is a value of its own.
@@ -35,44 +36,75 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def raked(cells: DataFrame, margins: tuple[str, ...] = MARGINS, *, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins, tokens) with weight: after the last round, tokens * weight has the target shares of each margin.
+def raked(cells: DataFrame, margins: tuple[str, ...] = MARGINS, *, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tolerance: float = 0.0) -> DataFrame:
+    """cells (margins, tokens, ...) with weight, so that tokens * weight have the target shares of each margin, those of the last one exactly.
 
-    A margin's target is its share of all tokens to the power temper, over the sum of those. Cells without tokens, and
-    all of a corpus without any, keep the weights that the other cells of their margins are given, 1 at first.
+    targets: for any of the margins a table (value, share), a row a value. Shares are made to sum to one over the values that
+    have tokens; those without a row have share 0, so nothing of them is sampled; values that no cell has are passed over. A
+    margin without a table has its share of all tokens to the power temper as target. Rounds end before `rounds` where no
+    share is further from its target than tolerance; margin_errors() tells how far they are. Cells without tokens keep the
+    factors that other cells of their margins are given, 1 at first. Null values are "(none)".
     """
-    out = cells.crossJoin(F.broadcast(cells.agg(F.sum("tokens").alias("total")))).withColumn("weight", F.lit(1.0))
-    for m in margins:
-        own = F.sum("tokens").over(Window.partitionBy(m))
-        out = out.withColumn(f"_t_{m}", F.when(own > 0, F.pow(own / F.col("total"), F.lit(temper))).otherwise(F.lit(0.0)))
-    out = checkpointed(out)
-    for m in margins:
-        power = out.groupBy(m).agg(F.first(f"_t_{m}").alias("p")).agg(F.sum("p")).first()[0] or 1.0
-        out = out.withColumn(f"_t_{m}", F.col(f"_t_{m}") / F.lit(power) * F.col("total"))
+    cells = checkpointed(cells.fillna(NONE, subset=list(margins)))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    small: dict[str, bool] = {}
+    aims = [f"_aim_{m}" for m in margins]
+    out = cells.withColumn("weight", F.lit(1.0))
+    for m, aim in zip(margins, aims):
+        own = cells.groupBy(m).agg(F.sum("tokens").alias("own"))
+        if targets and m in targets:
+            own = own.join(targets[m].select(F.coalesce("value", F.lit(NONE)).alias(m), F.col("share").cast("double").alias("share")), m, "left")
+            share = F.coalesce("share", F.lit(0.0))
+        else:
+            share = F.pow(F.col("own") / F.lit(total or 1.0), F.lit(temper))
+        table = checkpointed(own.select(m, F.when(F.col("own") > 0, share).otherwise(F.lit(0.0)).alias(aim)))
+        power = table.agg(F.sum(aim)).first()[0] or 1.0
+        table, small[m] = table.withColumn(aim, F.col(aim) / F.lit(power) * F.lit(float(total))), few(table)
+        out = out.join(F.broadcast(table) if small[m] else table, m)
     out = checkpointed(out)
+    have = F.sum(F.col("weight") * F.col("tokens"))
     for _ in range(rounds):
-        for m in margins:
-            now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(m))
-            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_t_{m}") / now).otherwise(F.col("weight")))
+        for m, aim in zip(margins, aims):
+            now = out.groupBy(F.col(m).alias("_value")).agg(have.alias("_now"))
+            out = out.join(F.broadcast(now) if small[m] else now, F.col(m) == F.col("_value"))
+            out = out.withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.col(aim) / F.col("_now")).otherwise(F.col("weight"))).drop("_value", "_now")
         out = checkpointed(out)
-    return out.drop("total", *[f"_t_{m}" for m in margins])
+        if tolerance > 0:
+            worst = max(out.groupBy(m).agg(F.abs(have - F.first(aim)).alias("far")).agg(F.max("far")).first()[0] or 0.0 for m, aim in zip(margins, aims))
+            if worst <= tolerance * total:
+                break
+    return out.select(*cells.columns, "weight")
+
+
+def margin_errors(fitted: DataFrame, targets: dict[str, DataFrame], total: float | None = None) -> DataFrame:
+    """margin, value, share (of tokens * weight) and error (share less its target) for fitted cells of raked() and targets (value, share that sum to one)."""
+    total = total or fitted.agg(F.sum(F.col("weight") * F.col("tokens"))).first()[0] or 1.0
+    out = None
+    for m, t in targets.items():
+        own = fitted.groupBy(F.col(m).alias("value")).agg((F.sum(F.col("weight") * F.col("tokens")) / F.lit(total)).alias("share"))
+        own = own.join(t.select("value", F.col("share").alias("target")), "value", "full").select(F.lit(m).alias("margin"), "value", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) - F.coalesce("target", F.lit(0.0))).alias("error"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic_of: Column | None = None, *, temper: float = TEMPER, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic_of: Column | None = None, *, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tolerance: float = 0.0, seed: int = SEED) -> DataFrame:
     """docs with n_tokens, topic, weight (its cell's, raked), probability and sampled; columns of docs so named give way.
 
-    Null texts count as empty and have no tokens; their cell's weight holds for them too. Null source, lang and topic are
-    the value "(none)". Equal doc_ids share one draw. An empty table gives an empty result.
+    targets holds tables (value, share) under "source", "lang" and "topic", any of them; see raked(). Null texts count as
+    empty and have no tokens; their cell's weight holds for them too. Null source, lang and topic are the value "(none)".
+    Equal doc_ids share one draw, rows without doc_id too. Texts of any length are counted whole. An empty table gives an
+    empty result.
     """
-    cell = {"_source": F.coalesce(F.col(source), F.lit(NONE)), "_lang": F.coalesce(F.col(lang), F.lit(NONE)), "topic": F.coalesce(topic_of if topic_of is not None else topic(F.col(text)), F.lit(NONE)), "n_tokens": word_count(F.col(text))}
-    rows = docs.drop("weight", "probability", "sampled").withColumns(cell).withColumn("_cell", F.concat_ws("\x01", "_source", "_lang", "topic"))
-    cells = rows.groupBy("_cell", F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    fitted = raked(checkpointed(cells), temper=temper, rounds=rounds)
-    most = F.max("weight").over(Window.partitionBy())
-    table = checkpointed(fitted.select("_cell", "n", "weight", (F.col("weight") / most).alias("probability")))
-    n = table.agg(F.sum("n")).first()[0] or 0
-    out = lookup(rows, table, "_cell", "n", F.monotonically_increasing_id(), n, most=10_000)
-    return out.withColumn("sampled", draw(F.col(doc_id), seed) < F.col("probability")).drop("_cell", "_source", "_lang")
+    docs = docs.drop(*[c for c in ("weight", "probability", "sampled") if c not in (source, lang)])
+    c_source, c_lang, c_cell, c_topic = unused(docs, "source_of", "lang_of", "cell", "topic_of")
+    of = {c_source: F.coalesce(F.col(source), F.lit(NONE)), c_lang: F.coalesce(F.col(lang), F.lit(NONE)), c_topic: F.coalesce(topic_of if topic_of is not None else topic(F.col(text)), F.lit(NONE)), "n_tokens": word_count(F.col(text))}
+    rows = docs.withColumns(of).withColumn(c_cell, F.concat_ws("\x01", c_source, c_lang, c_topic))
+    cells = rows.groupBy(F.col(c_cell).alias("cell"), F.col(c_source).alias("source"), F.col(c_lang).alias("lang"), F.col(c_topic).alias("topic")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    fitted = checkpointed(raked(cells, targets=targets, temper=temper, rounds=rounds, tolerance=tolerance))
+    most, n = fitted.agg(F.max("weight"), F.sum("n")).first()
+    table = checkpointed(fitted.select(F.col("cell").alias(c_cell), "n", "weight", (F.col("weight") / F.lit(most or 1.0)).alias("probability")))
+    out = lookup(rows.withColumn("topic", F.col(c_topic)), table, c_cell, "n", F.monotonically_increasing_id(), n or 0, most=100_000)
+    return out.withColumn("sampled", draw(F.col(doc_id), seed) < F.col("probability")).drop(c_source, c_lang, c_cell, c_topic)
 
 
 def oracle(temper: float = TEMPER, rounds: int = ROUNDS, seed: int = SEED) -> str:
