@@ -1,9 +1,10 @@
 """Operator 4, token counts: two tiers of pre-token lengths on the map side, no pre-token shuffle.
 
-The first pass sums up each task's texts in a bounded list of its most frequent white-space separated words; only these
-lists are added up across tasks. The lengths of the most frequent words are broadcast as one packed table: the first tier. The
-second pass adds up lengths text by text; words outside the table go to the worker's bounded cache, and only words that
-are new there go to the tokenizer, a batch at a time. Which words are frequent changes the speed, never a count.
+The first pass sums up each task's texts in a bounded list of its most frequent white-space separated words. A list is one
+packed row; lists are added up in a tree, some tens in a task that reads them in place, until few are left for the driver.
+The lengths of the most frequent words are broadcast as one packed table: the first tier. The second pass adds up lengths
+text by text; words outside the table go to the worker's bounded cache, and only words that are new there go to the
+tokenizer, a batch at a time. Which words are frequent changes the speed, never a count.
 """
 
 from __future__ import annotations
@@ -17,16 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, settled
+from .common import settled
 from .public_vocab import default_path, word_ids
 
-#: Words in the broadcast table, and in each task's list on its way there: its size has that bound at any input.
+#: Words in the broadcast table, and in each list on its way there: its size has that bound at any input.
 FREQUENT = 20_000
+#: Lists that one task, or the driver at last, adds up.
+FAN_IN = 32
 #: Bytes of a word from which it isn't tabled.
 LONGEST_WORD = 64
 #: Words in a worker's cache, the second tier.
 CACHE_WORDS = 200_000
 
+def _listed(counts: Counter[bytes], most: int) -> pa.RecordBatch:
+    own = [(w, c) for w, c in counts.most_common(most) if len(w) < LONGEST_WORD and c > 1]
+    return pa.RecordBatch.from_arrays([pa.array([b"\n".join(w for w, _ in own)], pa.binary()), pa.array([np.array([c for _, c in own], "<i8").tobytes()], pa.binary())], names=["words", "counts"])
+
+
+def _added(counts: Counter[bytes], words: bytes, times: bytes, most: int) -> Counter[bytes]:
+    if times:
+        counts.update(dict(zip(words.split(b"\n"), np.frombuffer(times, "<i8").tolist())))
+    return Counter(dict(counts.most_common(most))) if len(counts) > 8 * most else counts
+
+
 def frequent_words(docs: DataFrame, text: str, path: str, most: int = FREQUENT) -> list[bytes]:
     """At most `most` of the words found most often, by lists of at most `most` words from each task."""
 
@@ -39,12 +53,23 @@ def frequent_words(docs: DataFrame, text: str, path: str, most: int = FREQUENT)
                     counts.update(ids.words(t or b""))
                 if len(counts) > 8 * most:
                     counts = Counter(dict(counts.most_common(most)))
-        own = [(w, c) for w, c in counts.most_common(most) if len(w) < LONGEST_WORD and c > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.array([c for _, c in own], pa.int64())], names=["word", "c"])
+        yield _listed(counts, most)
 
-    lists = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(listed, "word binary, c bigint")
-    counts = settled(lists.groupBy("word").agg(F.sum("c").alias("c")), "frequent-words")
-    return sorted(bytes(r.word) for r in counts.where(frequent(counts, "c", most)).select("word").collect())
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        for b in batches:
+            for words, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts = _added(counts, words, times, most)
+        yield _listed(counts, most)
+
+    kind = "words binary, counts binary"
+    lists = settled(docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(listed, kind), "word-lists")
+    while (n := lists.count()) > FAN_IN:
+        lists = settled(lists.coalesce(-(-n // FAN_IN)).mapInArrow(merged, kind), "word-lists")
+    counts: Counter[bytes] = Counter()
+    for r in lists.collect():  # FAN_IN rows at most
+        counts = _added(counts, bytes(r.words), bytes(r.counts), most)
+    return sorted(w for w, _ in counts.most_common(most))
 
 
 class Lengths(dict):
