@@ -174,15 +174,16 @@ def _ranks(parts: DataFrame, size: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, path: str | None = None, end_id: int = 1, folder: str | None = None, shards: int | None = None, file_ids: int = FILE_IDS) -> TokenFiles:
     """Every text's ids and end_id, as files in ascending order of doc_id under folder (one in the shared folder by default).
 
-    Null texts are empty: end_id alone. Texts of one doc_id stand in the order of their bytes; absent doc_ids come
-    first. A text is never cut; a very long one has a file of its own. An empty table writes no file.
+    Null texts are empty: end_id alone. Texts of one doc_id stand in the order of a hash of them, so that an id that
+    repeats a million times is dealt out to several tasks; absent doc_ids come first. Other columns aren't read. A text is never cut; a very long one has a file of its own. An empty table writes no file.
     """
     spark, path = docs.sparkSession, path or default_path("word_bpe_49k.json")
     folder = folder or scratch(spark, "token-files")
     out = TokenFiles(f"{folder}/data", f"{folder}/ranks", f"{folder}/files")
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
+    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    ranged = rows.repartitionByRange(n, "_id", "_hash").sortWithinPartitions("_id", "_hash", "_text").drop("_hash")
     parts = settled(ranged.mapInArrow(lambda b: _parts(b, path, end_id, file_ids), "name string, n_docs bigint, n_ids bigint, docs binary, counts binary, packed binary, used array<bigint>, times array<bigint>"), "token-parts")
     ids = word_ids(path)
     rank = _ranks(parts, max(ids.tokenizer.get_vocab_size(), end_id + 1))
@@ -204,8 +205,12 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """doc_id, start (ids of all texts before), n_tokens and ids (little-endian u32, binary) of every text in files."""
     listed = spark.read.schema("name string, n_docs bigint, n_ids bigint").parquet(files.files)
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = listed.withColumn("before", before)
+    # A name begins with its task's number: sums within tasks, then of the tasks before.
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = listed.withColumn("task", F.split_part("name", F.lit("-"), F.lit(1)))
+    tasks = listed.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", earlier(Window.orderBy("task"), "n").alias("tasks_before"))
+    within = listed.withColumn("within", earlier(Window.partitionBy("task").orderBy("name"), "n_ids"))
+    listed = within.join(tasks, "task").withColumn("before", F.col("tasks_before") + F.col("within"))
     if not listed.take(1):
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids binary")
     order = spark.read.parquet(files.ranks)
