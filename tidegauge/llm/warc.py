@@ -91,7 +91,9 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
     Null html is an empty payload; null url leaves out the target. Of rows with equal payloads of revisit_bytes or more,
     the largest page_id is the response and rows of other ids revisit it; if that id repeats with the same payload,
-    each of its rows is a response. Null ids are written with an empty number, and revisit the largest id, if any.
+    each of its rows is a response. Null ids are written with an empty number, and revisit the largest id, if any. Other
+    columns aren't read; an empty table writes no file. A file's name has the attempt of the task that wrote it, and the
+    list of files has those of the attempts that Spark took, so a task that runs again changes nothing.
     """
     spark = pages.sparkSession
     out = folder or scratch(spark, "warc")
@@ -103,11 +105,11 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     rows = lookup(rows, groups, "digest", "n", F.monotonically_increasing_id(), n)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, parts, held, done = TaskContext.get().partitionId(), [], 0, []
+        task, parts, held, done = TaskContext.get(), [], 0, []
 
         def close() -> None:
             nonlocal parts, held
-            name = f"{task:06d}-{len(done):06d}.warc.gz"
+            name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):06d}.warc.gz"
             write_whole(out, name, b"".join(parts))
             done.append((name, len(parts)))
             parts, held = [], 0
