@@ -57,16 +57,26 @@ def test_against_sliding(spark):
     assert left == sorted({d for d, _ in rows()} - {d for d, _ in got})
 
 
-def test_shuffled_seeds_and_empty_tables(spark, monkeypatch):
+def test_shuffled_seeds_and_empty_tables(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in ITEMS], "item_id long, text string")
     want = sorted(D.contaminated(docs, bench).collect())
-    monkeypatch.setattr(D, "BROADCAST_SEEDS", 0)
-    assert sorted(D.contaminated(docs, bench).collect()) == want
+    assert sorted(D.contaminated(docs, bench, broadcast_seeds=0).collect()) == want
     assert D.contaminated(docs.limit(0), bench).count() == 0
     assert D.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_clean_judges_row_by_row(spark):
+    item = " ".join(ITEMS[0][1])
+    rows_ = [(1, "quite other words than those"), (1, f"before {item} after"), (None, item), (None, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").withColumns({"gone": F.lit(1), "text_hash": F.lit(2)})
+    bench = spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string")
+    left = D.clean(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (1, rows_[0][1]), (2, ""), (2, "")]
+    assert D.clean(docs, bench.limit(0)).count() == 6 and D.clean(docs.limit(0), bench).count() == 0
+
+
 def test_tolerates_substitutions_at_ignored_places():
     for m in D.MASKS:
         assert m[0] == m[-1] == "1" and "0" in m

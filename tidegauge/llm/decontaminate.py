@@ -14,7 +14,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import few, settled, unused
 
 #: Fixed masks; 1: the word counts, 0: it may differ.
 MASKS = ("110101011", "111001101")
@@ -24,8 +24,9 @@ WINDOW, MATCH = 13, 0.8
 SHORTEST = 5
 #: Words that added masks pick at most, and the sets of differing words up to which masks are searched for.
 PICKED, MOST_SETS = 6, 1000
-#: Seeds of the benchmark up to which they are broadcast (24 bytes each); more are joined by a shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Seeds of the benchmark up to which they are broadcast (24 bytes each); more are joined by a shuffle, in which each has
+#: SALTS copies, so that a common phrase of the documents is not one task.
+BROADCAST_SEEDS, SALTS = 1_000_000, 32
 
 
 def words(text: Column) -> Column:
@@ -84,7 +85,7 @@ def _own(width: Column, of: dict[int, tuple[str, ...]], every: tuple[str, ...])
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, masks: tuple[str, ...] = MASKS, window: int = WINDOW, match: float = MATCH) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, masks: tuple[str, ...] = MASKS, window: int = WINDOW, match: float = MATCH, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage: doc_id, item_id, matched, window, doc_start, item_start.
 
     matched of window words are equal in place, match * window at least; the best such place is given, the first of
@@ -99,10 +100,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     masks = tuple(dict.fromkeys(m for x in of.values() for m in x)) or masks
     sizes = items.select(F.col("key").alias("_key"), width.alias("_width"))
     wanted = settled(_by_seed(items, masks, "item_at").join(sizes, F.col("key") == F.col("_key")).where(_own(F.col("_width"), of, masks)).select("mask", "seed", F.col("key").alias("item"), "item_at"), "seeds")
-    few = wanted.count() <= BROADCAST_SEEDS
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
     each = _by_seed(rows.select("key", words(F.col("text")).alias("w")), masks, "doc_at")
-    hits = each.join(F.broadcast(wanted) if few else wanted, ["mask", "seed"])
+    if few(wanted, broadcast_seeds):
+        hits = each.join(F.broadcast(wanted), ["mask", "seed"])
+    else:
+        salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = each.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["mask", "seed", "salt"])
     lines = settled(hits.select("key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct().groupBy("key").agg(F.collect_set(F.struct("item", "shift")).alias("lines")), "alignments")
     both = rows.join(lines, "key").select("doc_id", words(F.col("text")).alias("w"), F.explode("lines").alias("line")).select("doc_id", "w", "line.*")
     names = items.select(F.col("key").alias("item"), F.col("w").alias("v"), "item_id")
@@ -112,11 +116,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def _verified(both: DataFrame, window: int, match: float) -> DataFrame:
     """both has doc_id, its words w, item_id, its words v, and shift, the position in w of v's first word."""
     at_w, at_v = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    size = F.least(F.size("w") - at_w, F.size("v") - at_v)
+    # The planner may look at places that where() leaves out, so none of the arguments below is ever out of range.
+    size = F.greatest(F.least(F.size("w") - at_w, F.size("v") - at_v), F.lit(0))
     width = F.least(F.lit(window), F.size("v"))
     equal = F.zip_with(F.slice("w", at_w + 1, F.col("size")), F.slice("v", at_v + 1, F.col("size")), lambda a, b: (a == b).cast("int"))
     long = both.withColumns({"at_w": at_w, "at_v": at_v, "size": size, "width": width}).where("size >= width").withColumn("equal", equal)
-    sums = F.transform(F.sequence(F.lit(0), F.col("size") - F.col("width")), lambda i: F.struct(F.aggregate(F.slice("equal", i + 1, F.col("width")), F.lit(0), lambda a, b: a + b).alias("matched"), (-i).alias("minus")))
+    sums = F.transform(F.sequence(F.lit(0), F.greatest(F.col("size") - F.col("width"), F.lit(0))), lambda i: F.struct(F.aggregate(F.slice("equal", i + 1, F.col("width")), F.lit(0), lambda a, b: a + b).alias("matched"), (-i).alias("minus")))
     best = long.withColumn("best", F.array_max(sums)).where(F.col("best.matched") >= F.lit(match) * F.col("width"))
     place = F.struct(F.col("best.matched").alias("matched"), F.col("width").alias("window"), (-(F.col("at_w") - F.col("best.minus"))).alias("w"), (-(F.col("at_v") - F.col("best.minus"))).alias("v"))
     top = best.groupBy("doc_id", "item_id").agg(F.max(place).alias("p"))
@@ -124,5 +129,20 @@ def _verified(both: DataFrame, window: int, match: float) -> DataFrame:
 
 
 def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id isn't in found; those without doc_id stay."""
-    return docs.join(found.select(F.col("doc_id").alias("_gone")).distinct(), F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of docs whose doc_id isn't in found, all rows of an id going with it; those without doc_id stay."""
+    gone = settled(found.select(F.col("doc_id").alias("gone")).where("gone IS NOT NULL").distinct(), "gone")
+    (name,) = unused(docs, "gone")
+    gone = gone.withColumnRenamed("gone", name)
+    return docs.join(F.broadcast(gone) if few(gone) else gone, F.col(doc_id) == F.col(name), "left_anti")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs without a passage of the benchmark, judged row by row, whatever their ids; contaminated() says what a passage is.
+
+    Repeated rows go or stay together; null and empty texts stay. An empty table, or an empty benchmark, leaves docs as they are.
+    """
+    own, name = unused(docs, "text_hash", "gone")
+    found = contaminated(docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")), benchmark, item_id=item_id, item_text=item_text)
+    gone = settled(found.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    rows = docs.withColumn(own, F.xxhash64(text))
+    return rows.join(F.broadcast(gone) if few(gone) else gone, F.col(own) == F.col(name), "left_anti").drop(own)
