@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import unused
+
 #: Words of a maximal repeated substring from which it counts; the largest part of the words that such spans may cover,
 #: and the longest of them that a kept text may have.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.4, 60
@@ -158,9 +160,10 @@ def quality_rules(docs: DataFrame, text: str = "text", *, min_words: int = 50, m
     """
     if text not in docs.columns:
         raise ValueError(f"no column {text!r}")
-    m = F.col("_m")
-    out = docs.withColumn("_m", repetition(F.col(text), min_repeat))
+    (name,) = unused(docs, "measured")
+    m = F.col(name)
+    out = docs.withColumn(name, repetition(F.col(text), min_repeat))
     failed = (m.n_words < min_words) | (100 * m.n_repeat_words > max_repeat_words_pct * m.n_words)
     covered = F.when(m.n_words > 0, m.covered_words / m.n_words).otherwise(F.lit(0.0))
     added = {c: m[c] for c in COUNTS} | {"base_failed": failed, "covered_fraction": covered, "kept": ~failed & (covered <= max_covered) & (m.longest_repeat <= max_longest)}
-    return out.withColumns(added).drop("_m")
+    return out.withColumns(added).drop(name)
