@@ -44,7 +44,7 @@ def test_equals_sql(spark, sf, duck, name):
     assert rows(df.columns, map(tuple, df.collect())) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE) - {"classify_svm_rbf", "classify_boosted", "classify_svm_linear"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recursive import along
-from .windows import col, last_rows, series
+from .windows import KEYS, col, finite, last_rows, series
 
 
 def histogram(x: str, n: int, bins: int = 10) -> Column:
@@ -158,16 +158,15 @@ def dickey_fuller(x: np.ndarray, most: int | None = None) -> float:
     d = np.diff(x)
     best = (math.inf, math.nan)
     for p in range(most + 1):
-        for sample_from in (most,):
-            y = d[sample_from:]
-            a = np.column_stack([x[sample_from:-1], np.ones(len(y)), *[d[sample_from - i : len(d) - i] for i in range(1, p + 1)]])
-            b, *_ = np.linalg.lstsq(a, y, rcond=None)
-            e = y - a @ b
-            ssr = e @ e
-            aic = len(y) * math.log(max(ssr, 1e-300) / len(y)) + 2 * a.shape[1]
-            if aic < best[0]:
-                cov = np.linalg.pinv(a.T @ a) * ssr / max(1, len(y) - a.shape[1])
-                best = aic, float(b[0] / math.sqrt(max(cov[0, 0], 1e-300)))
+        y = d[most:]
+        a = np.column_stack([x[most:-1], np.ones(len(y)), *[d[most - i : len(d) - i] for i in range(1, p + 1)]])
+        b, *_ = np.linalg.lstsq(a, y, rcond=None)
+        e = y - a @ b
+        ssr = e @ e
+        aic = len(y) * math.log(max(ssr, 1e-300) / len(y)) + 2 * a.shape[1]
+        if aic < best[0]:
+            cov = np.linalg.pinv(a.T @ a) * ssr / max(1, len(y) - a.shape[1])
+            best = aic, float(b[0] / math.sqrt(max(cov[0, 0], 1e-300)))
     return best[1]
 
 
@@ -183,15 +182,35 @@ def over_windows(x: np.ndarray, n: int, f) -> np.ndarray:
     return out
 
 
+def _spread(df: DataFrame, windows: dict[str, str], n: int) -> DataFrame:
+    """df with the last n values of columns as arrays, null unless all n are there, its rows dealt out evenly: windows don't depend on each other, so a long series is no hot task."""
+    w = last_rows(n)
+    full = {name: F.when(F.count(x).over(w) == n, F.collect_list(F.col(x).cast("double")).over(w)) for name, x in windows.items()}
+    return df.withColumns(full).repartition(*KEYS, "ts")
+
+
 def with_complexity(df: DataFrame, x: str = "returns", n: int = 100, kernels: tuple[str, ...] | None = None) -> DataFrame:
     """KERNELS by name (all by default) over each last n values; null until there are n, and where a kernel is undefined."""
     kernels = tuple(KERNELS) if kernels is None else kernels
 
-    def one(s: pd.DataFrame) -> dict[str, np.ndarray]:
-        v = s[x].to_numpy(float)
-        return {k: over_windows(v, n, KERNELS[k]) for k in kernels}
+    @F.pandas_udf(", ".join(f"{k} double" for k in kernels))
+    def measured(windows: pd.Series) -> pd.DataFrame:
+        told = [[KERNELS[k](np.asarray(v, float)) for k in kernels] if v is not None else [math.nan] * len(kernels) for v in windows]
+        return pd.DataFrame(told, columns=list(kernels), dtype=float)
+
+    out = _spread(df, {"_w": x}, n).withColumn("_c", measured("_w"))
+    return out.withColumns({k: finite(F.col("_c")[k]) for k in kernels}).drop("_w", "_c")
+
+
+def with_transfer(df: DataFrame, x: str, y: str, n: int = 100, bins: int = 5, lag: int = 1, out: str = "transfer") -> DataFrame:
+    """transfer() from x to y over each last n rows without a null in either; null until there are n."""
+
+    @F.pandas_udf("double")
+    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([transfer(np.asarray(v, float), np.asarray(w, float), bins, lag) if v is not None and w is not None else math.nan for v, w in zip(a, b)], dtype=float)
 
-    return along(df, one, list(kernels))
+    spread = _spread(df, {"_wx": x, "_wy": y}, n)
+    return spread.withColumn(out, finite(measured("_wx", "_wy"))).drop("_wx", "_wy")
 
 
 def with_multiscale(df: DataFrame, x: str = "returns", n: int = 100, scales: tuple[int, ...] = (1, 2, 4)) -> DataFrame:

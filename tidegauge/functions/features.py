@@ -251,11 +251,9 @@ def benchmark_features(bars: DataFrame, n: int | None = None) -> DataFrame:
 
     Rows with any null are left out.
     """
-    windows = F.lit(n) if n else None
     if n is None:
         gap = bars.withColumn("_gap", F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(lag("ts").cast("timestamp"))).agg(F.percentile("_gap", F.lit(0.5))).first()[0]
         n = {900.0: 30, 1800.0: 40, 3600.0: 28}.get(gap, 20)
-    del windows
     df = with_volatility(with_returns(bars), n)
     df = with_rsi(df).withColumns({"rolling_vol": volatility("returns", n), f"mean_{n}": roll(F.avg, "close", n), "volume_ratio": F.coalesce(div(col("volume"), F.avg("volume").over(last_rows(n)) + 1e-10), F.lit(1.0)), "momentum": momentum()})
     return df.drop(f"vol_of_vol_{n}").na.drop()

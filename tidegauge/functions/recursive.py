@@ -51,11 +51,12 @@ def macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal
 
 def garch_path(r: np.ndarray, omega: float, alpha: float, beta: float, first: float | None = None) -> np.ndarray:
     """Conditional variances of returns; the first is their own variance."""
-    v = np.empty(len(r))
-    v[0] = r.var() if first is None else first
-    for t in range(1, len(r)):
-        v[t] = omega + alpha * r[t - 1] ** 2 + beta * v[t - 1]
-    return v
+    start = r.var() if first is None else first
+    own = omega + alpha * r[:-1] ** 2
+    if beta >= 1 - 1e-9:
+        return start + np.r_[0.0, np.cumsum(own)]
+    # v[t] = beta v[t-1] + own[t-1] is an exponential mean of own / (1 - beta), which pandas runs through in compiled code.
+    return pd.Series(np.r_[start, own / (1 - beta)]).ewm(alpha=1 - beta, adjust=False).mean().to_numpy()
 
 
 def garch_volatility(df: DataFrame, x: str = "returns", omega: float = 1e-5, alpha: float = 0.1, beta: float = 0.85, out: str = "garch_vol") -> DataFrame:

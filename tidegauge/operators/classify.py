@@ -13,7 +13,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Lin
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import clean, metrics
@@ -91,11 +91,36 @@ def classifier(name: str, seed: int = 42, **options):
 CLASSIFIERS = ("random_forest", "boosted", "svm_linear", "svm_rbf", "logistic")
 
 
+def model_errors(k: int = 3, seed: int | None = 42, covariance: str = "full", features: list[str] | None = None, rows: int | None = None) -> list[str]:
+    """What is wrong with the parameters of a regime model: k is 2 to 10, the seed a whole number from 0 on, the covariance one of four, features are distinct names, rows at least ten a regime."""
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+    tests = (
+        (whole(k) and 2 <= k <= 10, "k must be a whole number from 2 to 10"),
+        (seed is None or whole(seed) and seed >= 0, "seed must be a whole number from 0 on"),
+        (covariance in ("full", "tied", "diag", "spherical"), "covariance must be full, tied, diag or spherical"),
+        (features is None or len(features) == len(set(features)) > 0, "features must be distinct names"),
+        (rows is None or not whole(k) or rows >= 10 * k, "there must be ten rows for each regime"),
+    )
+    return [told for sound, told in tests if not sound]
+
+
 class Detector:
-    """A classifier with its scaling: fit() and transform(), on k-means labels where no target is given."""
+    """A classifier with its scaling: fit() and transform(), on k-means labels where no target is given.
+
+    With calibrated, a logistic regression over the margins of a support vector machine gives it probabilities.
+    """
+
+    def __init__(self, name: str, features: list[str], k: int = 3, seed: int = 42, calibrated: bool = False, **options):
+        self.name, self.features, self.k, self.seed, self.calibrated, self.options = name, features, k, seed, calibrated, options
+        if wrong := model_errors(k, seed, features=features):
+            raise ValueError("; ".join(wrong))
+
+    def params(self) -> dict:
+        return {"name": self.name, "features": list(self.features), "k": self.k, "seed": self.seed, "calibrated": self.calibrated} | self.options
 
-    def __init__(self, name: str, features: list[str], k: int = 3, seed: int = 42, **options):
-        self.name, self.features, self.k, self.seed, self.options = name, features, k, seed, options
+    def copy(self, **changes) -> Detector:
+        """An unfitted detector with the same parameters, but for changes."""
+        return Detector(**(self.params() | changes))
 
     def _vector(self, df: DataFrame) -> DataFrame:
         scaled = [((F.col(c) - F.lit(m)) / F.lit(s or 1.0)) for c, (m, s) in self.scaler.items()]
@@ -109,14 +134,31 @@ class Detector:
         self.scaler = clean.scaler(df, self.features)
         data = self._vector(df).select(X, F.col(target).cast("double").alias(Y)).where(F.col(Y).isNotNull())
         self.model = classifier(self.name, self.seed, **self.options).fit(data)
+        if self.calibrated and self.name.startswith("svm"):
+            told = self.model.transform(data).select(F.col("rawPrediction").alias(X), Y)
+            self.platt = LogisticRegression(featuresCol=X, labelCol=Y, regParam=0.01, maxIter=20).fit(told)
         return self
 
     def transform(self, df: DataFrame, out: str = G.LABEL) -> DataFrame:
-        """df's rows without nulls, with the label and, where the classifier tells them, probabilities."""
+        """df's rows without nulls, with the label and, where the classifier tells them, {out}_p (probabilities) or {out}_margins (a class's margin each, of support vector machines)."""
         done = self.model.transform(self._vector(df)).withColumn(out, F.col("prediction").cast("int"))
-        done = done.withColumn(f"{out}_p", vector_to_array("probability")) if "probability" in done.columns else done
+        if "probability" in done.columns:
+            done = done.withColumn(f"{out}_p", vector_to_array("probability"))
+        elif self.name.startswith("svm"):
+            done = done.withColumn(f"{out}_margins", vector_to_array("rawPrediction"))
+            if self.calibrated:
+                done = done.drop(X, "prediction").withColumnRenamed("rawPrediction", X)
+                done = self.platt.transform(done).withColumn(f"{out}_p", vector_to_array("probability"))
         return done.drop(X, "prediction", "rawPrediction", "probability")
 
+    def score(self, df: DataFrame, target: str) -> float:
+        """Accuracy against a target."""
+        return accuracy(self.transform(df, "_label"), "_label", target)
+
+    def support(self, df: DataFrame, out: str = G.LABEL) -> DataFrame:
+        """The rows that hold a support vector machine's planes: those with a class's margin within 1."""
+        return self.transform(df, out).where(F.exists(f"{out}_margins", lambda v: F.abs(v) <= 1))
+
     def importances(self) -> dict[str, float]:
         models = getattr(self.model, "models", [self.model])
         if not hasattr(models[0], "featureImportances"):
@@ -145,6 +187,7 @@ def voted(df: DataFrame, members: list[Detector], strategy: str = "voting", weig
     """df with members' labels as votes, the ensemble's label, and agreement, the modal share.
 
     voting (modal), weighted, consensus, or bayesian (mean of members' probabilities, one-hot where a member has none).
+    Rows with a null in a member's features have no vote of it and are left out.
     """
     k = members[0].k
     for i, m in enumerate(members):
@@ -158,7 +201,24 @@ def voted(df: DataFrame, members: list[Detector], strategy: str = "voting", weig
     df = df.withColumn("p", G.mean_probabilities(ps, weights if strategy == "weighted" else None))
     label = {"voting": G.modal("votes"), "consensus": G.consensus("votes"), "weighted": G.crisp("p"), "bayesian": G.crisp("p")}[strategy]
     df = df.withColumns({out: label.cast("int"), "agreement": G.modal_share("votes")})
-    return df.drop(*ps, *[f"_m{i}" for i in range(len(members))], *[f"_m{i}_p" for i in range(len(members))])
+    return df.drop(*ps, *[f"_m{i}{end}" for i in range(len(members)) for end in ("", "_p", "_margins")])
+
+
+def weights_of(df: DataFrame, members: list[Detector], target: str, share: float = 0.2) -> list[float]:
+    """A weight for each member, in all 1: its accuracy on the last share of time, having learned from the rest."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    edge = df.agg(F.percentile(at, F.lit(1 - share))).first()[0]
+    scores = [m.copy().fit(df.where(at <= edge), target).score(df.where(at > edge), target) for m in members]
+    return [s / (sum(scores) or 1.0) for s in scores] if any(scores) else [1 / len(members)] * len(members)
+
+
+def contributions(df: DataFrame, votes: str = "votes", label: str = G.LABEL, weights: list[float] | None = None) -> DataFrame:
+    """member (its place), weight, agrees: the share of rows whose label is the member's vote."""
+    row = F.posexplode(F.transform(votes, lambda v: (v == F.col(label)).cast("double"))).alias("member", "same")
+    per = df.select(label, votes).select(row).groupBy("member").agg(F.avg("same").alias("agrees"), F.count(F.lit(1)).alias("n_rows"))
+    given = F.array(*map(F.lit, weights)) if weights else None
+    equal = F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy())
+    return per.withColumn("weight", F.get(given, F.col("member")) if weights else equal)
 
 
 def diversity(df: DataFrame, votes: str = "votes") -> DataFrame:
@@ -175,7 +235,7 @@ def stacked(df: DataFrame, members: list[Detector], target: str, folds: int = 5,
     for f in range(folds):
         part = df.where(fold == f)
         for i, m in enumerate(members):
-            part = Detector(m.name, m.features, m.k, m.seed, **m.options).fit(df.where(fold != f), target).transform(part, f"_m{i}")
+            part = m.copy().fit(df.where(fold != f), target).transform(part, f"_m{i}")
         part = part.select(*[f"_m{i}" for i in range(len(members))], F.col(target).cast("double").alias(Y))
         unseen = part if unseen is None else unseen.unionByName(part)
     k = members[0].k
@@ -184,7 +244,7 @@ def stacked(df: DataFrame, members: list[Detector], target: str, folds: int = 5,
     for i, m in enumerate(members):
         df = m.fit(df, target).transform(df, f"_m{i}")
     done = meta.transform(df.withColumn(X, array_to_vector(hot)))
-    return done.withColumn(out, F.col("prediction").cast("int")).drop(X, "prediction", "rawPrediction", "probability", *[f"_m{i}" for i in range(len(members))], *[f"_m{i}_p" for i in range(len(members))])
+    return done.withColumn(out, F.col("prediction").cast("int")).drop(X, "prediction", "rawPrediction", "probability", *[f"_m{i}{end}" for i in range(len(members)) for end in ("", "_p", "_margins")])
 
 
 def bagged(df: DataFrame, features: list[str], target: str, n: int = 5, name: str = "logistic", seed: int = 42, out: str = G.LABEL) -> DataFrame:
@@ -203,7 +263,7 @@ def hierarchical(df: DataFrame, levels: list[list[Detector]], target: str, out:
         if i + 1 == len(levels):
             return voted(df, level, out=out).drop(*added)
         for j, m in enumerate(level):
-            df = m.transform(df, f"level{i}_{j}").drop(f"level{i}_{j}_p")
+            df = m.transform(df, f"level{i}_{j}").drop(f"level{i}_{j}_p", f"level{i}_{j}_margins")
         added += [f"level{i}_{j}" for j in range(len(level))]
     raise ValueError("no levels")
 

@@ -76,29 +76,41 @@ def knn_imputed(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     return df.join(filled, "_id", "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_d_{c}")) for c in columns}).drop("_id", *[f"_d_{c}" for c in columns])
 
 
+def _with_statistics(df: DataFrame, by: tuple[str, ...], statistics: dict[str, Column]) -> DataFrame:
+    """df with aggregates of the groups by `by`, or of all rows: these come from one aggregation, combined before its shuffle, not from a window over the whole table."""
+    if by:
+        w = Window.partitionBy(*by)
+        return df.withColumns({n: e.over(w) for n, e in statistics.items()})
+    row = df.agg(*[e.alias(n) for n, e in statistics.items()])
+    kinds, values = dict(row.dtypes), row.first()
+    return df.withColumns({n: F.lit(values[n]).cast(kinds[n]) for n in statistics})
+
+
 def scaled(df: DataFrame, columns: list[str], method: str = "standard", by: tuple[str, ...] = (), suffix: str = "") -> DataFrame:
     """zscore (sample deviation), standard (population), minmax, or robust (median and quartile distance); null without spread."""
-    w = Window.partitionBy(*by)
-
-    def one(c: str) -> Column:
-        x = F.col(c)
-        q = lambda p: F.percentile(x, F.lit(p)).over(w)
-        if method in ("zscore", "standard"):
-            return div(x - F.avg(x).over(w), (F.stddev if method == "zscore" else F.stddev_pop)(x).over(w))
-        if method == "minmax":
-            return div(x - F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w))
-        if method == "robust":
-            return div(x - q(0.5), q(0.75) - q(0.25))
+    if method not in CENTRE_AND_SPREAD:
         raise ValueError(f"unknown method {method!r}")
+    parts = {f"_{k}_{c}": e for c in columns for k, e in zip("mba", CENTRE_AND_SPREAD[method](F.col(c)))}
+    out = _with_statistics(df, by, parts)
+    spread = lambda c: F.col(f"_b_{c}") - F.col(f"_a_{c}") if f"_a_{c}" in parts else F.col(f"_b_{c}")
+    return out.withColumns({c + suffix: div(F.col(c) - F.col(f"_m_{c}"), spread(c)) for c in columns}).drop(*parts)
 
-    return df.withColumns({c + suffix: one(c) for c in columns})
+
+#: By method the centre of a column, and its spread, or the two values that it lies between.
+CENTRE_AND_SPREAD = {
+    "standard": lambda x: (F.avg(x), F.stddev_pop(x)),
+    "zscore": lambda x: (F.avg(x), F.stddev(x)),
+    "minmax": lambda x: (F.min(x), F.max(x), F.min(x)),
+    "robust": lambda x: (F.percentile(x, F.lit(0.5)), F.percentile(x, F.lit(0.75)), F.percentile(x, F.lit(0.25))),
+}
 
 
 def scaler(df: DataFrame, columns: list[str], method: str = "standard") -> dict[str, tuple[float, float]]:
     """Centre and spread of columns, to be kept and used again by scale(): one pass, two numbers a column."""
-    pick = {"standard": lambda x: (F.avg(x), F.stddev_pop(x)), "zscore": lambda x: (F.avg(x), F.stddev(x)), "minmax": lambda x: (F.min(x), F.max(x) - F.min(x)), "robust": lambda x: (F.percentile(x, F.lit(0.5)), F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25)))}[method]
+    pick = CENTRE_AND_SPREAD[method]
     row = df.agg(*[e.alias(f"{c}_{k}") for c in columns for k, e in enumerate(pick(F.col(c)))]).first()
-    return {c: (row[f"{c}_0"], row[f"{c}_1"]) for c in columns}
+    spread = lambda c: row[f"{c}_1"] - row[f"{c}_2"] if f"{c}_2" in row and row[f"{c}_1"] is not None else row[f"{c}_1"]
+    return {c: (row[f"{c}_0"], spread(c)) for c in columns}
 
 
 def scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
@@ -107,31 +119,30 @@ def scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def mad_scaled(df: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
-    w = Window.partitionBy(*by)
-    df = df.withColumn("_m", F.percentile(x, F.lit(0.5)).over(w)).withColumn("_off", F.abs(F.col(x) - F.col("_m")))
-    return df.withColumn(f"{x}_mad", div(F.col(x) - F.col("_m"), 1.4826 * F.percentile("_off", F.lit(0.5)).over(w))).drop("_m", "_off")
+    df = _with_statistics(df, by, {"_m": F.percentile(x, F.lit(0.5))}).withColumn("_off", F.abs(F.col(x) - F.col("_m")))
+    df = _with_statistics(df, by, {"_mad": F.percentile("_off", F.lit(0.5))})
+    return df.withColumn(f"{x}_mad", div(F.col(x) - F.col("_m"), 1.4826 * F.col("_mad"))).drop("_m", "_off", "_mad")
 
 
 def without_outliers(df: DataFrame, columns: list[str], method: str = "iqr", by: tuple[str, ...] = (), factor: float | None = None) -> DataFrame:
     """Null in place of values beyond 1.5 quartile distances (iqr) or 3 sample deviations (zscore)."""
-    w = Window.partitionBy(*by)
-
-    def one(c: str) -> Column:
-        x = F.col(c)
-        if method == "zscore":
-            return F.when(F.abs(x - F.avg(x).over(w)) <= (factor or 3.0) * F.stddev(x).over(w), x)
-        if method == "iqr":
-            low, high = (F.percentile(x, F.lit(q)).over(w) for q in (0.25, 0.75))
-            return F.when(x.between(low - (factor or 1.5) * (high - low), high + (factor or 1.5) * (high - low)), x)
+    if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown method {method!r}")
+    k = factor or (3.0 if method == "zscore" else 1.5)
+    pair = (lambda x: (F.avg(x), F.stddev(x))) if method == "zscore" else (lambda x: (F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))))
+    parts = {f"_{k_}_{c}": e for c in columns for k_, e in zip("ab", pair(F.col(c)))}
+
+    def kept(c: str) -> Column:
+        x, a, b = F.col(c), F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        return F.when(F.abs(x - a) <= k * b, x) if method == "zscore" else F.when(x.between(a - k * (b - a), b + k * (b - a)), x)
 
-    return df.withColumns({c: one(c) for c in columns})
+    return _with_statistics(df, by, parts).withColumns({c: kept(c) for c in columns}).drop(*parts)
 
 
 def clipped(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, by: tuple[str, ...] = ()) -> DataFrame:
-    w = Window.partitionBy(*by)
-    bound = lambda c, q: F.percentile(c, F.lit(q)).over(w)
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), bound(c, high)), bound(c, low))) for c in columns})
+    parts = {f"_{k}_{c}": F.percentile(c, F.lit(q)) for c in columns for k, q in (("a", low), ("b", high))}
+    bounded = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_b_{c}")), F.col(f"_a_{c}")))
+    return _with_statistics(df, by, parts).withColumns({c: bounded(c) for c in columns}).drop(*parts)
 
 
 def safe_divide(a: Column, b: Column, fill: float = 0.0) -> Column:

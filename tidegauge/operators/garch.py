@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -111,10 +111,10 @@ def forecast(parameters: DataFrame, last: DataFrame, horizon: int = 10) -> DataF
 
 
 def regimes(df: DataFrame, k: int = 3, x: str = "returns", method: str = "quantile", out: str = G.LABEL) -> DataFrame:
-    """df with garch_vol and labels by how many thresholds it exceeds: equal quantiles, middles of k-means centres, or natural breaks."""
+    """df with garch_vol, labels by how many thresholds it exceeds (equal quantiles, middles of k-means centres, or natural breaks) and {out}_p, most of it on the label and some on its neighbours."""
     df = with_volatility(df, x)
     if method == "quantile":
-        return G.quantile_labels(df, "garch_vol", k, out)
+        return G.quantile_labels(df, "garch_vol", k, out).withColumn(f"{out}_p", G.neighbour_probabilities(out, k))
 
     def one(s: pd.DataFrame) -> dict[str, np.ndarray]:
         v = s["garch_vol"].to_numpy(float)
@@ -124,11 +124,11 @@ def regimes(df: DataFrame, k: int = 3, x: str = "returns", method: str = "quanti
             label[known] = (v[known][:, None] > np.array(breaks(v[known], k, method))[None]).sum(axis=1)
         return {out: label}
 
-    return along(df, one, [out]).withColumn(out, F.col(out).cast("int"))
+    return along(df, one, [out]).withColumn(out, F.col(out).cast("int")).withColumn(f"{out}_p", G.neighbour_probabilities(out, k))
 
 
 def breaks(v: np.ndarray, k: int, method: str) -> list[float]:
-    """k - 1 thresholds in one dimension: kmeans (middles of centres) or jenks (least squares within classes, over 200 quantiles at most)."""
+    """k - 1 thresholds in one dimension: kmeans (middles of centres) or jenks (least squares within classes, exact, over all values)."""
     if method == "kmeans":
         c = np.quantile(v, (np.arange(k) + 0.5) / k)
         for _ in range(100):
@@ -138,16 +138,30 @@ def breaks(v: np.ndarray, k: int, method: str) -> list[float]:
         return list((c[1:] + c[:-1]) / 2)
     if method != "jenks":
         raise ValueError(f"unknown method {method!r}")
-    s = np.sort(v) if len(v) <= 200 else np.quantile(v, np.linspace(0, 1, 200))
-    n, one, two = len(s), np.r_[0, np.cumsum(s)], np.r_[0, np.cumsum(s**2)]
-    i, j = np.triu_indices(n + 1, 1)
-    cost = np.full((n + 1, n + 1), math.inf)
-    cost[i, j] = two[j] - two[i] - (one[j] - one[i]) ** 2 / (j - i)
-    best, came = cost[0], []
+    s = np.sort(v)
+    n, one, two = len(s), np.r_[0, np.cumsum(s - s.mean())], np.r_[0, np.cumsum((s - s.mean()) ** 2)]
+
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Squares within s[i:j] for each pair of places; infinite for none."""
+        size = np.maximum(j - i, 1)
+        return np.where(j > i, two[j] - two[i] - (one[j] - one[i]) ** 2 / size, math.inf)
+
+    best, came = cost(np.zeros(n + 1, int), np.arange(n + 1)), []
     for _ in range(k - 1):
-        both = best[:, None] + cost
-        came.append(both.argmin(axis=0))
-        best = both.min(axis=0)
+        # The best last cut never moves back as the end moves on, so that each level of a halving has few places to look at.
+        new, cut = np.full(n + 1, math.inf), np.zeros(n + 1, int)
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if lo > hi:
+                continue
+            mid = (lo + hi) // 2
+            at = np.arange(first, min(last, mid - 1) + 1)
+            value = best[at] + cost(at, np.full(len(at), mid))
+            k_ = int(value.argmin())
+            new[mid], cut[mid] = value[k_], at[k_]
+            todo += [(lo, mid - 1, first, int(at[k_])), (mid + 1, hi, int(at[k_]), last)]
+        best, came = new, [*came, cut]
     at, out = n, []
     for c in reversed(came):
         at = int(c[at])
@@ -162,5 +176,3 @@ def switching(df: DataFrame, x: str = "returns", k: int = 3, n: int = 20, out: s
     df = G.nearest_labels(df, "_sd", levels, "level", k, out="_raw")
     return df.withColumn(out, F.percentile("_raw", F.lit(0.5)).over(series().rowsBetween(-2, 2)).cast("int")).drop("_sd", "_raw")
 
-
-del Window

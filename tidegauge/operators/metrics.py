@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +93,25 @@ def with_temporal_consistency(df: DataFrame, half: int = 5, label: str = LABEL)
     return df.withColumn("same", F.size(F.filter("_all", lambda v: v == F.col(label))) / F.size("_all")).drop("_all")
 
 
+def trailing_consistency(df: DataFrame, n: int = 5, label: str = LABEL) -> DataFrame:
+    """One row, consistency: the mean share of the most frequent label of the n rows before each row that has so many; 1 without such rows."""
+    df = df.withColumns({"_last": F.collect_list(label).over(series().rowsBetween(-n, -1)), "_i": F.row_number().over(series())}).where(F.col("_i") > n)
+    share = G.modal_share("_last")
+    return df.agg(F.coalesce(F.avg(share), F.lit(1.0)).alias("consistency"))
+
+
+def correlation_stability(df: DataFrame, x: str, y: str, n: int = 30, label: str = LABEL) -> DataFrame:
+    """KEYS, label, rows, stability: 1 / (1 + variance of the correlation of x and y over the n rows of the label before each row from the n-th on).
+
+    1 for a label with under 2n rows in its series, 0 for one whose windows have no correlation. A label's rows are taken as
+    one sequence, whatever lies between them.
+    """
+    own = Window.partitionBy(*KEYS, label).orderBy("ts")
+    df = df.where(F.col(label).isNotNull()).withColumns({"_c": corr(x, y, own.rowsBetween(-n, -1)), "_i": F.row_number().over(own)})
+    per = df.groupBy(*KEYS, label).agg(F.count(F.lit(1)).alias("rows"), F.var_pop(F.when(F.col("_i") > n, F.col("_c"))).alias("_v"))
+    return per.select(*KEYS, label, "rows", F.when(F.col("rows") < 2 * n, 1.0).otherwise(F.coalesce(1 / (1 + F.col("_v")), F.lit(0.0))).alias("stability"))
+
+
 def regime_statistics(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
     """label, n, share, mean_duration, and mean, std (population), min, max, median, skew and kurtosis of each feature."""
     per = [f(c).alias(f"{c}_{n}") for c in features for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("skew", F.skewness), ("kurt", F.kurtosis))]
@@ -159,20 +179,52 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select((F.col("same") / F.col("total")).alias("accuracy"), (F.col("top") / F.col("total")).alias("purity"), F.coalesce(div(F.col("sn") - chance, most - chance), F.lit(1.0)).alias("adjusted_rand"), F.col("mi").alias("mutual_info"), F.coalesce(div(F.col("mi"), (F.col("ha") + F.col("hb")) / 2), F.lit(1.0)).alias("normalized_mutual_info"))
 
 
+def prediction_report(df: DataFrame, label: str = LABEL, target: str = "target") -> DataFrame:
+    """A row for each class of either column: class, support, precision, recall and f1 (0 where undefined); from the contingency counts."""
+    t = contingency(df, target, label)
+    own = t.groupBy(F.col(target).alias("class")).agg(F.first("na").alias("support"), F.sum(F.when(F.col(target) == F.col(label), F.col("n")).otherwise(0)).alias("hits"))
+    said = t.groupBy(F.col(label).alias("class")).agg(F.first("nb").alias("said"))
+    both = own.join(said, "class", "full")
+    share = lambda x: F.coalesce(div(F.col("hits").cast("double"), F.col(x).cast("double")), F.lit(0.0))
+    p, r = share("said"), share("support")
+    return both.select("class", F.coalesce("support", F.lit(0)).alias("support"), p.alias("precision"), r.alias("recall"), F.coalesce(div(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
+def prediction_summary(report: DataFrame) -> DataFrame:
+    """One row over prediction_report(): accuracy, and precision, recall and f1 as plain means and as means weighted by support."""
+    w = F.col("support") / F.sum("support").over(Window.partitionBy())
+    parts = report.withColumn("_w", w)
+    return parts.agg(F.sum(F.col("recall") * F.col("_w")).alias("accuracy"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[F.sum(F.col(c) * F.col("_w")).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")])
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """Natural log of n! by Stirling's series; small ones from a table."""
+    small = np.r_[0.0, np.cumsum(np.log(np.arange(1, 64)))]
+    x = np.maximum(n, 1.0)
+    series_ = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 64, small[np.minimum(n, 63).astype(int)], series_)
+
+
+def _expected_cell(x: float, y: float, n: float) -> float:
+    """What a cell with margins x and y adds to the mutual information in expectation. Counts further than 40 deviations from the mean have weights that no double holds."""
+    mean = x * y / n
+    far = 40 * math.sqrt(mean * (1 - x / n) * max(n - y, 0) / max(n - 1, 1)) + 60
+    k = np.arange(max(1.0, x + y - n, math.floor(mean - far)), min(x, y, math.ceil(mean + far)) + 1)
+    f = _log_factorial
+    log = f(np.array([x, y, n - x, n - y])).sum() - f(np.array([n]))[0] - f(k) - f(x - k) - f(y - k) - f(n - x - y + k)
+    return float((k / n * np.log(n * k / (x * y)) * np.exp(log)).sum())
+
+
 def adjusted_mutual_info(df: DataFrame, a: str, b: str) -> float:
-    """Mutual information over what chance would give, from the contingency counts, whose size is that of the labels."""
+    """Mutual information over what chance would give, from the contingency counts, whose size is that of the labels; 1 for no rows."""
     rows = contingency(df, a, b).collect()
+    if not rows:
+        return 1.0
     n = rows[0]["total"]
     na, nb = {r[a]: r["na"] for r in rows}, {r[b]: r["nb"] for r in rows}
     mi = sum(r["n"] / n * math.log(r["n"] * n / (r["na"] * r["nb"])) for r in rows)
     h = lambda c: -sum(v / n * math.log(v / n) for v in c.values())
-    lg = math.lgamma
-    expected = 0.0
-    for x in na.values():
-        for y in nb.values():
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                log = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
-                expected += k / n * math.log(n * k / (x * y)) * math.exp(log)
+    expected = sum(_expected_cell(float(x), float(y), float(n)) for x in na.values() for y in nb.values())
     spare = (h(na) + h(nb)) / 2 - expected
     return 1.0 if abs(spare) < 1e-15 else (mi - expected) / spare
 
@@ -180,10 +232,6 @@ def adjusted_mutual_info(df: DataFrame, a: str, b: str) -> float:
 # Cluster quality.
 
 
-def _centroids(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in features])
-
-
 def _distance(left: list[Column], right: list[Column]) -> Column:
     return F.sqrt(sum((F.pow(a - b, 2) for a, b in zip(left, right)), F.lit(0.0)))
 
@@ -191,36 +239,49 @@ def _distance(left: list[Column], right: list[Column]) -> Column:
 def cluster_quality(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
     """One row: davies_bouldin, calinski_harabasz, separation (mean distance of centroids over mean distance to the own one).
 
-    Rows with a null are left out. Centroids, one row a label, are broadcast back; only they meet in pairs.
+    Rows with a null are left out. Two passes: one for the centroids, a row a label, one for the distances to them; only the
+    centroids meet in pairs, on the driver.
     """
+    spark, schema = df.sparkSession, "davies_bouldin double, calinski_harabasz double, separation double"
     df = df.na.drop(subset=[*features, label])
-    cent = _centroids(df, features, label)
-    mine = [F.col(f"_m_{c}") for c in features]
-    off = _distance([F.col(c) for c in features], mine)
-    spread = df.join(F.broadcast(cent), label).groupBy(label).agg(F.avg(off).alias("_s"), F.sum(F.pow(off, 2)).alias("_w"), F.sum(off).alias("_o"))
-    cent = cent.join(F.broadcast(spread), label)
-    grand = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(c).alias(f"_g_{c}") for c in features])
-    other = cent.select(F.col(label).alias("_l"), F.col("_s").alias("_s2"), *[F.col(f"_m_{c}").alias(f"_o_{c}") for c in features])
-    pairs = cent.join(F.broadcast(other), F.col(label) != F.col("_l")).withColumn("_d", _distance(mine, [F.col(f"_o_{c}") for c in features]))
-    worst = pairs.groupBy(label).agg(F.max(div(F.col("_s") + F.col("_s2"), F.col("_d"))).alias("_r"), F.sum("_d").alias("_ds"), F.count(F.lit(1)).alias("_dn"))
-    pair = worst.agg(F.avg("_r").alias("davies_bouldin"), (F.sum("_ds") / F.sum("_dn")).alias("_between"))
-    both = cent.crossJoin(F.broadcast(grand)).agg(F.count(F.lit(1)).alias("_k"), F.first("_rows").alias("_rows"), F.sum("_w").alias("_within"), F.sum("_o").alias("_off_all"), F.sum(F.col("_n") * F.pow(_distance(mine, [F.col(f"_g_{c}") for c in features]), 2)).alias("_between_sq"))
-    both = both.crossJoin(pair)
-    return both.select("davies_bouldin", div(F.col("_between_sq") / (F.col("_k") - 1), F.col("_within") / (F.col("_rows") - F.col("_k"))).alias("calinski_harabasz"), div(F.col("_between"), F.col("_off_all") / F.col("_rows")).alias("separation"))
+    cent = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).collect()  # a row a label
+    if not cent:
+        return spark.createDataFrame([(None, None, None)], schema)
+    means = np.array([[r[f"m{i}"] for i in range(len(features))] for r in cent])
+    n = np.array([r["n"] for r in cent], float)
+    own = F.create_map(*[x for r, m in zip(cent, means.tolist()) for x in (F.lit(r[label]), F.array(*map(F.lit, m)))])
+    off = _distance([F.col(c) for c in features], [F.get(F.col("_m"), F.lit(i)) for i in range(len(features))])
+    spread = {r[label]: r for r in df.withColumn("_m", F.try_element_at(own, F.col(label))).groupBy(label).agg(F.avg(off).alias("s"), F.sum(F.pow(off, 2)).alias("w"), F.sum(off).alias("o")).collect()}
+    s, within, all_off = (np.array([spread[r[label]][c] for r in cent]) for c in ("s", "w", "o"))
+    apart = np.sqrt(((means[:, None] - means[None]) ** 2).sum(axis=2))
+    grand = (means * n[:, None]).sum(axis=0) / n.sum()
+    k, rows = len(cent), n.sum()
+    others = ~np.eye(k, dtype=bool)
+    pairs = np.where(others & (apart > 0), (s[:, None] + s[None]) / np.where(apart > 0, apart, 1), -np.inf)
+    worst = pairs.max(axis=1)
+    ratio = lambda a, b: float(a / b) if b else None
+    davies = float(worst[np.isfinite(worst)].mean()) if k > 1 and np.isfinite(worst).any() else None
+    between = (n * ((means - grand) ** 2).sum(axis=1)).sum()
+    calinski = ratio(between / (k - 1), within.sum() / (rows - k)) if k > 1 and rows > k else None
+    separation = ratio(apart[others].mean(), all_off.sum() / rows) if k > 1 else None
+    return spark.createDataFrame([(davies, calinski, separation)], schema)
 
 
 def silhouette(df: DataFrame, features: list[str], label: str = LABEL, key: str = "ts", block: int = 1000) -> DataFrame:
     """One row: the mean Euclidean silhouette; 0 for a single label.
 
     The measure is quadratic by definition. Rows are gathered to blocks of bounded size, and a row meets blocks, not rows:
-    distances to a block are added up by label within one expression, so no pair is ever a row.
+    distances to a block are added up by label within one expression, so no pair is ever a row. Rows times blocks meet by
+    block number, an even key.
     """
     df = df.na.drop(subset=[*features, label]).select(F.array(*features).alias("_x"), F.col(label).alias("_l"), F.xxhash64(key, *features).alias("_k"))
     df = df.withColumn("_id", F.monotonically_increasing_id())
     n = df.count()
-    blocks = df.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(max(1, -(-n // block))))).groupBy("_b", F.col("_l").alias("_bl")).agg(F.collect_list("_x").alias("_xs"), F.count(F.lit(1)).alias("_bn"))
+    count = max(1, -(-n // block))
+    blocks = df.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(count)).cast("int")).groupBy("_b", F.col("_l").alias("_bl")).agg(F.collect_list("_x").alias("_xs"), F.count(F.lit(1)).alias("_bn"))
     far = F.aggregate("_xs", F.lit(0.0), lambda a, y: a + F.sqrt(F.aggregate(F.zip_with("_x", y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)))
-    sums = df.join(blocks).select("_id", "_l", "_bl", "_bn", far.alias("_d")).groupBy("_id", "_l", "_bl").agg(F.sum("_d").alias("_d"), F.sum("_bn").alias("_n"))
+    met = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(blocks, F.col("_j") == F.col("_b"))
+    sums = met.select("_id", "_l", "_bl", "_bn", far.alias("_d")).groupBy("_id", "_l", "_bl").agg(F.sum("_d").alias("_d"), F.sum("_bn").alias("_n"))
     own = F.max(F.when(F.col("_l") == F.col("_bl"), div(F.col("_d"), F.col("_n") - 1.0)))
     near = F.min(F.when(F.col("_l") != F.col("_bl"), F.col("_d") / F.col("_n")))
     each = sums.groupBy("_id").agg(own.alias("a"), near.alias("b"))
@@ -249,13 +310,43 @@ def confidence(df: DataFrame, p: str) -> DataFrame:
 def quality_index(df: DataFrame, features: list[str], p: str, label: str = LABEL) -> DataFrame:
     """One row: 100 * (0.35 silhouette on [0, 1] + 0.25 confidence + 0.25 persistence + 0.15 balance), and its parts."""
     parts = silhouette(df, features, label).crossJoin(confidence(df, p).select("mean_confidence")).crossJoin(stability(df, label).select("persistence")).crossJoin(distribution(df, label).select("normalized_entropy"))
-    index = 100 * (0.35 * (F.col("silhouette") + 1) / 2 + 0.25 * F.col("mean_confidence") + 0.25 * F.col("persistence") + 0.15 * F.col("normalized_entropy"))
-    return parts.withColumn("quality_index", index)
+    return parts.withColumn("quality_index", _index())
+
+
+def _index() -> Column:
+    return 100 * (0.35 * (F.col("silhouette") + 1) / 2 + 0.25 * F.col("mean_confidence") + 0.25 * F.col("persistence") + 0.15 * F.col("normalized_entropy"))
+
+
+def evaluated(df: DataFrame, features: list[str], label: str = LABEL, p: str | None = None, target: str | None = None) -> DataFrame:
+    """One row with the measures of a labelling: cluster quality, stability, distribution, trailing consistency, and confidence and the quality index with probabilities p, agreement with a target."""
+    parts = [silhouette(df, features, label), cluster_quality(df, features, label), stability(df, label).select("n_rows", "transition_rate", "persistence", "runs", "mean_length"), distribution(df, label).select("labels", "entropy", "normalized_entropy", "gini"), trailing_consistency(df, label=label)]
+    if p is not None:
+        parts.append(confidence(df, p))
+    if target is not None:
+        parts.append(agreement(df, label, target))
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.crossJoin(F.broadcast(one))  # each has one row
+    if p is not None:
+        out = out.withColumn("quality_index", _index())
+    return out
+
+
+def folds_evaluated(df: DataFrame, by: str = "fold", label: str = LABEL, target: str | None = None) -> DataFrame:
+    """A row a fold of rows that carry one: rows, persistence of its labels, and accuracy against a target."""
+    steps = df.withColumn("_n", F.lead(label).over(Window.partitionBy(by, *KEYS).orderBy("ts")))
+    same = F.avg(F.when(F.col("_n").isNotNull(), (F.col("_n") == F.col(label)).cast("double")))
+    more = [] if target is None else [F.avg((F.col(label) == F.col(target)).cast("double")).alias("accuracy")]
+    return steps.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), same.alias("persistence"), *more)
+
+
+def aggregated(results: DataFrame, measures: list[str]) -> DataFrame:
+    """measure, mean, std (population), min, max of each measure over the rows of results, such as folds."""
+    each = [F.struct(F.lit(c).alias("measure"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in measures]
+    return results.agg(F.array(*each).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 def readiness(parts: DataFrame, silhouette_: float = 0.30, separation: float = 1.50, persistence: float = 0.85, share: float = 0.10) -> DataFrame:
     """parts (silhouette, separation, persistence, min_share) with ready."""
     return parts.withColumn("ready", (F.col("silhouette") >= silhouette_) & (F.col("separation") >= separation) & (F.col("persistence") >= persistence) & (F.col("min_share") >= share))
 
-
-del KEYS

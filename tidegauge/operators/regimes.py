@@ -46,9 +46,8 @@ def with_transitions(df: DataFrame, n: int = 50, label: str = LABEL) -> DataFram
     return df.withColumns({"change_rate": F.avg(F.col("change").cast("double")).over(last_rows(n)), "since_change": (F.col("_i") - last).cast("long")}).drop("_i")
 
 
-def stability(n: int = 20, label: str = LABEL, change: str = "change") -> Column:
+def stability(n: int = 20, change: str = "change") -> Column:
     """1 less the share of changes among the n - 1 steps of the last n rows."""
-    del label
     w = series().rowsBetween(-(n - 2), 0)
     return F.when(F.count(F.lit(1)).over(last_rows(n)) == n, 1 - F.sum(change).over(w) / (n - 1))
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import windows as W
 from tidegauge.operators import clean
 from tidegauge.sources import bars as B
 
-from .sql import EVENTS, LINES, RETURNS, SERIES, roll, with_
+from .sql import EVENTS, LINES, RETURNS, SERIES, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -191,5 +191,3 @@ def volume_rollup(spark: SparkSession, d: str) -> DataFrame:
     out = df.rollup("symbol", "hour").agg(F.count(F.lit(1)).alias("bars"), F.round(F.sum("volume"), 6).alias("volume"))
     return out.select(F.coalesce("symbol", F.lit("(all)")).alias("symbol"), F.coalesce("hour", F.lit(-1)).cast("long").alias("hour"), "bars", "volume")
 
-
-del Window, roll

@@ -11,7 +11,8 @@ from tidegauge.functions import recursive as R
 from tidegauge.functions import windows as W
 from tidegauge.sources import bars as B
 
-from .sql import EVENTS, LINES, RETURNS, SERIES, frame, roll, rounded, with_
+from . import engine
+from .sql import EVENTS, LINES, RETURNS, SERIES, frame, roll, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -219,20 +220,71 @@ def permutation_entropy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def complexity_features(spark: SparkSession, d: str) -> DataFrame:
     """Entropies and exponents that need a pass over each window; checked against plain versions in the tests."""
-    df = X.with_returns(B.resampled(B.events_1h(spark, d), "H4"))
-    return E.with_complexity(df, "returns", 60)
+    return E.with_complexity(X.with_returns(B.events_1h(spark, d)), "returns", 60)
 
 
-@query()
+_STATS = {f"{n}_20": roll(f + "({})", "close", 20) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))} | {"median_20": roll("quantile_cont({}, 0.5)", "close", 20), "skewness_20": _MOMENTS["skew_20"], "kurtosis_20": _MOMENTS["kurt_20"]}
+_BANDS = {"bb_middle": _M, "bb_upper": f"{_M} + 2 * {_SD}", "bb_lower": f"{_M} - 2 * {_SD}"}
+_RSI = f"100 - 100 / (1 + {roll('avg({})', 'g', 14)} / nullif({roll('avg({})', 'l', 14)}, 0))"
+_SIDE = (_TERMS, f"d AS (SELECT *, coalesce(close - {_LAG}, 0) AS d, greatest(high - low, abs(high - {_LAG}), abs(low - {_LAG})) AS tr, close / nullif({_LAG}, 0) - 1 AS returns FROM t {_S})", "g AS (SELECT *, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM d)")
+_ALL_FEATURES = {"returns": "returns"} | _VOLS | _BANDS | {"atr": roll("avg({})", "tr", 14), "rsi": _RSI} | _STATS
+
+
+@query(with_(EVENTS, *_SIDE) + sql_of(_ALL_FEATURES, "g"))
 def all_features(spark: SparkSession, d: str) -> DataFrame:
     """All four families side by side, in one pass over the windows."""
     df = X.with_volatility(X.with_returns(B.events_1h(spark, d)))
-    return X.rolling_statistics(X.with_rsi(X.with_atr(X.with_bollinger(df))))
+    return out(X.rolling_statistics(X.with_rsi(X.with_atr(X.with_bollinger(df)))), list(_ALL_FEATURES))
 
 
-@query()
+def _vols_of(n: int) -> dict[str, str]:
+    k = 0.34 / (1.34 + (n + 1) / (n - 1))
+    yang = f'({roll("avg({})", "night", n)} + {k!r} * {roll("avg({})", "oc", n)} + (1 - {k!r}) * {roll("avg({})", "rs", n)})'
+    return {f"parkinson_{n}": f"sqrt({roll('avg({})', 'hl', n)} / (4 * ln(2))) * {_ANNUAL}", f"garman_klass_{n}": f"({_root(roll('avg({})', 'gk', n))}) * {_ANNUAL}", f"rogers_satchell_{n}": f"({_root(roll('avg({})', 'rs', n))}) * {_ANNUAL}", f"yang_zhang_{n}": f"({_root(yang)}) * {_ANNUAL}", f"close_to_close_{n}": f"{roll('stddev_samp({})', 'lr', n)} * {_ANNUAL}"}
+
+
+_LONG = f"{roll('avg({})', 'close', 30)}"
+_BENCH = _vols_of(28) | {"rsi": _RSI, "rolling_vol": roll("stddev_samp({})", "returns", 28), "mean_28": roll("avg({})", "close", 28), "volume_ratio": f"coalesce(volume / nullif(avg(volume) OVER {frame(28)} + 1e-10, 0), 1)", "momentum": f"({roll('avg({})', 'close', 10)} - {_LONG}) / nullif({_LONG}, 0)"}
+
+
+@query(with_(EVENTS, *_SIDE, f"b AS (SELECT symbol, ts, returns, {', '.join(f'{x} AS {n}' for n, x in _BENCH.items())} FROM g)") + "SELECT symbol, ts, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("returns", *_BENCH)) + " FROM b WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ("returns", *_BENCH)))
 def benchmark_features(spark: SparkSession, d: str) -> DataFrame:
-    return X.benchmark_features(B.events_1h(spark, d))
+    return out(X.benchmark_features(B.events_1h(spark, d), 28), ["returns", *_BENCH])
+
+
+_ENGINE = {"rsi": _RSI, "macd": "macd", "sma_20": _M, "ema_20": _ema("close", 20)} | _BANDS | {"atr": roll("avg({})", "tr", 14), "mean_20": _M, "parkinson_20": _VOLS["parkinson_20"], "close_to_close_20": _VOLS["close_to_close_20"], "skewness_20": _STATS["skewness_20"]}
+_HUNDRED = _BINS.replace(frame(50), frame(100)).replace("= 50", "= 100").replace("/ 50", "/ 100")
+
+
+@query(with_(EVENTS, *_SIDE, f"e AS (SELECT *, {_ema('close', 12)} - {_ema('close', 26)} AS macd FROM g)", f"f AS ({sql_of(_ENGINE, 'e')})", _HUNDRED, "h AS (SELECT symbol, ts, round(-sum(p * log2(p)), 6) + 0.0 AS shannon FROM c GROUP BY symbol, ts)") + "SELECT f.*, shannon FROM f LEFT JOIN h USING (symbol, ts)")
+def engine_features(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's default feature set of all families."""
+    return out(engine.compute(B.events_1h(spark, d)), [*_ENGINE, "shannon"])
 
 
-del rounded
+@query(with_(EVENTS, RETURNS, f"v AS (SELECT *, volume / nullif(lag(volume) OVER s, 0) - 1 AS dv FROM r {_S})", f"y AS (SELECT *, lag(dv, 2) OVER s AS y2 FROM v {_S})") + sql_of({"cross_corr": f"CASE WHEN count(CASE WHEN returns IS NOT NULL AND y2 IS NOT NULL THEN 1 END) OVER {frame(20)} = 20 AND var_pop(returns) OVER {frame(20)} > 0 AND var_pop(y2) OVER {frame(20)} > 0 THEN corr(returns, y2) OVER {frame(20)} END"}, "y"))
+def cross_correlation(spark: SparkSession, d: str) -> DataFrame:
+    df = X.with_returns(B.events_1h(spark, d)).withColumn("dv", X.returns("volume"))
+    return out(X.cross_correlation(df, "returns", "dv", 20, 2), ["cross_corr"])
+
+
+_WEIGHTS = f"w AS (SELECT symbol, ts, l, list_transform(l, lambda x, i: pow(1 - 2 / 21, i - 1)) AS w FROM (SELECT symbol, ts, list_reverse(list(close) OVER ({SERIES} ROWS UNBOUNDED PRECEDING)) AS l FROM bars)), m AS (SELECT *, list_dot_product(l, w) / list_sum(w) AS m, list_sum(w) AS sw, list_dot_product(w, w) AS sq FROM w), q AS (SELECT symbol, ts, len(l) AS n, list_sum(list_transform(l, lambda x, i: w[i] * (x - m) * (x - m))) / sw * sw * sw / nullif(sw * sw - sq, 0) AS v FROM m)"
+
+
+@query(with_(EVENTS, _WEIGHTS) + "SELECT symbol, ts, round(CASE WHEN n > 1 THEN v END, 6) AS ewm_var, round(CASE WHEN n > 1 THEN sqrt(v) END, 6) AS ewm_std FROM q")
+def ewm_spread(spark: SparkSession, d: str) -> DataFrame:
+    df = R.ewm(B.events_1h(spark, d), "close", span=20, operation="var")
+    return out(R.ewm(df, "close", span=20, operation="std"), ["ewm_var", "ewm_std"])
+
+
+@query()
+def transfer_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Bits that volume's changes add to returns' own past; checked against a plain version in the tests."""
+    df = X.with_returns(B.events_1h(spark, d)).withColumn("dv", X.returns("volume"))
+    return out(E.with_transfer(df, "dv", "returns", 60), ["transfer"])
+
+
+@query()
+def multiscale_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Sample entropies over coarser series; checked against a plain version in the tests."""
+    return out(E.with_multiscale(X.with_returns(B.events_1h(spark, d)), "returns", 60), ["mse_1", "mse_2", "mse_4"])

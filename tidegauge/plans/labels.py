@@ -212,7 +212,7 @@ def ensemble_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return P.numbered(labelled(spark, d, B.events_all_1h)).select("symbol", "timeframe", "ts", "regime", "row_no").cache()
+    return P.numbered(labelled(spark, d, B.events_all_1h)).select("symbol", "timeframe", "ts", "regime", "row_no")
 
 
 #: Folds are of one series: all events'.

@@ -9,6 +9,7 @@ from tidegauge.functions import features as X
 from tidegauge.operators import classify as C
 from tidegauge.operators import garch, hmm
 from tidegauge.operators import regimes as G
+from tidegauge.session import scratch
 from tidegauge.sources import bars as B
 
 from .sql import EVENTS, RETURNS, SERIES, frame, with_
@@ -30,9 +31,12 @@ def query(sql: str | None = None):
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
-    """Bars of four hours with clipped returns, their deviation over 10 bars, and the log of volume."""
-    df = X.with_returns(B.resampled(B.events_1h(spark, d), "H4"), method="log")
-    return df.withColumns({"vol": X.volatility("returns", 10), "log_volume": F.ln("volume")}).na.drop(subset=FEATURES).cache()
+    """Hourly bars with log returns, their deviation over 10 bars, and the log of volume, written down once, as a fit reads them many times."""
+    df = X.with_returns(B.events_1h(spark, d), method="log")
+    df = df.withColumns({"vol": X.volatility("returns", 10), "log_volume": F.ln("volume")}).na.drop(subset=FEATURES)
+    path = scratch(spark, "prepared")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query()

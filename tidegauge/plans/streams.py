@@ -55,6 +55,6 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
     bars = spark.read.parquet(f"{d}/events.parquet")
     path = scratch(spark, "bars")
-    S._bar(F.window("ts", "1 hour"), "H1", bars.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price")).where("price > 0")).repartition(1).write.parquet(path)
+    S._bar(F.window("ts", "1 hour"), "H1", bars.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price")).where("price > 0")).repartition("symbol").sortWithinPartitions("ts").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     return _run(S.monitor(stream, lambda c: S.volatility_label(c, 1.0, 3.0), 20), "append")

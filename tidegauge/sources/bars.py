@@ -44,10 +44,10 @@ def resampled(bars: DataFrame, timeframe: str) -> DataFrame:
     )
 
 
-def standardized(raw: DataFrame, symbol: str | None = None, timeframe: str | None = None) -> DataFrame:
-    """Bars by any of the usual column names: volume 0 where absent, numbers that don't parse null, of equal times the last read.
+def standardized(raw: DataFrame, symbol: str | None = None, timeframe: str | None = None, order: Column | None = None) -> DataFrame:
+    """Bars by any of the usual column names: volume 0 where absent, numbers that don't parse null, of equal times that with the largest order.
 
-    What was read last is the row with the largest monotonically increasing id.
+    Where no order is given, that is the order of reading, which is defined within a file only; equal orders go by the bar's own values.
     """
     names = {c: k for k, own in ALIASES.items() for c in (k, *own) if c in raw.columns}
     missing = [p for p in PRICES if p not in names.values()]
@@ -63,9 +63,9 @@ def standardized(raw: DataFrame, symbol: str | None = None, timeframe: str | Non
         F.try_to_timestamp(F.col(time).cast("string")).cast("timestamp_ntz").alias("ts") if dict(raw.dtypes)[time] == "string" else F.col(time).cast("timestamp_ntz").alias("ts"),
         *[F.col(first[p]).try_cast("double").alias(p) for p in PRICES],
         (F.col(first["volume"]).try_cast("double") if "volume" in first else F.lit(0.0)).alias("volume"),
-        F.monotonically_increasing_id().alias("_read"),
+        (F.monotonically_increasing_id() if order is None else order).alias("_read"),
     )
-    return last_write(out, F.col("_read")).drop("_read")
+    return last_write(out, F.struct("_read", *PRICES, "volume")).drop("_read")
 
 
 def last_write(bars: DataFrame, order: Column) -> DataFrame:

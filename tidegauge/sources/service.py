@@ -48,6 +48,26 @@ def retried(tries: int = 3, pause: float = 1.0, errors: tuple[type[Exception], .
     return around
 
 
+_called: dict[str, float] = {}
+
+
+def spaced(gap: float):
+    """Calls a function no sooner than gap seconds after its last call in this worker, so that so many workers keep a service's rate."""
+
+    def around(f: Callable) -> Callable:
+        @wraps(f)
+        def called(*a, **k):
+            wait = _called.get(f.__qualname__, -gap) + gap - time.monotonic()
+            if wait > 0:
+                time.sleep(min(wait, gap))
+            _called[f.__qualname__] = time.monotonic()
+            return f(*a, **k)
+
+        return called
+
+    return around
+
+
 def page_ranges(start: datetime, stop: datetime, timeframe: str, most: int) -> list[tuple[datetime, datetime]]:
     out, at, width = [], start, timedelta(seconds=SECONDS[timeframe] * most)
     while at <= stop:
@@ -62,7 +82,7 @@ class Page(InputPartition):
 
 
 class BarsSource(DataSource):
-    """Options: kind, symbols, timeframe, start, end, fetcher, tries, pause."""
+    """Options: kind, symbols, timeframe, start, end, fetcher, tries, pause, calls_per_minute (of all tasks together, at most `readers` at a time)."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,13 +104,14 @@ class BarsReader(DataSourceReader):
         if self.kind not in PARSERS:
             raise ValueError(f"unknown kind {self.kind!r}")
         self.fetcher, self.tries, self.pause = options["fetcher"], int(options.get("tries", 3)), float(options.get("pause", 1.0))
+        self.gap = 60.0 * int(options.get("readers", 1)) / float(options["calls_per_minute"]) if "calls_per_minute" in options else 0.0
 
     def partitions(self) -> list[Page]:
         return [Page(s, a, b) for s in self.symbols for a, b in page_ranges(self.start, self.stop, self.timeframe, PAGE[self.kind])]
 
     def read(self, page: Page) -> Iterator[tuple]:
         module, _, name = self.fetcher.rpartition(".")
-        fetch = retried(self.tries, self.pause, (ConnectionError,))(getattr(import_module(module), name))
+        fetch = retried(self.tries, self.pause, (ConnectionError,))(spaced(self.gap)(getattr(import_module(module), name)))
         yield page.symbol, self.timeframe, fetch(self.kind, page.symbol, self.timeframe, page.start, page.stop)
 
 
