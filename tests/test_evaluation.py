@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import entropy, recursive
-from tidegauge.operators import classify, clean, garch, metrics
+from tidegauge.operators import classify, clean, garch, hmm, metrics
 from tidegauge.plans import models
 from tidegauge.sources import bars, files, service
 
@@ -22,6 +22,34 @@ def test_variance_recursion_equals_a_loop():
         assert recursive.garch_path(r, 0.1, 0.2, beta) == pytest.approx(np.array(want), rel=1e-8)
 
 
+def test_chains_by_blocks_equal_a_loop():
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 2), (2, 3), (7, 2), (50, 3), (333, 4)):
+        log_b, start, trans = rng.normal(0, 3, (n, k)), rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k)
+        b = np.exp(log_b)
+        a, z = [start * b[0]], [np.ones(k)]
+        for t in range(1, n):
+            a.append(a[-1] @ trans * b[t])
+        for t in range(n - 1, 0, -1):
+            z.append(trans @ (b[t] * z[-1]))
+        z.reverse()
+        total = a[-1].sum()
+        ll, post, moved = hmm.forward_backward(log_b, start, trans)
+        assert ll == pytest.approx(math.log(total)) and post == pytest.approx(np.array(a) * np.array(z) / total)
+        want = sum((a[t][:, None] * trans * (b[t + 1] * z[t + 1])[None] / total for t in range(n - 1)), np.zeros((k, k)))
+        assert moved == pytest.approx(want)
+        score, came = np.log(start) + log_b[0], []
+        for row in log_b[1:]:
+            both = score[:, None] + np.log(trans)
+            came.append(both.argmax(axis=0))
+            score = both.max(axis=0) + row
+        path = [int(score.argmax())]
+        for c in reversed(came):
+            path.append(int(c[path[-1]]))
+        got, best = hmm.viterbi(log_b, start, trans)
+        assert got.tolist() == path[::-1] and best == pytest.approx(score.max())
+
+
 def test_natural_breaks_are_the_best_of_all():
     rng = np.random.default_rng(2)
     for k in (2, 3, 4):

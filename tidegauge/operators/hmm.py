@@ -73,41 +73,89 @@ def clusters(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50)
     return label
 
 
+def _blocks(steps: np.ndarray, neutral: np.ndarray) -> np.ndarray:
+    """n x k x k steps as about sqrt(n) blocks of as many, the last filled up with neutral steps: what is done to one block is done to all at once."""
+    n, size = len(steps), max(1, math.isqrt(len(steps)))
+    more = -n % size
+    return np.concatenate([steps, np.repeat(neutral[None], more, axis=0)]).reshape(-1, size, *neutral.shape)
+
+
 def forward_backward(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, posteriors (n x k) and expected transitions (k x k)."""
+    """Log likelihood, posteriors (n x k) and expected transitions (k x k).
+
+    Steps are matrices, and their products over blocks say how states before a block lead to those after it; with these
+    known, all blocks are run through together.
+    """
     n, k = log_b.shape
     peak = log_b.max(axis=1, keepdims=True)
     b = np.exp(log_b - peak)
-    a, scale = np.empty((n, k)), np.empty(n)
-    now = start * b[0]
-    for t in range(n):
-        if t:
-            now = (a[t - 1] @ trans) * b[t]
-        scale[t] = max(now.sum(), 1e-300)
-        a[t] = now / scale[t]
-    back, expected = np.ones(k), np.zeros((k, k))
-    post = np.empty((n, k))
-    post[-1] = a[-1]
-    for t in range(n - 2, -1, -1):
-        ahead = b[t + 1] * back / scale[t + 1]
-        expected += a[t][:, None] * trans * ahead[None]
-        back = trans @ ahead
-        post[t] = a[t] * back
-    return float(np.log(scale).sum() + peak.sum()), post / post.sum(axis=1, keepdims=True), expected
+    steps = trans[None] * b[:, None]
+    steps[0] = start * b[0]  # from whatever came before
+    m = _blocks(steps, np.eye(k))
+    count, size = m.shape[:2]
+    product = m[:, 0]
+    for t in range(1, size):
+        product = product @ m[:, t]
+        product = product / np.maximum(product.max(axis=(1, 2), keepdims=True), 1e-300)
+    before, after = np.empty((count, k)), np.empty((count, k))
+    now, back = np.full(k, 1 / k), np.ones(k)
+    for j in range(count):
+        before[j] = now
+        now = now @ product[j]
+        now = now / max(now.sum(), 1e-300)
+    for j in range(count - 1, -1, -1):
+        after[j] = back
+        back = product[j] @ back
+        back = back / max(back.max(), 1e-300)
+    ahead, behind, scale = np.empty((count, size, k)), np.empty((count, size, k)), np.empty((count, size))
+    now, back = before, after
+    for t in range(size):
+        now = (now[:, None] @ m[:, t])[:, 0]
+        scale[:, t] = np.maximum(now.sum(axis=1), 1e-300)
+        now = now / scale[:, t, None]
+        ahead[:, t] = now
+    for t in range(size - 1, -1, -1):
+        behind[:, t] = back
+        back = (m[:, t] @ back[..., None])[..., 0]
+        back = back / np.maximum(back.max(axis=1, keepdims=True), 1e-300)
+    a, z = ahead.reshape(-1, k)[:n], behind.reshape(-1, k)[:n]
+    post = a * z
+    both = a[:-1, :, None] * steps[1:] * z[1:, None]
+    expected = (both / np.maximum(both.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
+    return float(np.log(scale.reshape(-1)[:n]).sum() + peak.sum()), post / np.maximum(post.sum(axis=1, keepdims=True), 1e-300), expected
 
 
 def viterbi(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float]:
-    """The likeliest path and its log probability."""
-    log_t = np.log(np.maximum(trans, 1e-300))
-    score, came = np.log(np.maximum(start, 1e-300)) + log_b[0], []
-    for row in log_b[1:]:
-        both = score[:, None] + log_t
+    """The likeliest path and its log probability: blocks in (max, +) arithmetic, then the best way through each between its known ends."""
+    n, k = log_b.shape
+    steps = np.log(np.maximum(trans, 1e-300))[None] + log_b[:, None]
+    steps[0] = np.log(np.maximum(start, 1e-300)) + log_b[0]
+    w = _blocks(steps, np.where(np.eye(k) > 0, 0.0, -math.inf))
+    count, size = w.shape[:2]
+    best = w[:, 0]
+    for t in range(1, size):
+        best = (best[:, :, :, None] + w[:, t][:, None]).max(axis=2)
+    score, came = np.zeros(k), []
+    for j in range(count):
+        both = score[:, None] + best[j]
         came.append(both.argmax(axis=0))
-        score = both.max(axis=0) + row
-    path = [int(score.argmax())]
+        score = both.max(axis=0)
+    ends = [int(score.argmax())]
     for c in reversed(came):
-        path.append(int(c[path[-1]]))
-    return np.array(path[::-1]), float(score.max())
+        ends.append(int(c[ends[-1]]))
+    ends = np.array(ends[::-1])
+    now = np.full((count, k), -math.inf)
+    now[np.arange(count), ends[:-1]] = 0.0
+    back = np.empty((count, size, k), np.int64)
+    for t in range(size):
+        both = now[:, :, None] + w[:, t]
+        back[:, t] = both.argmax(axis=1)
+        now = both.max(axis=1)
+    path, at = np.empty((count, size), np.int64), ends[1:]
+    for t in range(size - 1, -1, -1):
+        path[:, t] = at
+        at = back[np.arange(count), t, at]
+    return path.reshape(-1)[:n], float(score.max())
 
 
 def fit(x: np.ndarray, k: int, kind: str = "full", starts: int = 5, rounds: int = 60, seed: int = 42, markov: bool = True, select: str = "score") -> dict:
