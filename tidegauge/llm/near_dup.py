@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few, lookup, settled, unused
+from .common import checkpointed, few, lookup, settled
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Blocks of a fingerprint; a shard's key has all but RADIUS of them.
@@ -40,7 +40,7 @@ SHARD_ROWS = 200_000
 #: masks of one fingerprint must bring together.
 SIMILAR_SHINGLE, SIMILARITY, WIDE, WIDE_BOTH, AT_WIDE = 5, 0.8, 13, 30, 0.4
 #: Texts whose shingles are compared by one task at once: two blocks of this size.
-BLOCK_TEXTS = 400
+BLOCK_TEXTS = 200
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -262,17 +262,19 @@ def _whole(rows: np.ndarray, limit: int | None, searched, out) -> Iterator[pa.Re
         yield searched(rows)
 
 
-def _edges(shards: DataFrame, radius: int, both: int = 0, limit: int = SHARD_ROWS) -> DataFrame:
-    """Stars of rows (shard, key, fp, other): shard, fp, other, to, to_other."""
-    kinds = "fp bigint, other bigint, to bigint, to_other bigint"
-    found = settled(shards.repartition("shard", "key").sortWithinPartitions("shard", "key", "fp", "other").mapInArrow(lambda b: _stars(b, radius, both, limit), f"shard bigint, key bigint, {kinds}"), "stars")
-    large = found.where("to IS NULL").select("shard", "key", "fp", "other")
+def _edges(rows: DataFrame, masks: list[int], radius: int, both: int = 0, limit: int = SHARD_ROWS) -> DataFrame:
+    """Stars of rows (shard, fp, other), shard being the number of a mask: shard, fp, other, to, to_other. A shard's key, the masked fingerprint, is made where it is needed."""
+    kinds, names = "fp bigint, other bigint, to bigint, to_other bigint", ["shard", "key", "fp", "other"]
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col("shard") + 1))
+    dealt = rows.repartition("shard", key).withColumn("key", key).select(*names).sortWithinPartitions(*names)
+    found = settled(dealt.mapInArrow(lambda b: _stars(b, radius, both, limit), f"shard bigint, key bigint, {kinds}"), "stars")
+    large = found.where("to IS NULL").select(*names)
     if large.take(1):
-        # Each pair of pieces of a large shard is one group; a piece has half a task's rows.
+        # Each pair of pieces of a large shard is one group; a piece has a quarter of a task's rows.
         n = large.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("pieces", F.ceil(F.col("n") / F.lit(max(1, limit // 4))).cast("int")).drop("n")
         own = large.join(F.broadcast(n) if few(n) else n, ["shard", "key"]).withColumn("piece", F.pmod(F.xxhash64("fp", "other"), F.col("pieces")).cast("int"))
-        dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to_piece")).select("shard", "key", F.least("piece", "to_piece").alias("i"), F.greatest("piece", "to_piece").alias("j"), "fp", "other")
-        split = dealt.repartition("shard", "key", "i", "j").sortWithinPartitions("shard", "key", "i", "j", "fp", "other")
+        pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to_piece")).select("shard", "key", F.least("piece", "to_piece").alias("i"), F.greatest("piece", "to_piece").alias("j"), "fp", "other")
+        split = pairs.repartition("shard", "key", "i", "j").sortWithinPartitions("shard", "key", "i", "j", "fp", "other")
         found = found.unionByName(split.mapInArrow(lambda b: _stars(b, radius, both, None), f"shard bigint, key bigint, i bigint, j bigint, {kinds}").drop("i", "j"))
     return found.where("to IS NOT NULL").drop("key")
 
@@ -312,8 +314,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = settled(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
     marks = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "marks")
     masks = [_signed(m) for m in shard_masks(radius, blocks)]
-    shards = marks.select(F.explode(F.array(*[F.struct(F.lit(j).alias("shard"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"), "fp") for j, m in enumerate(masks)])).alias("s")).select("s.*", F.lit(0).cast("long").alias("other"))
-    comps = components(_edges(shards, radius).select(F.col("fp").alias("a"), F.col("to").alias("b")))
+    shards = marks.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("shard"), "fp", F.lit(0).cast("long").alias("other"))
+    comps = components(_edges(shards, masks, radius).select(F.col("fp").alias("a"), F.col("to").alias("b")))
     named = marks.join(comps, F.col("fp") == F.col("node"), "left")
     firsts = named.where("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
     named = named.join(firsts, "component", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("smallest")).otherwise(F.col("first")).alias("component_id"), "n")
@@ -330,28 +332,21 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _text_marks(text: Column, n: int) -> Column:
-    """A struct of two fingerprints and a 128-bit digest of a text's lower-case words."""
+def _fingerprints(text: Column, n: int) -> Column:
+    """A struct of two fingerprints of a text by different hashes."""
 
-    @F.pandas_udf("fp bigint, fp2 bigint, digest string")
-    def marked(x: pd.Series) -> pd.DataFrame:
-        digests = []
+    @F.pandas_udf("fp bigint, fp2 bigint")
+    def both(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(simhashes(_each(x), len(x), n, 2), columns=["fp", "fp2"])
 
-        def told() -> Iterator[list[bytes]]:
-            for words in _each(x):
-                digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                yield words
-
-        both = simhashes(told(), len(x), n, 2)
-        return pd.DataFrame({"fp": both[:, 0], "fp2": both[:, 1], "digest": digests})
-
-    return marked(text.cast("binary"))
+    return both(text.cast("binary"))
 
 
 def _shingle_sets(text: Column, n: int) -> Column:
     @F.pandas_udf("array<bigint>")
     def sets(x: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.array(_hashes(words, n), np.uint64)).view(np.int64) for words in _each(x)])
+        # Texts without words share one shingle of their own.
+        return pd.Series([np.unique(np.array(_hashes(words, n) or [0], np.uint64)).view(np.int64) for words in _each(x)])
 
     return sets(text.cast("binary"))
 
@@ -420,64 +415,87 @@ def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
         yield close()
 
 
-def with_marks(docs: DataFrame, text: str = "text", *, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """docs with _row, a number of its own, and _fp, _fp2 and _digest of the text, written down; columns of docs so named give way."""
-    (name,) = unused(docs, "marks")
-    m = F.col(name)
-    rows = docs.withColumn(name, _text_marks(F.col(text), shingle)).withColumns({"_row": F.monotonically_increasing_id(), "_fp": m.fp, "_fp2": m.fp2, "_digest": m.digest}).drop(name)
-    return settled(rows, "marked")
+def digest(text: Column) -> Column:
+    """What tells a text from others; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def similar_groups(marked: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, both: int = WIDE_BOTH, found: float = AT_WIDE, block: int = BLOCK_TEXTS) -> DataFrame:
-    """digest, component (a digest), doc_id and row (the component's smallest) for each distinct text of with_marks() rows.
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, both: int = WIDE_BOTH, found: float = AT_WIDE, block: int = BLOCK_TEXTS) -> DataFrame:
+    """digest, component (a digest), doc_id and first: a row for each distinct text of docs, with its group's smallest doc_id and that row's digest.
 
-    Texts link if their sets of shingles share `similarity` of their union; texts of equal words are one. A text of fewer
-    words than a shingle is one shingle, one without words links to its likes only. Links are sought between texts of which
-    one fingerprint differs in radius bits at most, both together in `both`, and that agree under one of the sampled masks,
-    whose length grows with the number of texts. Groups of such texts, of any size, are then compared block by block by
-    their shingles, so what links is exact, and what is lost is what the search does not bring together.
+    Texts link if their sets of shingles share `similarity` of their union. A text of fewer words than a shingle is one
+    shingle, one without words links to its likes only. Links are sought between texts of which one fingerprint differs in
+    radius bits at most, both together in `both`, and that agree under one of the sampled masks, whose length grows slowly
+    with the number of texts. Groups of such texts, of any size, are then compared block by block by their shingles, so
+    what links is exact, and what is lost is what the search does not bring together.
     """
-    texts = settled(marked.groupBy(F.col("_digest").alias("digest")).agg(F.first("_fp").alias("fp"), F.first("_fp2").alias("fp2"), F.min(F.struct(F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("doc_id"), F.col("_row").alias("row"))).alias("smallest")), "texts")
-    node = lambda a, b: F.xxhash64(a, b)
-    prints = texts.select("fp", "fp2").distinct()
-    masks = [_signed(m) for m in sampled_masks(min(40, max(8, math.ceil(math.log2(max(2, texts.count()))) - 2)), radius, found)]
-    shards = [F.struct(F.lit(2 * k + f).alias("shard"), F.col(x).bitwiseAND(F.lit(m)).alias("key"), F.col(x).alias("fp"), F.col(y).alias("other")) for k, m in enumerate(masks) for f, (x, y) in enumerate((("fp", "fp2"), ("fp2", "fp")))]
-    stars = _edges(prints.select(F.explode(F.array(*shards)).alias("s")).select("s.*"), radius, both)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), _fingerprints(F.col(text), shingle).alias("m")).select("doc_id", "digest", "m.*")
+    rows = settled(rows, "fingerprints")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id"))
+    texts = settled(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), smallest.alias("smallest")), "texts")
+    prints = settled(texts.select("fp", "fp2").distinct(), "prints")
+    masks = [_signed(m) for m in sampled_masks(min(40, 12 + int(math.log2(max(2, prints.count()))) // 4), radius, found)]
+    # Even shards look at the first fingerprint, odd ones at the second.
+    ways = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(x).alias("fp"), F.col(y).alias("other")) for f, (x, y) in enumerate((("fp", "fp2"), ("fp2", "fp")))])).alias("w")
+    shards = prints.select(ways).select("w.*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("m")).select((2 * F.col("m") + F.col("f")).alias("shard"), "fp", "other")
+    stars = _edges(shards, [m for m in masks for _ in range(2)], radius, both)
     swapped = F.col("shard") % 2 == 1
+    node = lambda a, b: F.xxhash64(a, b)
     ends = [F.when(swapped, node(y, x)).otherwise(node(x, y)) for x, y in (("fp", "other"), ("to", "to_other"))]
     wide = components(stars.select(ends[0].alias("a"), ends[1].alias("b")))
-    placed = texts.select("digest", "smallest.row", node("fp", "fp2").alias("node")).join(wide, "node", "left").select("digest", "row", F.coalesce("component", "node").alias("comp"))
+    placed = texts.select("digest", "smallest.doc_id", node("fp", "fp2").alias("node")).join(wide, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("comp"))
     n = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    touched = settled(lookup(placed, n, "comp", "n", F.col("row"), texts.count()).where("pieces IS NOT NULL"), "touched")
-    near = F.broadcast(touched) if few(touched) else touched
-    sets = marked.select(F.col("_row").alias("row"), F.col(text).alias("text")).join(near, "row").select("digest", "comp", "pieces", F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int").alias("piece"), _shingle_sets(F.col("text"), shingle).alias("set"))
+    touched = settled(lookup(placed, n, "comp", "n", F.xxhash64("digest"), texts.count()).where("pieces IS NOT NULL").select("comp", "pieces", F.col("digest").alias("_d"), F.col("doc_id").alias("_id")), "touched")
+    sets = _meeting(docs.select(digest(F.col(text)).alias("digest"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), touched, "inner")
+    sets = sets.select("digest", "comp", "pieces", F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int").alias("piece"), _shingle_sets(F.col("text"), shingle).alias("set"))
+    if _repeated(rows).take(1):
+        sets = sets.dropDuplicates(["digest"])
     pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to")).select("comp", F.least("piece", "to").alias("i"), F.greatest("piece", "to").alias("j"), "piece", "digest", "set")
     links = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lambda b: _links(b, similarity), "a string, b string")
     comps = components(links)
-    named = texts.select("digest", "smallest").join(comps, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("component", "digest").alias("component"), "smallest")
-    named = settled(named, "named")
+    named = texts.select("digest", "smallest").join(comps, F.col("digest") == F.col("node"), "left")
+    named = settled(named.select("digest", F.coalesce("component", "digest").alias("component"), F.struct("smallest.absent", "smallest.doc_id", "digest").alias("smallest")), "named")
     firsts = named.groupBy("component").agg(F.min("smallest").alias("s"), F.count(F.lit(1)).alias("n"))
-    return lookup(named.select("digest", "component"), firsts, "component", "n", F.col("digest"), named.count()).select("digest", "component", "s.doc_id", "s.row")
+    return lookup(named.select("digest", "component"), firsts, "component", "n", F.col("digest"), named.count()).select("digest", "component", "s.doc_id", F.col("s.digest").alias("first"))
+
+
+def _meeting(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """rows (digest, doc_id, ...) joined with table (_d, _id, ...) by both, null ids being alike; broadcast where the table is small. The pair spreads copies of a text over tasks."""
+    on = (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(F.broadcast(table) if few(table) else table, on, how)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """_d and _id of texts that rows (digest, doc_id) hold more than once under one doc_id."""
+    return rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_id"))
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of its similar_groups(), for each row of docs; null where a group has no doc_id."""
-    marked = with_marks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle)
-    groups = similar_groups(marked, shingle=shingle, similarity=similarity)
-    rows = marked.select("doc_id", "_digest", "_row")
-    n = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("n"))
-    table = groups.select("digest", F.col("doc_id").alias("component_id")).join(n, F.col("digest") == F.col("_digest")).select("_digest", "component_id", "n")
-    return lookup(rows, table, "_digest", "n", F.col("_row"), rows.count()).select("doc_id", "component_id")
+    groups = settled(similar_groups(docs, doc_id, text, shingle=shingle, similarity=similarity), "groups")
+    rows = settled(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest")), "digests")
+    n = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    table = groups.select("digest", F.col("doc_id").alias("component_id")).join(n, "digest")
+    return lookup(rows, table, "digest", "n", F.monotonically_increasing_id(), rows.count()).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of docs for each of its similar_groups(): that of the smallest doc_id, then the first.
+    """One row of docs for each of its similar_groups(): that of the smallest doc_id.
 
-    Rows are told apart as rows, so equal doc_ids with different texts, and rows without doc_id, are judged by their texts;
-    of repeated rows one stays. Null and empty texts, and those of white space only, are one group. Columns of any name are
-    kept. An empty table stays empty. Texts are shuffled only where the rows that go are too many to be broadcast.
+    Rows are told apart by id and text, so equal doc_ids with different texts, and rows without doc_id, are judged by their
+    texts; of rows with both alike one stays. Null and empty texts, and those of white space only, are one group. Columns of
+    any name are kept. An empty table stays empty. Only ids and digests are shuffled, unless the rows that go are too many
+    to be broadcast, or rows repeat, which are then shuffled themselves.
     """
-    marked = with_marks(docs.select(F.struct("*").alias("doc")), f"doc.`{text}`", shingle=shingle)
-    kept = similar_groups(marked, f"doc.`{doc_id}`", f"doc.`{text}`", shingle=shingle, similarity=similarity).select(F.col("row").alias("_row")).distinct()
-    gone = settled(marked.select("_row").join(kept, "_row", "left_anti"), "gone")
-    return marked.join(F.broadcast(gone) if few(gone) else gone, "_row", "left_anti").select("doc.*")
+    rows = docs.select(F.struct("*").alias("doc")).withColumns({"doc_id": F.col(f"doc.`{doc_id}`"), "text": F.col(f"doc.`{text}`")})
+    groups = similar_groups(rows, shingle=shingle, similarity=similarity)
+    marked = rows.select("doc", "doc_id", digest(F.col("text")).alias("digest"))
+    pairs = settled(marked.select("digest", "doc_id"), "digests")
+    kept = settled(groups.select(F.col("first").alias("_d"), F.col("doc_id").alias("_id")).distinct(), "kept")
+    gone = settled(pairs.distinct().join(kept, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_id")), "gone")
+    left = _meeting(marked, gone, "left_anti")
+    again = _repeated(pairs)
+    if again.take(1):
+        again = settled(again, "repeated")
+        left = _meeting(left, again, "left_anti").unionByName(_meeting(left, again, "left_semi").dropDuplicates(["digest", "doc_id"]))
+    return left.select("doc.*")
