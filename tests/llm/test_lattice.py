@@ -72,6 +72,62 @@ def test_counts_and_base_by_hand(spark):
     assert by[1].score > by[6].score
 
 
+def plain_probability(word, model):
+    """The sum over all segmentations, of probabilities, not their logs."""
+    from functools import cache
+
+    alive = lambda d: {p: math.exp(v) for p, v in d.items() if v is not None}
+    first, inner, single, stop = alive(model.first), alive(model.inner), [math.exp(v) for v in model.single], math.exp(model.stop)
+
+    @cache
+    def rest(i):
+        if i == len(word):
+            return stop
+        total = single[word[i]] * rest(i + 1)
+        if word[i] & 0xC0 != 0x80:
+            total += sum(inner.get(word[i:j], 0.0) * rest(j) for j in range(i + 1, len(word) + 1))
+        return total
+
+    return sum(first.get(word[:j], 0.0) * rest(j) for j in range(len(word) + 1))
+
+
+def test_scores_of_whole_texts_by_plain_sums(spark):
+    """score is the sum over words of log10((c - discount) / N + spared * P(word)), and the end's, on a small corpus of short words."""
+    rows = [(i, t) for i, t in ROWS if t is None or len(t) < 100]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = L.is_held_out(F.col("doc_id"))
+    trained = L.train(docs, ~held)
+    model = L.fit(trained, L.default_path("piece_bpe_32k.model"))
+    got = sorted((str(r.doc_id), round(r.score, 7)) for r in L.scores(docs, trained, model, held).collect())
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts, texts = Counter(), 0
+    for i, t in rows:
+        if not out(i):
+            counts.update((t or "").encode().lower().split())
+            texts += 1
+    n, kinds = sum(counts.values()) + texts, len(counts) + 1
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = (once + 0.5) / (once + 2 * twice + 1)
+    assert trained.discount == pytest.approx(discount)
+
+    def word(w):
+        ways = plain_probability(w, model) * discount * (kinds - 1) / n
+        return math.log10(max(0.0, counts[w] - discount) / n + ways) if counts[w] else math.log10(ways)
+
+    want = sorted((str(i), round(sum(map(word, (t or "").encode().lower().split())) + math.log10(texts / n), 7)) for i, t in rows)
+    assert [a for a, _ in got] == [a for a, _ in want] and [b for _, b in got] == pytest.approx([b for _, b in want], abs=2e-6)
+
+
+def test_first_scores_fall_with_the_rank():
+    first, inner = L.vocabulary(L.default_path("piece_bpe_32k.model"))
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=L.default_path("piece_bpe_32k.model"))
+    own = [(sp.get_score(i), sp.id_to_piece(i)) for i in (300, 5000, 20_000)]
+    weights = [(inner if not p.startswith(L.BOUNDARY) else first)[p.removeprefix(L.BOUNDARY).encode().lower()] for _, p in own]
+    assert all(v > 0 for v in (*first.values(), *inner.values())) and weights[0] > weights[2]
+
+
 def test_frequent_words_change_no_score(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     held = L.is_held_out(F.col("doc_id"))

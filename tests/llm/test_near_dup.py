@@ -102,6 +102,19 @@ def test_large_shards_are_dealt_in_pieces(spark):
         assert {(got.get(x, x), fps[c]) for x, c in zip(fps, want)} == {(fps[c], fps[c]) for c in want}
 
 
+def test_a_run_over_the_limit_passes_through(monkeypatch):
+    """Rows of a run that goes on over several batches are handed on as they are; runs around it are searched."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "BATCH_NODES", 10)
+    rows = [(0, 1, x, 0) for x in (3, 7)] + [(0, 2, x, 0) for x in range(100, 160)] + [(0, 3, x, 0) for x in (8, 9)]
+    names = ["shard", "key", "fp", "other"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 7])], names=names) for at in range(0, len(rows), 7)]
+    got = [r for b in N._stars(iter(batches), 4, 0, 15) for r in b.to_pylist()]
+    passed = sorted(r["fp"] for r in got if r["to"] is None)
+    assert passed == list(range(100, 160)) and {(r["fp"], r["to"]) for r in got if r["to"] is not None} == {(7, 3), (9, 8)}
+
+
 def shingles(text):
     w = (text or "").lower().split()
     return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()

@@ -71,17 +71,18 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, unique: Col
     between rows.
     """
     values = [c for c in table.columns if c not in (key, weight)]
+    hk, hv, lk, lv, k = unused(rows, "hk", "hv", "lk", "lv", "k")
     if most and few(table, most):
-        return rows.join(F.broadcast(table.select(F.col(key).alias("_hk"), *values)), F.col(key) == F.col("_hk"), "left").drop("_hk")
+        return rows.drop(*values).join(F.broadcast(table.select(F.col(key).alias(hk), *values)), F.col(key) == F.col(hk), "left").drop(hk)
     limit = max(1, n_rows // HEAVY)
-    heavy = table.where(F.col(weight) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
-    light = table.where(F.col(weight) <= limit).select(F.struct(F.lit(0).alias("s"), F.col(key).alias("k")).alias("_lk"), F.struct(*values).alias("_lv"))
-    out = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-    spread = F.col("_hk").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("_k", F.when(spread, F.struct(F.lit(1).alias("s"), unique.cast(rows.schema[key].dataType).alias("k"))).otherwise(F.struct(F.lit(0).alias("s"), F.col(key).alias("k"))))
-    out = out.join(light.hint("shuffle_hash"), F.col("_k") == F.col("_lk"), "left")
-    got = [F.coalesce(F.col(f"_hv.{c}"), F.col(f"_lv.{c}")).alias(c) for c in values]
-    return out.select(*rows.columns, *got)
+    heavy = table.where(F.col(weight) > limit).select(F.col(key).alias(hk), F.struct(*values).alias(hv))
+    light = table.where(F.col(weight) <= limit).select(F.struct(F.lit(0).alias("s"), F.col(key).alias("k")).alias(lk), F.struct(*values).alias(lv))
+    out = rows.join(F.broadcast(heavy), F.col(key) == F.col(hk), "left")
+    spread = F.col(hk).isNotNull() | F.col(key).isNull()
+    out = out.withColumn(k, F.when(spread, F.struct(F.lit(1).alias("s"), unique.cast(rows.schema[key].dataType).alias("k"))).otherwise(F.struct(F.lit(0).alias("s"), F.col(key).alias("k"))))
+    out = out.join(light.hint("shuffle_hash"), F.col(k) == F.col(lk), "left")
+    got = [F.coalesce(F.col(f"{hv}.{c}"), F.col(f"{lv}.{c}")).alias(c) for c in values]
+    return out.select(*[c for c in rows.columns if c not in values], *got)
 
 
 def frequent(counts: DataFrame, c: str, most: int) -> Column:
