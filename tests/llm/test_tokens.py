@@ -63,6 +63,22 @@ def test_counts(spark):
     assert C.token_counts(docs.limit(0)).count() == 0
 
 
+def test_lists_are_added_up_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(C, "FAN_IN", 2)
+    docs = spark.range(4000).select(F.concat_ws(" ", F.lit("the the"), F.concat(F.lit("w"), F.col("id") % 50), F.concat(F.lit("rare"), "id")).alias("text")).repartition(9)
+    got = C.frequent_words(docs, "text", PATH, 60)
+    assert len(got) <= 60 and {b"the", *(b"w%d" % k for k in range(50))} <= set(got)
+    assert C.frequent_words(docs.limit(0), "text", PATH) == []
+
+
+def test_equal_ids_are_dealt_to_several_tasks(spark):
+    docs = spark.range(3000).select(F.lit(5).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    files = T.write_tokens(docs, shards=4, file_ids=100_000)
+    assert spark.read.parquet(files.files).select(F.split_part("name", F.lit("-"), F.lit(1))).distinct().count() > 1
+    got = sorted((r.start, r.n_tokens) for r in T.read_tokens(spark, files).select("start", "n_tokens").collect())
+    assert len(got) == 3000 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
 def test_files_round_trip(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
     files = T.write_tokens(docs, shards=3, file_ids=1000)
