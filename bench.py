@@ -18,6 +18,7 @@ from tidegauge.session import SETTINGS
 QUERIES = [
     "bars_event_1h", "bars_line_1d", "bars_resampled_4h", "bar_upsert", "returns", "rolling_features", "rolling_scales", "volatility_event", "volatility_line", "bollinger", "rsi", "atr", "stochastic", "volume_indicators", "macd", "garch_volatility", "histogram_entropies",
     "permutation_entropy", "impute_interpolate", "outliers", "regime_labels", "regime_transitions", "regime_statistics", "regime_smoothed", "cluster_quality", "agreement", "walk_forward", "asof_join", "all_features", "kmeans_regimes", "gmm_regimes", "hmm_regimes", "garch_regimes", "classify_random_forest",
+    "classify_boosted", "classify_svm_linear", "classify_svm_rbf", "classify_logistic", "ensemble_regimes", "ensemble_bayesian", "switching_regimes", "engine_features", "prediction_metrics",
 ]
 
 
