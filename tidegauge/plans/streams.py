@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.session import scratch
+from tidegauge.sources import bars as B
+from tidegauge.sources.store import BarStore
 from tidegauge.streaming import bars as S
 
 from .sql import EVENTS, with_
@@ -51,6 +53,34 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
 
 
+@query(with_(EVENTS) + "SELECT * FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE value > 0) - INTERVAL 10 MINUTE")
+def stream_bars_closed(spark: SparkSession, d: str) -> DataFrame:
+    """In append mode: the bars whose end the watermark has passed, each once."""
+    return _run(S.bars(events(spark, d), **TICKS), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _twice(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of the hourly bars, each of them two times."""
+    path = scratch(spark, "bars")
+    bars = B.events_1h(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    bars.unionByName(bars).write.parquet(path)
+    return spark.readStream.schema(bars.schema).parquet(path)
+
+
+@query(with_(EVENTS) + "SELECT * FROM bars")
+def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Bars that repeat within the watermark come once."""
+    return _run(S.distinct(_twice(spark, d), "3650 days"), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(with_(EVENTS) + "SELECT * FROM bars")
+def stream_into_store(spark: SparkSession, d: str) -> DataFrame:
+    """Batches upserted into a bar store, from which all series are read."""
+    store = BarStore(spark, scratch(spark, "store"))
+    S.into_store(_twice(spark, d), store, scratch(spark, "stream-state"), availableNow=True).awaitTermination()
+    return store.read().select("symbol", "timeframe", "ts", "open", "high", "low", "close", "volume")
+
+
 @query()
 def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
     bars = spark.read.parquet(f"{d}/events.parquet")

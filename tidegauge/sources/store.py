@@ -29,17 +29,22 @@ class BarStore:
             out = out.where(F.col(name) == value) if value is not None else out
         return out.select("symbol", "timeframe", "ts", *PRICES, "volume")
 
-    def write(self, bars: DataFrame) -> int:
-        """Adds bars, a bar in place of one with its symbol, timeframe and ts; rewrites only the series that bars has. Returns the bars offered."""
-        new = bars.select("symbol", "timeframe", "ts", *PRICES, "volume")
+    def write(self, bars: DataFrame, order: str | None = None) -> int:
+        """Adds bars, a bar in place of one with its symbol, timeframe and ts; rewrites only the series that bars has. Returns the bars offered.
+
+        Of bars of one time in `bars` that with the largest value of the column order stays.
+        """
+        more = [order] if order else []
+        new = bars.select("symbol", "timeframe", "ts", *PRICES, "volume", *more)
         n = new.count()
         if not n:
             return 0
         touched = new.select("symbol", "timeframe").distinct()
         old = self.read().join(touched, ["symbol", "timeframe"], "left_semi")
-        both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        order = F.struct("_new", F.monotonically_increasing_id())
-        merged = last_write(both.withColumn("_order", order), F.col("_order")).drop("_order", "_new")
+        both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+        # Of equal bars in one write the one with the largest values stays, whatever the order of its files.
+        order = F.struct("_new", *PRICES, "volume") if order is None else F.struct("_new", F.col(order))
+        merged = last_write(both.withColumn("_order", order), F.col("_order")).drop("_order", "_new", *more)
         # Read in full, into files that a lost executor can't take along, before the series' own files are replaced.
         shared_folder(self.spark)
         merged = merged.checkpoint()
