@@ -1,40 +1,40 @@
-"""Helpers shared by the training-data operators: shared-folder scratch tables, skew-safe lookups and word splitting."""
+"""Helpers shared by the training-data operators: tables in the shared folder, skew-safe lookups, names of working columns."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.session import scratch
+
 #: Rows of a table of a few numbers and short strings up to which it is broadcast.
 FEW = 300_000
 #: A key with more than 1/HEAVY of all rows is heavy, so at most HEAVY keys are; that bounds what is broadcast.
 HEAVY = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+#: Rows that Spark hands to a Python worker at once where they hold whole texts, and where they hold a few numbers.
+TEXTS_AT_ONCE, NUMBERS_AT_ONCE = 1000, 20_000
+_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, with its file system, so that Spark and Python tasks mean the same place."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub("^file:/(?!/)", "file:///", whole)
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands TEXTS_AT_ONCE rows at most to a Python worker at once, unless it is set to fewer: ten thousand texts and what is made of them are hundreds of MB."""
+    if int(spark.conf.get(_AT_ONCE)) > TEXTS_AT_ONCE:
+        spark.conf.set(_AT_ONCE, str(TEXTS_AT_ONCE))
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def settled(df: DataFrame, name: str, at_once: int | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors. at_once: rows handed to Python workers at once meanwhile."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_AT_ONCE)
+    if at_once:
+        spark.conf.set(_AT_ONCE, str(at_once))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_AT_ONCE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

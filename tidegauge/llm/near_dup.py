@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few, lookup, settled
+from .common import NUMBERS_AT_ONCE, TEXTS_AT_ONCE, checkpointed, few, lookup, settled
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Blocks of a fingerprint; a shard's key has all but RADIUS of them.
@@ -267,7 +267,7 @@ def _edges(rows: DataFrame, masks: list[int], radius: int, both: int = 0, limit:
     kinds, names = "fp bigint, other bigint, to bigint, to_other bigint", ["shard", "key", "fp", "other"]
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col("shard") + 1))
     dealt = rows.repartition("shard", key).withColumn("key", key).select(*names).sortWithinPartitions(*names)
-    found = settled(dealt.mapInArrow(lambda b: _stars(b, radius, both, limit), f"shard bigint, key bigint, {kinds}"), "stars")
+    found = settled(dealt.mapInArrow(lambda b: _stars(b, radius, both, limit), f"shard bigint, key bigint, {kinds}"), "stars", NUMBERS_AT_ONCE)
     large = found.where("to IS NULL").select(*names)
     if large.take(1):
         # Each pair of pieces of a large shard is one group; a piece has a quarter of a task's rows.
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies costs one tree node. Null doc_ids are passed over as component ids unless a component has no other. Columns of
     docs besides these two aren't read. An empty table gives an empty result.
     """
-    rows = settled(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
+    rows = settled(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints", TEXTS_AT_ONCE)
     marks = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "marks")
     masks = [_signed(m) for m in shard_masks(radius, blocks)]
     shards = marks.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("shard"), "fp", F.lit(0).cast("long").alias("other"))
@@ -430,7 +430,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     what links is exact, and what is lost is what the search does not bring together.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), _fingerprints(F.col(text), shingle).alias("m")).select("doc_id", "digest", "m.*")
-    rows = settled(rows, "fingerprints")
+    rows = settled(rows, "fingerprints", TEXTS_AT_ONCE)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id"))
     texts = settled(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), smallest.alias("smallest")), "texts")
     prints = settled(texts.select("fp", "fp2").distinct(), "prints")
@@ -452,7 +452,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sets = sets.dropDuplicates(["digest"])
     pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to")).select("comp", F.least("piece", "to").alias("i"), F.greatest("piece", "to").alias("j"), "piece", "digest", "set")
     links = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lambda b: _links(b, similarity), "a string, b string")
-    comps = components(links)
+    comps = components(settled(links, "links", TEXTS_AT_ONCE))
     named = texts.select("digest", "smallest").join(comps, F.col("digest") == F.col("node"), "left")
     named = settled(named.select("digest", F.coalesce("component", "digest").alias("component"), F.struct("smallest.absent", "smallest.doc_id", "digest").alias("smallest")), "named")
     firsts = named.groupBy("component").agg(F.min("smallest").alias("s"), F.count(F.lit(1)).alias("n"))

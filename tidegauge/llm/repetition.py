@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import unused
+from .common import small_batches, unused
 
 #: Words of a maximal repeated substring from which it counts; the largest part of the words that such spans may cover,
 #: and the longest of them that a kept text may have.
@@ -154,12 +154,13 @@ def repetition(text: Column, min_repeat: int = MIN_REPEAT) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", *, min_words: int = 50, max_repeat_words_pct: int = 50, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """docs with COUNTS, base_failed, covered_fraction and kept; a column of docs of the same name gives way.
 
-    Null texts count as empty: no word, base_failed. A text is kept if the base rules hold, spans of maximal repeated
+    Sets small_batches() for the session. Null texts count as empty: no word, base_failed. A text is kept if the base rules hold, spans of maximal repeated
     substrings of min_repeat words or more cover at most max_covered of its words, and the longest repeat has at most
     max_longest words. Repeated rows each get their own row; an empty table gives an empty result.
     """
     if text not in docs.columns:
         raise ValueError(f"no column {text!r}")
+    small_batches(docs.sparkSession)
     (name,) = unused(docs, "measured")
     m = F.col(name)
     out = docs.withColumn(name, repetition(F.col(text), min_repeat))

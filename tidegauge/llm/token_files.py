@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, settled
+from .common import TEXTS_AT_ONCE, scratch, settled
 from .public_vocab import default_path, word_ids
 
 MAGIC = b"TGIDS\x01\0\0"
@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
     ranged = rows.repartitionByRange(n, "_id", "_hash").sortWithinPartitions("_id", "_hash", "_text").drop("_hash")
-    parts = settled(ranged.mapInArrow(lambda b: _parts(b, path, end_id, file_ids), "name string, n_docs bigint, n_ids bigint, docs binary, counts binary, packed binary, used array<bigint>, times array<bigint>"), "token-parts")
+    parts = settled(ranged.mapInArrow(lambda b: _parts(b, path, end_id, file_ids), "name string, n_docs bigint, n_ids bigint, docs binary, counts binary, packed binary, used array<bigint>, times array<bigint>"), "token-parts", TEXTS_AT_ONCE)
     ids = word_ids(path)
     rank = _ranks(parts, max(ids.tokenizer.get_vocab_size(), end_id + 1))
     spark.createDataFrame(pa.table({"id": np.arange(len(rank)), "rank": rank.astype(np.int64)})).coalesce(1).write.parquet(out.ranks)
