@@ -57,22 +57,30 @@ def handle_missing(df: DataFrame, columns: list[str], strategy: str = "interpola
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def knn_imputed(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """Nulls by the mean of the k complete rows of the series that are nearest in the columns present, by rescaled Euclidean distance.
+def knn_imputed(df: DataFrame, columns: list[str], k: int = 5, block: int = 1000) -> DataFrame:
+    """Nulls by the mean of the k complete rows of the series that are nearest in the columns present, by rescaled Euclidean distance; of equal distances the smaller values.
 
-    A series' complete rows meet its incomplete ones within the series only.
+    An incomplete row meets blocks of its series' complete rows and keeps the k nearest of each, so no pair becomes a row.
     """
     df = df.withColumn("_id", F.monotonically_increasing_id())
     whole = F.lit(True)
     for c in columns:
         whole = whole & F.col(c).isNotNull()
-    donors = df.where(whole).select(*KEYS, *[F.col(c).alias(f"_d_{c}") for c in columns])
-    gaps = df.where(~whole).join(donors, list(KEYS))
-    squares = [F.pow(F.col(c) - F.col(f"_d_{c}"), 2) for c in columns]
-    present = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
-    far = sum((F.coalesce(s, F.lit(0.0)) for s in squares), F.lit(0.0)) * len(columns) / F.nullif(present, F.lit(0))
-    near = gaps.withColumn("_far", far).withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.asc_nulls_last("_far"), *[f"_d_{c}" for c in columns]))).where(F.col("_n") <= k)
-    filled = near.groupBy("_id").agg(*[F.avg(f"_d_{c}").alias(f"_d_{c}") for c in columns])
+    donors = df.where(whole).withColumn("_b", F.floor((F.row_number().over(series()) - 1) / block).cast("int"))
+    blocks = donors.groupBy(*KEYS, "_b").agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).alias("_rows"))
+    own = F.array(*[F.col(c).cast("double") for c in columns])
+    gaps = df.where(~whole).select("_id", *KEYS, own.alias("_own"))
+    present = F.size(F.filter("_own", lambda v: v.isNotNull()))
+
+    def far(row: Column) -> Column:
+        squares = F.zip_with("_own", row, lambda a, b: F.coalesce((a - b) * (a - b), F.lit(0.0)))
+        return F.coalesce(F.try_divide(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) * len(columns), present), F.lit(float("inf")))
+
+    nearest = lambda rows: F.slice(F.array_sort(rows), 1, k)
+    met = gaps.join(blocks, list(KEYS)).select("_id", nearest(F.transform("_rows", lambda r: F.struct(far(r).alias("far"), r.alias("row")))).alias("_near"))
+    best = met.groupBy("_id").agg(nearest(F.flatten(F.collect_list("_near"))).alias("_near"))
+    mean = lambda i: F.aggregate("_near", F.lit(0.0), lambda s, r: s + F.get(r["row"], F.lit(i))) / F.size("_near")
+    filled = best.select("_id", *[mean(i).alias(f"_d_{c}") for i, c in enumerate(columns)])
     return df.join(filled, "_id", "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_d_{c}")) for c in columns}).drop("_id", *[f"_d_{c}" for c in columns])
 
 

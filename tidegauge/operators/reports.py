@@ -47,6 +47,8 @@ def backtest_summary(df: DataFrame, year: int = 252) -> DataFrame:
 
 
 def markdown(rows: DataFrame, most: int = 200) -> str:
-    """A table of a report's rows; a report has few, and is cut at most."""
+    """A table of a report's rows, of which it has few; what is over `most` is told in a last line."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + "-|" * len(rows.columns) + "\n"
-    return head + "".join("| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |\n" for r in rows.limit(most).collect())
+    shown = rows.limit(most + 1).collect()
+    body = "".join("| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |\n" for r in shown[:most])
+    return head + body + (f"\n{rows.count() - most} rows more\n" if len(shown) > most else "")

@@ -57,12 +57,16 @@ SHORT = {k: f"{k[1:] or 1}{k[0].lower()}" for k in MINUTES}
 # The granularities of the candle service, other names for some, and the names that the series service takes.
 GRANULARITIES = ("S5", "S10", "S15", "S30", "M1", "M2", "M4", "M5", "M10", "M15", "M30", "H1", "H2", "H3", "H4", "H6", "H8", "H12", "D", "W", "M")
 GRANULARITY_NAMES = {"1min": "M1", "5min": "M5", "15min": "M15", "30min": "M30", "1h": "H1", "4h": "H4", "1d": "D", "1w": "W", "1m": "M"}
-SERIES_NAMES = {"1min": ("1min",), "5min": ("5min",), "15min": ("15min",), "30min": ("30min",), "60min": ("60min",), "1h": ("1h", "1hour", "hour", "h"), "1d": ("1d", "1day", "day", "d", "daily"), "1w": ("1w", "1week", "week", "w", "weekly"), "1m": ("1m", "1month", "month", "m", "monthly")}
+SERIES_NAMES = {
+    "1min": "1min", "5min": "5min", "15min": "15min", "30min": "30min", "60min": "60min", "1h": "1h", "1hour": "1h", "hour": "1h", "h": "1h",
+    "1d": "1d", "1day": "1d", "day": "1d", "d": "1d", "daily": "1d", "1w": "1w", "1week": "1w", "week": "1w", "w": "1w", "weekly": "1w",
+    "1m": "1m", "1month": "1m", "month": "1m", "m": "1m", "monthly": "1m",
+}
 TIMEFRAMES = {
     "klines": SHORT | {v: v for v in SHORT.values()},
     "ohlc": {name: str(m) for k, m in MINUTES.items() for name in (k, SHORT[k])},
     "candles": {g: g for g in GRANULARITIES} | GRANULARITY_NAMES,
-    "series": {name: code for code, names in SERIES_NAMES.items() for name in names},
+    "series": SERIES_NAMES,
 }
 
 
@@ -73,9 +77,8 @@ def timeframe_code(kind: str, timeframe: Column) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown timeframe "), timeframe)).cast("string") if kind == "series" else timeframe)
 
 
-# What the OHLC service calls the pairs of these currencies; symbols that the series service is asked for most.
+# What the OHLC service calls the pairs of these currencies.
 PAIRS = {"BTC": "XBTUSD", "ETH": "ETHUSD", "XRP": "XRPUSD", "SOL": "SOLUSD"}
-STOCKS = ("AAPL", "MSFT", "GOOGL", "AMZN", "FB", "TSLA", "NVDA", "JPM", "JNJ", "V", "PG", "UNH", "HD", "MA", "DIS", "PYPL", "BAC", "ADBE", "NFLX", "CMCSA", "PFE", "INTC", "VZ", "T", "KO")
 
 
 def symbol_code(kind: str, symbol: Column) -> Column:
