@@ -1,7 +1,7 @@
 """Operator 4, token counts: two tiers of pre-token lengths on the map side, no pre-token shuffle.
 
 The first pass sums up each task's texts in a bounded list of its most frequent white-space separated words. A list is one
-packed row; lists are added up in a tree, some tens in a task that reads them in place, until few are left for the driver.
+packed row; lists are added up in a tree, some tens in a task that reads them in place, until one is left for the driver.
 The lengths of the most frequent words are broadcast as one packed table: the first tier. The second pass adds up lengths
 text by text; words outside the table go to the worker's bounded cache, and only words that are new there go to the
 tokenizer, a batch at a time. Which words are frequent changes the speed, never a count.
@@ -23,7 +23,7 @@ from .public_vocab import default_path, word_ids
 
 #: Words in the broadcast table, and in each list on its way there: its size has that bound at any input.
 FREQUENT = 20_000
-#: Lists that one task, or the driver at last, adds up.
+#: Lists that one task adds up.
 FAN_IN = 32
 #: Bytes of a word from which it isn't tabled.
 LONGEST_WORD = 64
@@ -64,10 +64,10 @@ def frequent_words(docs: DataFrame, text: str, path: str, most: int = FREQUENT)
 
     kind = "words binary, counts binary"
     lists = settled(docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(listed, kind), "word-lists")
-    while (n := lists.count()) > FAN_IN:
+    while (n := lists.count()) > 1:
         lists = settled(lists.coalesce(-(-n // FAN_IN)).mapInArrow(merged, kind), "word-lists")
     counts: Counter[bytes] = Counter()
-    for r in lists.collect():  # FAN_IN rows at most
+    for r in lists.collect():  # a row at most
         counts = _added(counts, bytes(r.words), bytes(r.counts), most)
     return sorted(w for w, _ in counts.most_common(most))
 
