@@ -158,15 +158,24 @@ def viterbi(log_b: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np
     return path.reshape(-1)[:n], float(score.max())
 
 
+def _by_quantiles(v: np.ndarray, k: int) -> np.ndarray:
+    return np.digitize(v, np.quantile(v, np.arange(1, k) / k))
+
+
+def _deviation(v: np.ndarray, n: int = 20) -> np.ndarray:
+    """The deviation of the last n values, or of those there are."""
+    return pd.Series(v).rolling(n, min_periods=1).std(ddof=0).to_numpy()
+
+
 def fit(x: np.ndarray, k: int, kind: str = "full", starts: int = 5, rounds: int = 60, seed: int = 42, markov: bool = True, select: str = "score") -> dict:
-    """The best of several starts by log likelihood (score), aic or bic: states in order of the mean of the first feature."""
+    """The best of several starts, by clusters, quantiles and deviations in turn, by log likelihood (score), aic or bic: states in order of the mean of the first feature."""
     d = x.shape[1]
     center, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z = (x - center) / spread
     best = None
     for s in range(starts):
         rng = np.random.default_rng(seed + s)
-        label = clusters(z, k, rng) if s % 2 == 0 else np.digitize(z[:, 0], np.quantile(z[:, 0], np.arange(1, k) / k))
+        label = clusters(z, k, rng) if s % 3 == 0 else _by_quantiles(z[:, 0] if s % 3 == 1 else _deviation(z[:, 0]), k)
         post = np.eye(k)[label] * 0.9 + 0.1 / k
         trans, start, last = (np.full((k, k), 0.1 / k) + 0.9 * np.eye(k) if markov else None), np.full(k, 1.0 / k), -math.inf
         for _ in range(rounds):

@@ -150,6 +150,19 @@ def neighbour_probabilities(label: str, k: int) -> Column:
     return F.transform(raw, lambda v: v / total)
 
 
+def with_smoothed_probabilities(df: DataFrame, p: str, k: int, n: int = 5, out: str = "smoothed_p") -> DataFrame:
+    """The mean of each of the k probabilities over the n rows around a row, fewer at the ends of a series."""
+    w = series().rowsBetween(-(n // 2), n // 2)
+    return df.withColumn(out, F.array(*[F.avg(F.get(p, F.lit(i))).over(w) for i in range(k)]))
+
+
+def label_check(df: DataFrame, k: int, label: str = LABEL) -> DataFrame:
+    """One row: rows, those without a label, those with one outside 0 to k - 1, labels in use, and whether all is sound."""
+    x = F.col(label)
+    told = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(x.isNull()).alias("missing"), F.count_if(~x.between(0, k - 1)).alias("outside"), F.countDistinct(x).alias("labels"))
+    return told.withColumn("valid", (F.col("n_rows") > 0) & (F.col("missing") == 0) & (F.col("outside") == 0))
+
+
 def modal(votes: str) -> Column:
     """The most frequent of an array of labels, the smallest of equals."""
     count = lambda v: F.size(F.filter(votes, lambda w: w == v))

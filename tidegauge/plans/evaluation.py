@@ -21,6 +21,7 @@ from tidegauge.sources import files, service
 
 from . import features as XQ
 from . import labels as L
+from . import models as MQ
 from .labels import BASE, labelled
 from .sql import EVENTS, SERIES, with_
 
@@ -143,6 +144,22 @@ def garch_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return df.select("symbol", "ts", "regime", *[F.round(F.get("p", F.lit(i)), 9).alias(f"p{i}") for i in range(3)])
 
 
+_SWITCHING = MQ.ORACLE["switching_regimes"]
+
+
+@query(f"WITH g AS ({_SWITCHING}) SELECT symbol, ts, " + ", ".join(f"round(avg(CASE WHEN regime = {i} THEN 0.8 WHEN abs(regime - {i}) = 1 THEN 0.1 ELSE 0 END / CASE WHEN regime = 1 THEN 1.0 ELSE 0.9 END::DOUBLE) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS p{i}" for i in range(3)) + " FROM g")
+def switching_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    df = garch.switching(X.with_returns(B.events_1h(spark, d)).where("returns IS NOT NULL")).withColumn("p", G.neighbour_probabilities("regime", 3))
+    df = G.with_smoothed_probabilities(df, "p", 3)
+    return df.select("symbol", "ts", *[F.round(F.get("smoothed_p", F.lit(i)), 9).alias(f"p{i}") for i in range(3)])
+
+
+@query(with_(*BASE) + "SELECT count(*) AS n_rows, count(*) FILTER (WHERE regime IS NULL) AS missing, count(*) FILTER (WHERE regime NOT BETWEEN 0 AND 1) AS outside, count(DISTINCT regime) AS labels, count(*) FILTER (WHERE regime NOT BETWEEN 0 AND 1) = 0 AS valid FROM l")
+def label_check(spark: SparkSession, d: str) -> DataFrame:
+    """Three labels held against two."""
+    return G.label_check(labelled(spark, d), 2)
+
+
 @query(with_(EVENTS, "z AS (SELECT symbol, arg_max(close, ts) / 1000 AS residual, arg_max(volume, ts) / 10 AS variance FROM bars GROUP BY symbol)", "h AS (SELECT *, unnest(range(1, 11)) AS step FROM z)", "f AS (SELECT *, 0.05 + 0.1 * residual * residual + 0.8 * variance AS first, 0.05 / (1 - 0.9::DOUBLE) AS long FROM h)") + "SELECT symbol, step::INT AS step, round(sqrt(long + pow(0.9::DOUBLE, step - 1) * (first - long)), 9) AS volatility FROM f")
 def garch_forecast(spark: SparkSession, d: str) -> DataFrame:
     bars = B.events_1h(spark, d)
