@@ -427,7 +427,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingle, one without words links to its likes only. Links are sought between texts of which one fingerprint differs in
     radius bits at most, both together in `both`, and that agree under one of the sampled masks, whose length grows slowly
     with the number of texts. Groups of such texts, of any size, are then compared block by block by their shingles, so
-    what links is exact, and what is lost is what the search does not bring together.
+    what links is exact, and what is lost is what the search does not bring together. docs is read twice: for fingerprints,
+    and for the shingles of candidates.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), _fingerprints(F.col(text), shingle).alias("m")).select("doc_id", "digest", "m.*")
     rows = settled(rows, "fingerprints", TEXTS_AT_ONCE)
