@@ -86,7 +86,7 @@ def symbol_code(kind: str, symbol: Column) -> Column:
     upper = F.upper(symbol)
     plain = F.regexp_replace(upper, "[_/-]", "")
     if kind == "klines":
-        return F.when(plain.endswith("USD"), F.concat(plain, F.lit("T"))).otherwise(plain)
+        return F.when(plain.contains("USD") & ~plain.endswith("USDT"), F.replace(plain, F.lit("USD"), F.lit("USDT"))).otherwise(plain)
     if kind == "ohlc":
         out = upper
         for currency, pair in PAIRS.items():
