@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,25 @@ FEW = 300_000
 HEAVY = 1000
 
 
+_held: list[dict] = []
+
+
+def held(cache: dict) -> dict:
+    """cache, which outlives the tasks of a Python worker until other work in it calls forget()."""
+    _held.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Gives up what this worker holds for other work, and gives the memory back."""
+    if any(_held):
+        for cache in _held:
+            cache.clear()
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 #: Rows that Spark hands to a Python worker at once where they hold whole texts, and where they hold a few numbers.
 TEXTS_AT_ONCE, NUMBERS_AT_ONCE = 1000, 20_000
 _AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"

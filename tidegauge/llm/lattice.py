@@ -267,7 +267,7 @@ class Frequent:
         return len(words), len(words) - len(rare), math.fsum(v for v in got if v is not None), math.fsum(v for v in score if v is not None), rare
 
 
-_frequent: dict[str, Frequent] = {}
+_frequent: dict[str, Frequent] = common.held({})
 
 
 def word_scores(trained: Trained, model: Model) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Documents are summed up to cells of (source, language, topic). Each round rakes the cells' token weights to the three
 sets of targets in turn; a document is then sampled with its cell's weight over the largest weight, so that the expected
-tokens of the sample have the target shares. A step sums the cells to a row for each value of a margin, combined before the
-shuffle, and hands those rows back to the cells, broadcast where they are few.
+tokens of the sample have the target shares. A step sums the cells over each value of a margin by a window; cells have no
+texts, and a value has as many as the other two margins have pairs. (Sums that are broadcast back cost a page of an
+executor's memory each, tens of MB, whatever their size.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, few, lookup, unused
@@ -47,7 +48,6 @@ def raked(cells: DataFrame, margins: tuple[str, ...] = MARGINS, *, targets: dict
     """
     cells = checkpointed(cells.fillna(NONE, subset=list(margins)))
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    small: dict[str, bool] = {}
     aims = [f"_aim_{m}" for m in margins]
     out = cells.withColumn("weight", F.lit(1.0))
     for m, aim in zip(margins, aims):
@@ -59,15 +59,14 @@ def raked(cells: DataFrame, margins: tuple[str, ...] = MARGINS, *, targets: dict
             share = F.pow(F.col("own") / F.lit(total or 1.0), F.lit(temper))
         table = checkpointed(own.select(m, F.when(F.col("own") > 0, share).otherwise(F.lit(0.0)).alias(aim)))
         power = table.agg(F.sum(aim)).first()[0] or 1.0
-        table, small[m] = table.withColumn(aim, F.col(aim) / F.lit(power) * F.lit(float(total))), few(table)
-        out = out.join(F.broadcast(table) if small[m] else table, m)
+        table = table.withColumn(aim, F.col(aim) / F.lit(power) * F.lit(float(total)))
+        out = out.join(F.broadcast(table) if few(table) else table, m)
     out = checkpointed(out)
     have = F.sum(F.col("weight") * F.col("tokens"))
     for _ in range(rounds):
         for m, aim in zip(margins, aims):
-            now = out.groupBy(F.col(m).alias("_value")).agg(have.alias("_now"))
-            out = out.join(F.broadcast(now) if small[m] else now, F.col(m) == F.col("_value"))
-            out = out.withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.col(aim) / F.col("_now")).otherwise(F.col("weight"))).drop("_value", "_now")
+            now = have.over(Window.partitionBy(m))
+            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(aim) / now).otherwise(F.col("weight")))
         out = checkpointed(out)
         if tolerance > 0:
             worst = max(out.groupBy(m).agg(F.abs(have - F.first(aim)).alias("far")).agg(F.max("far")).first()[0] or 0.0 for m, aim in zip(margins, aims))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NUMBERS_AT_ONCE, TEXTS_AT_ONCE, checkpointed, few, lookup, settled
+from .common import NUMBERS_AT_ONCE, TEXTS_AT_ONCE, checkpointed, few, forget, lookup, settled
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Blocks of a fingerprint; a shard's key has all but RADIUS of them.
@@ -106,6 +106,7 @@ def fingerprint(text: Column, n: int = SHINGLE) -> Column:
 
     @F.pandas_udf("bigint")
     def hashed(x: pd.Series) -> pd.Series:
+        forget()
         return pd.Series(simhashes(_each(x), len(x), n)[:, 0])
 
     return hashed(text.cast("binary"))
@@ -337,6 +338,7 @@ def _fingerprints(text: Column, n: int) -> Column:
 
     @F.pandas_udf("fp bigint, fp2 bigint")
     def both(x: pd.Series) -> pd.DataFrame:
+        forget()
         return pd.DataFrame(simhashes(_each(x), len(x), n, 2), columns=["fp", "fp2"])
 
     return both(text.cast("binary"))
@@ -345,6 +347,7 @@ def _fingerprints(text: Column, n: int) -> Column:
 def _shingle_sets(text: Column, n: int) -> Column:
     @F.pandas_udf("array<bigint>")
     def sets(x: pd.Series) -> pd.Series:
+        forget()
         # Texts without words share one shingle of their own.
         return pd.Series([np.unique(np.array(_hashes(words, n) or [0], np.uint64)).view(np.int64) for words in _each(x)])
 

@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from .common import held
+
 #: Entries of a generation of a worker's cache. When one is full it becomes the old one, from which words that are met
 #: again move on, and the old one goes: memory stays bounded, and frequent words stay.
 CACHE_WORDS = 200_000
@@ -123,7 +125,7 @@ class WordIds(dict):
                 self.update(zip(part, encode(part)))
 
 
-_word_ids: dict[str, WordIds] = {}
+_word_ids: dict[str, WordIds] = held({})
 
 
 def word_ids(path: str) -> WordIds:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches, unused
+from .common import forget, small_batches, unused
 
 #: Words of a maximal repeated substring from which it counts; the largest part of the words that such spans may cover,
 #: and the longest of them that a kept text may have.
@@ -145,6 +145,7 @@ def repetition(text: Column, min_repeat: int = MIN_REPEAT) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def counted(x: pd.Series) -> pd.DataFrame:
+        forget()
         rows = [measure(c, min_repeat) for c in _chunks(bytes(t) if t is not None else b"" for t in x)]
         return pd.DataFrame(np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *rows]), columns=list(COUNTS))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import held, settled
 from .public_vocab import default_path, word_ids
 
 #: Words in the broadcast table, and in each list on its way there: its size has that bound at any input.
@@ -98,7 +98,7 @@ class Lengths(dict):
         return self.second[w]
 
 
-_lengths: dict[str, Lengths] = {}
+_lengths: dict[str, Lengths] = held({})
 
 
 def token_counts(docs: DataFrame, text: str = "text", *, path: str | None = None, limit: int = 2048, table_words: int = FREQUENT) -> DataFrame:
