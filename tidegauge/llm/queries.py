@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lattice, mixing, near_dup, repetition, roles, surrogates, token_counts, token_files, warc
+from . import common, decontaminate, language, lattice, mixing, near_dup, repetition, resampling, roles, surrogates, token_counts, token_files, warc, whitening
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(common.table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = resampling.scored(docs, common.table(spark, sf_dir, "benchmark"))
+    return resampling.drawn(rows.drop("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
@@ -66,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_role_repair": op8_role_repair,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op11_language_id": op11_language_id,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 OP6_SQL = """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
