@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "regime_transitions"
 
-for _part in ("bars", "features", "labels", "evaluation", "models", "streams", "sources"):
+for _part in ("bars", "features", "labels", "evaluation", "models", "streams", "sources", "research"):
     _m = import_module(f"tidegauge.plans.{_part}")
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE

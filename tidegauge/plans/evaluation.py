@@ -224,25 +224,10 @@ def bar_files_since(spark: SparkSession, d: str) -> DataFrame:
     return files.bar_files(spark, path, since=str(first + timedelta(days=10)))
 
 
-_PAGES = "r AS (SELECT s.symbol, i, TIMESTAMP '2024-01-01 00:00:00' + i * INTERVAL 1 HOUR AS ts FROM (SELECT unnest(['ABC', 'XYZ']) AS symbol) s, (SELECT unnest(range(0, 1500)) AS i))"
-
-
-@query(f"WITH {_PAGES} SELECT symbol, 'H1' AS timeframe, ts, (100 + i % 7)::DOUBLE AS open, (110 + i % 7)::DOUBLE AS high, (90 + i % 7)::DOUBLE AS low, (101 + i % 7)::DOUBLE AS close, (1 + i % 3)::DOUBLE AS volume FROM r")
+@query(with_(EVENTS, "e AS (SELECT min(ts) AS a FROM bars)") + "SELECT bars.* FROM bars, e WHERE symbol IN ('click', 'purchase') AND ts <= a + INTERVAL 400 HOUR QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 150")
 def bars_from_service(spark: SparkSession, d: str) -> DataFrame:
-    """1500 hours of two symbols, page by page, from a service made up below."""
-    return service.fetched(spark, "klines", ["ABC", "XYZ"], "H1", "2024-01-01T00:00:00", "2024-03-03T11:00:00", f"{__name__}.made_up")
-
-
-def made_up(kind: str, symbol: str, timeframe: str, start, stop) -> str:
-    """The payload that a service of klines would give: whole numbers that repeat."""
-    import json
-    from datetime import UTC, datetime
-
-    out, origin = [], datetime(2024, 1, 1, tzinfo=UTC).timestamp()
-    at = int(-(-(start.replace(tzinfo=UTC).timestamp()) // 3600) * 3600)
-    while at <= stop.replace(tzinfo=UTC).timestamp():
-        i = int((at - origin) // 3600)
-        v = [100 + i % 7, 110 + i % 7, 90 + i % 7, 101 + i % 7, 1 + i % 3]
-        out.append([at * 1000, *map(str, v), at * 1000 + 3_599_999, "0", 1, "0", "0", "0"])
-        at += 3600
-    return json.dumps(out)
+    """The last 150 bars of two symbols up to a time, page by page, from a service over the tables."""
+    from . import sources
+
+    path, first, _ = sources._base(spark, B.events_1h(spark, d))
+    return service.fetched(spark, "klines", ["click", "purchase"], "H1", first.isoformat(), (first + timedelta(hours=400)).isoformat(), f"{sources.__name__}.served", 150, base=path, page="120")

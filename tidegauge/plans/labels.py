@@ -192,10 +192,10 @@ def probability_rules(spark: SparkSession, d: str) -> DataFrame:
     return df.select("symbol", "ts", G.crisp("p").alias("crisp"), F.round(G.margin("p"), 9).alias("margin"), G.uncertain("p").alias("uncertain"), F.round(G.entropy_share("p"), 9).alias("entropy_share"), F.round(F.get(G.fuzzy("p"), 0), 9).alias("fuzzy_0"))
 
 
-@query(with_(*BASE, _P, "g AS (SELECT list_max(p) AS top, list_reverse_sort(p) AS s, -list_sum(list_transform(p, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) AS e FROM f)") + "SELECT round(avg(top), 9) AS mean_confidence, round(stddev_pop(top), 9) AS std_confidence, round(min(top), 9) AS min_confidence, round(max(top), 9) AS max_confidence, round(avg(e), 9) AS mean_entropy, round(avg(s[1] - s[2]), 9) AS mean_margin FROM g")
+@query(with_(*BASE, _P, "g AS (SELECT list_max(p) AS top, list_reverse_sort(p) AS s, -list_sum(list_transform(p, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) AS e FROM f)") + "SELECT round(avg(top), 6) AS mean_confidence, round(stddev_pop(top), 6) AS std_confidence, round(min(top), 6) AS min_confidence, round(max(top), 6) AS max_confidence, round(avg(e), 6) AS mean_entropy, round(avg(s[1] - s[2]), 6) AS mean_margin FROM g")
 def confidence(spark: SparkSession, d: str) -> DataFrame:
     df = M.confidence(_probable(spark, d), "p")
-    return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
+    return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
 
 
 _VOTES = "w AS (SELECT symbol, ts, [regime, (vol > 1.5)::INT * 2, (close > 50)::INT] AS v FROM l), k AS (SELECT symbol, ts, any_value(v) AS v, x, count(*) AS n FROM (SELECT *, unnest(v) AS x FROM w) GROUP BY symbol, ts, x), t AS (SELECT symbol, ts, arg_min(x, {'a': -n, 'b': x}) AS modal, max(n) / 3 AS share, any_value(v)[1] AS first FROM k GROUP BY symbol, ts)"

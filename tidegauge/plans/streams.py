@@ -9,8 +9,10 @@ from tidegauge.session import scratch
 from tidegauge.sources import bars as B
 from tidegauge.sources.store import BarStore
 from tidegauge.streaming import bars as S
+from tidegauge.streaming import monitor as M
 
-from .sql import EVENTS, with_
+from .features import _ema
+from .sql import EVENTS, RETURNS, SERIES, roll, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +90,33 @@ def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
     S._bar(F.window("ts", "1 hour"), "H1", bars.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price")).where("price > 0")).repartition("symbol").sortWithinPartitions("ts").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     return _run(S.monitor(stream, lambda c: S.volatility_label(c, 1.0, 3.0), 20), "append")
+
+
+_MONITOR = (
+    EVENTS,
+    RETURNS,
+    f"a AS (SELECT *, {roll('stddev_samp({})', 'returns', 20)} AS vol, {_ema('close', 12)} AS fast, {_ema('close', 26)} AS slow, CASE WHEN returns IS NOT NULL THEN sqrt(list_reduce(list_prepend(1e-4, coalesce(list(returns) FILTER (returns IS NOT NULL) OVER ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])), lambda v, x: 1e-5 + 0.1 * x * x + 0.85 * v)) END AS garch_vol FROM r)",
+    "g AS (SELECT *, CASE WHEN vol IS NULL THEN 0 ELSE (vol > 1)::INT + (vol > 3)::INT END AS regime, CASE WHEN vol IS NULL THEN 0 ELSE least(abs(vol - 1), abs(vol - 3) / 3, 1) END AS confidence FROM a)",
+    f"m AS (SELECT *, lag(regime) OVER ({SERIES}) AS before FROM g)",
+    "k AS (SELECT * FROM m WHERE ts <= (SELECT max(ts) FROM bars) - INTERVAL 10 MINUTE)",
+)
+
+
+def _monitored(spark: SparkSession, d: str) -> DataFrame:
+    """What the monitor says of the hourly bars as a stream, of those that the watermark has passed."""
+    path = scratch(spark, "bars")
+    B.events_1h(spark, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close").write.parquet(path)
+    stream = M.own_session(spark).readStream.schema("symbol string, ts timestamp, close double").parquet(path)
+    S.to_end(M.monitor(stream, M.by_cuts("vol", (1.0, 3.0)), silent="3650 days"), out := scratch(spark, "stream"), scratch(spark, "stream-state"))
+    return spark.read.schema(M.OUT).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(with_(*_MONITOR) + "SELECT symbol, ts, round(returns, 6) AS returns, round(vol, 6) AS vol, round(fast, 6) AS fast, round(slow, 6) AS slow, round(fast - slow, 6) + 0.0 AS macd, round(garch_vol, 6) AS garch_vol, regime, round(confidence, 6) AS confidence FROM k")
+def monitor_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = _monitored(spark, d)
+    return rows.select("symbol", "ts", *[(F.round(c, 6) + 0.0).alias(c) for c in M.FEATURES], "regime", F.round("confidence", 6).alias("confidence"))
+
+
+@query(with_(*_MONITOR) + "SELECT symbol, ts, before, regime AS after, round(confidence, 6) AS confidence FROM k WHERE before <> regime")
+def monitor_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return M.alerts(_monitored(spark, d)).withColumn("confidence", F.round("confidence", 6))
