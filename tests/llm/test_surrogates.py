@@ -1,5 +1,6 @@
 """Surrogates: types, formats, distinctness, coreference; nothing of the original is left."""
 
+import random
 import re
 
 import pytest
@@ -76,6 +77,28 @@ def test_secrets_of_signs_and_other_scripts(spark):
     assert re.fullmatch(r"[\u4e00-\u9fff]{6}[a-z]*", new[2]) and re.fullmatch("[а-я]{6}", new[3])
 
 
+def test_nothing_of_a_secret_stays(spark):
+    """Secrets of any characters: no three of the original in a row are left, nor any in its place."""
+    rng = random.Random(3)
+    scripts = [(0x21, 0x7E), (0xC0, 0x17F), (0x370, 0x3FF), (0x400, 0x4FF), (0x530, 0x58F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x939), (0xE01, 0xE3A), (0x10A0, 0x10FF), (0x1200, 0x1248), (0x3041, 0x3096), (0x4E00, 0x4FFF), (0xAC00, 0xAFFF), (0x1F600, 0x1F64F)]
+    values = ["รหัสผ่านลับมาก", "------", "............", "թուղթթուղթ", "a-b-c-d-e-f-g"]
+    for low, high in scripts:
+        for _ in range(20):
+            values.append("".join(c for c in (chr(rng.randint(low, high)) for _ in range(16)) if not re.match(r"[\s\"'`<>,;]", c)))
+    texts = [f"password={v}" for v in values]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(S.found(F.col("t")).alias("f")).collect()
+    got = run(spark, texts)
+    n = 0
+    for t, new, r in zip(texts, got, found):
+        for m in r.f:
+            if t.endswith(m) and len(m) >= 6:
+                left = new[len(t) - len(m) :]
+                n += 1
+                assert all(a != b for a, b in zip(m, left)) and not any(m[i : i + 3] in left for i in range(len(m) - 2)), (m, left)
+    assert n > 150
+    assert "թուղթ" not in run(spark, ["to թուղթ@example.org now"])[0]
+
+
 def test_more_names_than_listed_ones(spark):
     """2000 Greek and 2000 Cyrillic given names of one gender stay distinct, though few listed ones stand for them."""
     greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчш"

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -164,6 +164,11 @@ def _decided(roles: pd.Series, begin: pd.Series, end: pd.Series, before: pd.Seri
     return pd.Series(out)
 
 
+def escaped(text: Column) -> Column:
+    """text with a backslash more after the < of each marker of a turn, escaped or not: to be undone by taking one away."""
+    return F.regexp_replace(text, r"<(\\*)\|im_(start|end)\|>", r"<$1\\|im_$2|>")
+
+
 def repaired(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, part, turn, source_turn, source_role, role, action and rendered: pieces of each conversation's repaired turns.
 
@@ -172,12 +177,13 @@ def repaired(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     "relabel", "insert") or goes on with the one before ("merge"), so that a conversation's pieces, by part, make up its
     rendered text, and no row grows with a conversation. turn counts the repaired turns from 0. Null texts are empty; an
     unknown or null role takes whichever role is cheapest; rows with null conv_id are one conversation. Repeated rows are
-    turns of their own. An empty table gives an empty result.
+    turns of their own. Markers of turns inside texts are escaped, so that no text can open or close a turn. Other columns
+    aren't read. An empty table gives an empty result.
     """
     spark = turns.sparkSession
     matrix, chained, decided = F.pandas_udf(_matrix, "string"), F.pandas_udf(_chained, _CHAINED), F.pandas_udf(_decided, _DECISIONS)
     names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("source_turn"), F.col(role).alias("source_role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("source_turn"), F.col(role).alias("source_role"), F.coalesce(escaped(F.col(text)), F.lit("")).alias("text"))
     order = ["conv_id", "source_turn", "source_role", "text"]
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     code = F.coalesce(F.try_element_at(names, F.coalesce(F.lower(F.trim("source_role")), F.lit(""))), F.lit("x"))

@@ -84,17 +84,29 @@ _STAND_INS = (
 )
 
 
-def _shaped(value: Column, seed: Column, hexadecimal: Column | None = None) -> Column:
-    """value with each digit, letter and sign of a class in _STAND_INS replaced by one of its kind; other characters stay."""
+#: Signs that hold a format together; they stay, but for secrets.
+_KEPT = r"^[\x20@.,;:'\"()/-]$"
+
+
+def _shaped(value: Column, seed: Column, hexadecimal: Column | None = None, whole: bool = False) -> Column:
+    """value with every character replaced by another one: of its class in _STAND_INS, or a small letter where it is of none. Signs of _KEPT stay unless the whole value is meant."""
 
     def one(c: Column, i: Column) -> Column:
-        out = c
-        for letters, p in reversed(_STAND_INS):
-            pick = F.substr(F.lit(letters), _digit(seed, i, len(letters)) + 1, F.lit(1))
-            if letters[0] == "a" and hexadecimal is not None:
-                pick = F.when(hexadecimal, F.substr(F.lit("abcdef"), _digit(seed, i, 6) + 1, F.lit(1))).otherwise(pick)
-            out = F.when(c.rlike(f"^[{p}]$"), pick).otherwise(out)
-        return out
+        letters = F.lit(_STAND_INS[1][0])
+        for own, p in reversed(_STAND_INS):
+            letters = F.when(c.rlike(f"^[{p}]$"), own).otherwise(letters)
+        if whole:
+            letters = F.when(c.rlike(_KEPT), _STAND_INS[-1][0]).otherwise(letters)
+        if hexadecimal is not None:
+            letters = F.when(hexadecimal & c.rlike("^[a-f]$"), "abcdef").otherwise(letters)
+
+        def drawn(own: Column) -> Column:
+            k, n = F.pmod(F.xxhash64(seed, i), F.length(own)).cast("int"), F.length(own)
+            pick = lambda at: F.substr(own, at + 1, F.lit(1))
+            return F.when(pick(k) == c, pick(F.pmod(k + 1, n))).otherwise(pick(k))
+
+        new = F.get(F.transform(F.array(letters), drawn), F.lit(0))  # so that the class is looked for once
+        return new if whole else F.when(c.rlike(_KEPT), c).otherwise(new)
 
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
 
@@ -184,7 +196,7 @@ def surrogate(kind: Column, value: Column, round_: Column, key: str) -> Column:
     out = out.when(kind == "access_key", F.concat(F.lit("AKIA"), _shaped(F.substr(value, F.lit(5)), seed), F.upper(letters))).when(kind == "surname", _surname(value, seed, round_))
     out = out.when(kind == "iban", _iban(F.concat(F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(3)), seed), digits)))
     out = out.when(kind == "given-f", _given(value, F.lit("f"), seed, round_)).when(kind == "given-m", _given(value, F.lit("m"), seed, round_))
-    return out.otherwise(F.concat(_shaped(value, seed, value.rlike("^[0-9a-f]+$")), F.when(value.rlike("^[0-9a-f]+$"), digits).otherwise(letters)))
+    return out.otherwise(F.concat(_shaped(value, seed, value.rlike("^[0-9a-f]+$"), True), F.when(value.rlike("^[0-9a-f]+$"), digits).otherwise(letters)))
 
 
 def _id(kind: Column, value: Column) -> Column:
@@ -215,7 +227,8 @@ def replaced(docs: DataFrame, text: str = "text", *, key: str) -> DataFrame:
     Null texts stay null, with no match. Texts are taken whole; repeated rows are rewritten alike. Surrogates hang on the
     key, on the entity, and, for the few that had to be drawn anew, on the other entities of docs; of entities that draw one
     surrogate, the smaller value keeps it. Whoever has the key can tell which surrogate an entity gets, so it has no default;
-    an empty one raises. Secrets of signs are replaced by other signs. An empty table gives an empty result.
+    an empty one raises. Of a secret, and of a local part, no character stays in its place: those of scripts without stand-ins
+    become small letters, signs of secrets other signs. An empty table gives an empty result.
     """
     if not key:
         raise ValueError("surrogates need a key")
