@@ -99,6 +99,21 @@ def test_nothing_of_a_secret_stays(spark):
     assert "թուղթ" not in run(spark, ["to թուղթ@example.org now"])[0]
 
 
+def test_one_person_has_one_name(spark):
+    """A name that no list knows, under several titles and none: one surrogate, of the gender that a title tells anywhere."""
+    names = ["Priya", "Oluwaseun", "Xóchitl", "Ragnhild", "Thulani", "Yevgeniya"]
+    for title, other, listed in (("Ms.", "Mrs", S.FEMALE_NAMES), ("Mr.", "Mister", S.MALE_NAMES)):
+        if other not in S.FEMALE_TITLES + S.MALE_TITLES:
+            other = title
+        texts = [f"Dr. {n} Raghun met; later {title} {n} Raghun." for n in names] + [f"to {other} {n} Raghun and Prof. {n} Raghun" for n in names]
+        got = run(spark, texts)
+        for i in range(len(names)):
+            a, b = re.fullmatch(r"Dr\. (\S+) \S+ met; later \S+ (\S+) \S+\.", got[i]).groups()
+            c, d = re.fullmatch(r"to \S+ (\S+) \S+ and Prof\. (\S+) \S+", got[len(names) + i]).groups()
+            assert a == b == c == d and set(a.split("-")) <= set(listed), (a, b, c, d)
+        assert len({t.split()[1] for t in got[: len(names)]}) == len(names)
+
+
 def test_more_names_than_listed_ones(spark):
     """2000 Greek and 2000 Cyrillic given names of one gender stay distinct, though few listed ones stand for them."""
     greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчш"

@@ -164,18 +164,30 @@ def _surname(word: Column, seed: Column, round_: Column) -> Column:
     return F.concat(out, ending)
 
 
-def entities(match: Column) -> Column:
-    """What a match is made of: an array of (type, value), for a person its given name and surname apart."""
+def _chance(given: Column) -> Column:
+    """A gender for a name that neither a list nor a title tells: by its hash."""
+    return F.when(F.conv(F.substr(F.md5(F.coalesce(given, F.lit(""))), F.lit(1), F.lit(1)), 16, 10).cast("int") % 2 == 0, "f").otherwise("m")
+
+
+def entities(match: Column, genders: Column | None = None) -> Column:
+    """What a match is made of: an array of (type, value, title's gender), for a person its given name and surname apart.
+
+    A given name has one gender wherever it stands: that of the lists, else that of genders, a map, else one by chance. A
+    title counts only by what genders takes from it.
+    """
     kind = _type(match)
     words = F.split(match, " ")
     bare = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
     titled = _is(bare, MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
     given = F.when(titled & (F.size(words) == 3), F.element_at(words, 2)).when(~titled, F.element_at(words, 1))
-    gender = F.when(_is(bare, FEMALE_TITLES) | _is(given, FEMALE_NAMES), "f").when(_is(bare, MALE_TITLES) | _is(given, MALE_NAMES), "m").otherwise(F.when(F.conv(F.substr(F.md5(F.coalesce(given, F.lit(""))), F.lit(1), F.lit(1)), 16, 10).cast("int") % 2 == 0, "f").otherwise("m"))
-    surname = F.struct(F.lit("surname").alias("type"), F.element_at(words, -1).alias("value"))
-    first = F.struct(F.concat(F.lit("given-"), gender).alias("type"), given.alias("value"))
+    told = F.coalesce(F.try_element_at(genders, given), _chance(given)) if genders is not None else _chance(given)
+    listed = _is(given, FEMALE_NAMES + MALE_NAMES)
+    gender = F.when(_is(given, FEMALE_NAMES), "f").when(_is(given, MALE_NAMES), "m").otherwise(told)
+    title = F.when(~listed & _is(bare, FEMALE_TITLES), "f").when(~listed & _is(bare, MALE_TITLES), "m")
+    one = lambda t, v, g=F.lit(None).cast("string"): F.struct(t.alias("type"), v.alias("value"), g.alias("title"))
+    surname, first = one(F.lit("surname"), F.element_at(words, -1)), one(F.concat(F.lit("given-"), gender), given, title)
     person = F.when(given.isNull(), F.array(surname)).otherwise(F.array(first, surname))
-    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("type"), match.alias("value"))))
+    return F.when(kind == "person", person).otherwise(F.array(one(kind, match)))
 
 
 def surrogate(kind: Column, value: Column, round_: Column, key: str) -> Column:
@@ -221,6 +233,15 @@ def redrawn(found: DataFrame, key: str) -> DataFrame:
         now = checkpointed(again.select("type", "value", F.when(F.col("bad"), surrogate(F.col("type"), F.col("value"), F.col("again"), key)).otherwise(F.col("new")).alias("new"), F.col("again").alias("round")))
 
 
+def _with_map(rows: DataFrame, parts: Column, of: Column, table: DataFrame, name: str, value: str, text: str, c_found: str, c_text: str, out: str) -> DataFrame:
+    """rows with out, a map of those rows of table (name, value) whose name is `of` an entity e of the text. Few texts hold one: maps are gathered by text and joined back."""
+    only = rows.where(F.size(c_found) > 0)
+    hit = only.select(F.xxhash64(text).alias(c_text), F.explode(parts).alias("e")).select(c_text, of.alias(name)).distinct()
+    maps = settled(hit.join(F.broadcast(table) if few(table) else table, name).groupBy(c_text).agg(F.map_from_entries(F.collect_set(F.struct(name, value))).alias(out)), "maps")
+    own = F.when(F.size(c_found) > 0, F.xxhash64(text)).otherwise(F.monotonically_increasing_id())
+    return rows.withColumn(c_text, own).join(F.broadcast(maps) if few(maps, 50_000) else maps, c_text, "left").drop(c_text)
+
+
 def replaced(docs: DataFrame, text: str = "text", *, key: str) -> DataFrame:
     """docs with text rewritten, n_entities (matches in the text) and n_distinct; columns of docs so named give way.
 
@@ -232,26 +253,34 @@ def replaced(docs: DataFrame, text: str = "text", *, key: str) -> DataFrame:
     """
     if not key:
         raise ValueError("surrogates need a key")
-    c_found, c_text, c_rounds = unused(docs, "found", "text_hash", "rounds")
+    c_found, c_text, c_rounds, c_genders = unused(docs, "found", "text_hash", "rounds", "genders")
     rows = docs.drop("n_entities", "n_distinct").withColumn(c_found, found(F.col(text)))
-    parts = F.flatten(F.transform(c_found, entities))
-    only = rows.where(F.size(c_found) > 0)
-    each = only.select(F.explode(F.array_distinct(parts)).alias("e")).select("e.*").distinct()
-    again = settled(redrawn(each, key), "redrawn")
+    told = lambda genders: F.array_distinct(F.flatten(F.transform(c_found, lambda m: entities(m, genders))))
+    each = settled(rows.where(F.size(c_found) > 0).select(F.explode(told(None)).alias("e")).select("e.*").distinct(), "entities")
+    # Titles decide, where they agree; only names whose gender that changes are looked up.
+    titles = each.where(F.col("type").startswith("given-") & F.col("title").isNotNull()).groupBy("value").agg(F.collect_set("title").alias("g"))
+    turned = settled(titles.where((F.size("g") == 1) & (F.get("g", F.lit(0)) != _chance(F.col("value")))).select("value", F.get("g", F.lit(0)).alias("gender")), "genders")
+    some = bool(turned.take(1))
+    if some:
+        names = turned.withColumnRenamed("value", "_name")
+        each = each.join(F.broadcast(names) if few(names) else names, F.col("type").startswith("given-") & (F.col("value") == F.col("_name")), "left")
+        each = each.withColumn("type", F.when(F.col("gender").isNotNull(), F.concat(F.lit("given-"), "gender")).otherwise(F.col("type")))
+        rows = _with_map(rows, told(None), F.col("e.value"), turned, "value", "gender", text, c_found, c_text, c_genders)
+    else:
+        rows = rows.withColumn(c_genders, F.lit(None).cast("map<string,string>"))
+    genders = F.col(c_genders)
+    again = settled(redrawn(each.select("type", "value").distinct(), key), "redrawn")
     if again.take(1):
-        # Few texts hold such an entity: their rounds are gathered by text and joined back.
-        hit = only.select(F.xxhash64(text).alias(c_text), F.explode(F.array_distinct(parts)).alias("e")).select(c_text, _id(F.col("e.type"), F.col("e.value")).alias("id")).distinct()
-        rounds = settled(hit.join(F.broadcast(again) if few(again) else again, "id").groupBy(c_text).agg(F.map_from_entries(F.collect_set(F.struct("id", "round"))).alias(c_rounds)), "rounds")
-        rows = rows.withColumn(c_text, F.when(F.size(c_found) > 0, F.xxhash64(text)).otherwise(F.monotonically_increasing_id())).join(F.broadcast(rounds) if few(rounds, 50_000) else rounds, c_text, "left").drop(c_text)
+        rows = _with_map(rows, told(genders), _id(F.col("e.type"), F.col("e.value")), again, "id", "round", text, c_found, c_text, c_rounds)
     else:
         rows = rows.withColumn(c_rounds, F.lit(None).cast("map<string,int>"))
 
     def new(match: Column) -> Column:
-        own = F.transform(entities(match), lambda e: surrogate(e["type"], e["value"], F.coalesce(F.try_element_at(F.col(c_rounds), _id(e["type"], e["value"])), F.lit(0)), key))
+        own = F.transform(entities(match, genders), lambda e: surrogate(e["type"], e["value"], F.coalesce(F.try_element_at(F.col(c_rounds), _id(e["type"], e["value"])), F.lit(0)), key))
         title = F.regexp_extract(match, rf"^((?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.?\x20)", 1)
         return F.concat(F.when(_type(match) == "person", title).otherwise(""), F.array_join(own, " "))
 
     between = F.split(text, PATTERN, -1)
     pieces = F.zip_with(between, F.transform(c_found, new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     rewritten = F.when(F.size(c_found) > 0, F.array_join(pieces, "")).otherwise(F.col(text))
-    return rows.withColumns({"n_entities": F.size(c_found), "n_distinct": F.size(F.array_distinct(c_found)), text: rewritten}).drop(c_found, c_rounds)
+    return rows.withColumns({"n_entities": F.size(c_found), "n_distinct": F.size(F.array_distinct(c_found)), text: rewritten}).drop(c_found, c_rounds, c_genders)
