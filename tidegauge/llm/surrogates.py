@@ -248,8 +248,8 @@ def replaced(docs: DataFrame, text: str = "text", *, key: str) -> DataFrame:
     Null texts stay null, with no match. Texts are taken whole; repeated rows are rewritten alike. Surrogates hang on the
     key, on the entity, and, for the few that had to be drawn anew, on the other entities of docs; of entities that draw one
     surrogate, the smaller value keeps it. Whoever has the key can tell which surrogate an entity gets, so it has no default;
-    an empty one raises. Of a secret, and of a local part, no character stays in its place: those of scripts without stand-ins
-    become small letters, signs of secrets other signs. An empty table gives an empty result.
+    an empty one raises. Of a secret no character stays in its place, of a local part none but the separators (_KEPT): those of
+    scripts without stand-ins become small letters, signs other signs. An empty table gives an empty result.
     """
     if not key:
         raise ValueError("surrogates need a key")
