@@ -60,3 +60,25 @@ def test_given_targets(spark):
     out = M.mixed(docs, targets=targets).toPandas()
     assert not out[(out.source == "c") & out.sampled].size and out[out.source == "b"].sampled.sum() > 1.5 * out[out.source == "a"].sampled.sum()
     assert out.cell.tolist() == out.doc_id.tolist()
+
+
+def test_sums_by_the_driver_and_by_joins_are_one(spark, monkeypatch):
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens double")
+    fit = lambda: {(r.source, r.lang, r.topic): r.weight for r in M.raked(cells, temper=0.5).collect()}
+    want = fit()
+    monkeypatch.setattr(M, "SMALL", 0)
+    assert fit() == pytest.approx(want, rel=1e-12)
+
+
+def test_budget_repeats_scarce_sources(spark):
+    """Half the tokens of a source of 20 texts, half of one of 19,980: probability alone would sample some 40."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), F.when(F.col("id") < 20, "scarce").otherwise("rich").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("repeats"))
+    targets = {"source": spark.createDataFrame([("scarce", 0.5), ("rich", 0.5)], "value string, share double")}
+    got = M.mixed(docs, targets=targets, budget=40_000).where("sampled")
+    by = {r.source: r.n for r in got.groupBy("source").agg((F.sum("repeats") * 4).alias("n")).collect()}
+    assert by["scarce"] == pytest.approx(20_000, rel=0.01) and by["rich"] == pytest.approx(20_000, rel=0.05)
+    rows = M.repeated(got)
+    assert rows.count() * 4 == sum(by.values()) and rows.groupBy("doc_id", "repeat").count().where("count > 1").count() == 0
+    assert rows.agg(F.min("repeat")).first()[0] == 1
+    assert M.mixed(docs.withColumn("text", F.lit(None).cast("string")), budget=10).where("sampled").count() == 0
+    assert M.repeated(M.mixed(docs.limit(0), budget=10)).count() == 0
