@@ -334,6 +334,11 @@ def test_more_models(spark, tmp_path):
     made = C.Detector("logistic", ["a", "b"]).fit(df, "target")
     C.save(made, str(tmp_path / "m"))
     assert C.accuracy(C.load(spark, str(tmp_path / "m")).transform(df)) == C.accuracy(made.transform(df))
+    machine = C.Detector("svm_linear", ["a", "b"], calibrated=True, maxIter=8).fit(df.withColumn("ts", F.timestamp_seconds(F.pmod(F.xxhash64("a"), F.lit(100_000))).cast("timestamp_ntz")), "target")
+    C.save(machine, str(tmp_path / "svm"))
+    again = C.load(spark, str(tmp_path / "svm"))
+    assert again.params() == machine.params() and again.calibrated
+    assert again.transform(df, "l").select("l", "l_p").exceptAll(machine.transform(df, "l").select("l", "l_p")).count() == 0
     assert C.best_k(df, ["a", "b"], (2, 3, 4)) == 3 and C.best_k(df, ["a", "b"], (2, 3), "calinski", 0.05) == 3
     far = df.unionByName(df.limit(1).withColumns({"a": F.lit(60.0), "b": F.lit(-60.0)}))
     top = C.isolation_scores(far, ["a", "b"], 50).orderBy(F.desc("isolation")).first()

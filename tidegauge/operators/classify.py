@@ -20,6 +20,8 @@ from . import clean, metrics
 from . import regimes as G
 
 X, Y = "_x", "_y"
+#: The share of rows, earliest first, that a calibrated machine's first fit learns from; it is calibrated by the rest.
+CALIBRATE_FROM = 0.8
 
 
 def assembled(df: DataFrame, features: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
@@ -135,10 +137,24 @@ class Detector:
         data = self._vector(df).select(X, F.col(target).cast("double").alias(Y)).where(F.col(Y).isNotNull())
         self.model = classifier(self.name, self.seed, **self.options).fit(data)
         if self.calibrated and self.name.startswith("svm"):
-            told = self.model.transform(data).select(F.col("rawPrediction").alias(X), Y)
+            told = self._told(df, target, data)
             self.platt = LogisticRegression(featuresCol=X, labelCol=Y, regParam=0.01, maxIter=20).fit(told)
         return self
 
+    def _told(self, df: DataFrame, target: str, data: DataFrame) -> DataFrame:
+        """Margins to calibrate by: those that a machine which learned from the first CALIBRATE_FROM of time gives to the rest.
+
+        Where rows have no ts, or either part lacks a class, those of the learned rows themselves.
+        """
+        if "ts" in df.columns:
+            (cut,) = _cuts(df, [CALIBRATE_FROM])
+            both = self._vector(df).select(X, F.col(target).cast("double").alias(Y), (_micros("ts") < cut).alias("early")).where(F.col(Y).isNotNull())
+            all_, early, late = both.agg(F.count_distinct(Y), F.count_distinct(F.when(F.col("early"), F.col(Y))), F.count_distinct(F.when(~F.col("early"), F.col(Y)))).first()
+            if all_ == early == late:
+                first = classifier(self.name, self.seed, **self.options).fit(both.where("early").select(X, Y))
+                return first.transform(both.where(~F.col("early"))).select(F.col("rawPrediction").alias(X), Y)
+        return self.model.transform(data).select(F.col("rawPrediction").alias(X), Y)
+
     def transform(self, df: DataFrame, out: str = G.LABEL) -> DataFrame:
         """df's rows without nulls, with the label and, where the classifier tells them, {out}_p (probabilities) or {out}_margins (a class's margin each, of support vector machines)."""
         done = self.model.transform(self._vector(df)).withColumn(out, F.col("prediction").cast("int"))
@@ -228,14 +244,27 @@ def diversity(df: DataFrame, votes: str = "votes") -> DataFrame:
     return df.agg(F.avg(G.modal_share(votes)).alias("agreement"), F.avg(1 - (same - n) / (n * (n - 1))).alias("diversity"))
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def _cuts(df: DataFrame, shares: list[float]) -> list[int]:
+    """The times, in microseconds, before which these shares of rows lie."""
+    return [int(v) for v in df.agg(F.percentile(_micros("ts"), F.array(*map(F.lit, shares)))).first()[0]]
+
+
 def stacked(df: DataFrame, members: list[Detector], target: str, folds: int = 5, out: str = G.LABEL) -> DataFrame:
-    """A logistic regression over members' labels, which learned from labels that members gave to folds they hadn't seen."""
-    fold = F.pmod(F.xxhash64("ts"), F.lit(folds))
+    """A logistic regression over members' labels, which learned from labels that members gave to stretches of time after those they had seen.
+
+    Time is cut into folds + 1 parts of equally many rows; of each but the first, members learned from what lies before it.
+    """
+    cuts = [*_cuts(df, [(f + 1) / (folds + 1) for f in range(folds)]), None]
     unseen = None
-    for f in range(folds):
-        part = df.where(fold == f)
+    for start, end in zip(cuts, cuts[1:]):
+        before, part = df.where(_micros("ts") < start), df.where(_micros("ts") >= start)
+        part = part if end is None else part.where(_micros("ts") < end)
         for i, m in enumerate(members):
-            part = m.copy().fit(df.where(fold != f), target).transform(part, f"_m{i}")
+            part = m.copy().fit(before, target).transform(part, f"_m{i}")
         part = part.select(*[f"_m{i}" for i in range(len(members))], F.col(target).cast("double").alias(Y))
         unseen = part if unseen is None else unseen.unionByName(part)
     k = members[0].k
@@ -307,17 +336,21 @@ def tuned(df: DataFrame, name: str, features: list[str], target: str, grid: dict
 def save(detector: Detector, path: str) -> None:
     """The model under path/model by Spark's writer, what else the detector needs as a one-row table beside it."""
     detector.model.write().overwrite().save(f"{path}/model")
-    told = {"name": detector.name, "features": detector.features, "k": detector.k, "seed": detector.seed, "scaler": detector.scaler, "class": type(detector.model).__name__}
+    told = {"name": detector.name, "features": detector.features, "k": detector.k, "seed": detector.seed, "scaler": detector.scaler, "class": type(detector.model).__name__, "calibrated": detector.calibrated, "options": detector.options, "platt": getattr(detector, "platt", None) is not None}
+    if told["platt"]:
+        detector.platt.write().overwrite().save(f"{path}/platt")
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode("overwrite").parquet(f"{path}/detector")
 
 
 def load(spark: SparkSession, path: str) -> Detector:
     told = json.loads(spark.read.parquet(f"{path}/detector").first().told)
-    out = Detector(told["name"], told["features"], told["k"], told["seed"])
+    out = Detector(told["name"], told["features"], told["k"], told["seed"], calibrated=told.get("calibrated", False), **told.get("options", {}))
     out.scaler = {c: tuple(v) for c, v in told["scaler"].items()}
     kinds = {c.__name__: c for c in (RandomForestClassificationModel, OneVsRestModel, LogisticRegressionModel)}
     out.model = kinds[told["class"]].load(f"{path}/model")
+    if told.get("platt"):
+        out.platt = LogisticRegressionModel.load(f"{path}/platt")
     return out
 
 

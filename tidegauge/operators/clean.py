@@ -60,7 +60,8 @@ def handle_missing(df: DataFrame, columns: list[str], strategy: str = "interpola
 def knn_imputed(df: DataFrame, columns: list[str], k: int = 5, block: int = 1000) -> DataFrame:
     """Nulls by the mean of the k complete rows of the series that are nearest in the columns present, by rescaled Euclidean distance; of equal distances the smaller values.
 
-    An incomplete row meets blocks of its series' complete rows and keeps the k nearest of each, so no pair becomes a row.
+    An incomplete row meets blocks of its series' complete rows, each block in a group of its own, and keeps the k nearest of
+    each, so no pair becomes a row and no task holds a series.
     """
     df = df.withColumn("_id", F.monotonically_increasing_id())
     whole = F.lit(True)
@@ -77,7 +78,9 @@ def knn_imputed(df: DataFrame, columns: list[str], k: int = 5, block: int = 1000
         return F.coalesce(F.try_divide(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) * len(columns), present), F.lit(float("inf")))
 
     nearest = lambda rows: F.slice(F.array_sort(rows), 1, k)
-    met = gaps.join(blocks, list(KEYS)).select("_id", nearest(F.transform("_rows", lambda r: F.struct(far(r).alias("far"), r.alias("row")))).alias("_near"))
+    n_blocks = blocks.groupBy(*KEYS).agg(F.max("_b").alias("_last"))
+    dealt = gaps.join(n_blocks, list(KEYS)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    met = dealt.join(blocks, [*KEYS, "_b"]).select("_id", nearest(F.transform("_rows", lambda r: F.struct(far(r).alias("far"), r.alias("row")))).alias("_near"))
     best = met.groupBy("_id").agg(nearest(F.flatten(F.collect_list("_near"))).alias("_near"))
     mean = lambda i: F.aggregate("_near", F.lit(0.0), lambda s, r: s + F.get(r["row"], F.lit(i))) / F.size("_near")
     filled = best.select("_id", *[mean(i).alias(f"_d_{c}") for i, c in enumerate(columns)])

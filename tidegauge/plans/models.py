@@ -12,7 +12,7 @@ from tidegauge.operators import regimes as G
 from tidegauge.session import scratch
 from tidegauge.sources import bars as B
 
-from .sql import EVENTS, RETURNS, SERIES, frame, with_
+from .sql import EVENTS, RETURNS, SERIES, frame, roll, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +90,34 @@ def switching_regimes(spark: SparkSession, d: str) -> DataFrame:
     return garch.switching(df).select("symbol", "ts", "regime")
 
 
+_LOG = f"r AS (SELECT *, ln(close / nullif(lag(close) OVER s, 0)) AS returns FROM bars WINDOW s AS ({SERIES}))"
+_CONSISTENT = with_(EVENTS, _LOG, f"v AS (SELECT *, {roll('stddev_samp({})', 'returns', 10)} AS vol FROM r)") + "SELECT symbol, ts, true AS likeliest, true AS sums_to_one FROM v WHERE returns IS NOT NULL AND vol IS NOT NULL AND volume > 0"
+
+
+def consistent(df: DataFrame, p: str, label: str = G.LABEL) -> DataFrame:
+    """symbol, ts, whether the label is the likeliest by p, and whether p sums to one."""
+    total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    return df.select("symbol", "ts", (F.try_element_at(p, F.col(label) + 1) == F.array_max(p)).alias("likeliest"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+@query(_CONSISTENT)
+def gmm_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """What no fit may break: every bar has a label, its likeliest regime, and probabilities."""
+    return consistent(C.mixture(prepared(spark, d), FEATURES), "p")
+
+
+@query(_CONSISTENT)
+def forest_consistent(spark: SparkSession, d: str) -> DataFrame:
+    df = prepared(spark, d)
+    return consistent(C.Detector("random_forest", FEATURES).fit(df).transform(df), "regime_p")
+
+
+@query(_CONSISTENT)
+def logistic_consistent(spark: SparkSession, d: str) -> DataFrame:
+    df = prepared(spark, d)
+    return consistent(C.Detector("logistic", FEATURES).fit(df).transform(df), "regime_p")
+
+
 for _name in C.CLASSIFIERS:
 
     def _classified(spark: SparkSession, d: str, name=_name) -> DataFrame:
