@@ -166,9 +166,31 @@ def test_similar_against_all_pairs(spark):
         assert c <= i
     assert all(len(x) == 1 for x in groups.values())
     assert len(groups) - len(set(want)) <= 0.1 * (len(texts) - len(set(want)))
-    a, b = ({(r.digest, r.component) for r in N.similar_groups(docs, block=k).collect()} for k in (400, 3))
+    a, b, apart = ({(r.digest, r.component) for r in N.similar_groups(docs, block=k, whole=w).collect()} for k, w in ((400, 2000), (3, 2000), (1, 1)))
     pairs = lambda found: {frozenset(d for d, c in found if c == x) for _, x in found}
     assert pairs(a) == pairs(b)
+    # Compared by what shards brought together, groups are parts of those before, and over nine tenths are still found.
+    assert all(any(x <= y for y in pairs(a)) for x in pairs(apart))
+    assert len(pairs(apart)) - len(set(want)) <= 0.1 * (len(texts) - len(set(want)))
+
+
+def test_chains_are_taken_apart(spark):
+    """Ends of a star still meet, groups of the same nodes meet once, and what costs less as one, or is small, stays one."""
+    chain = [(k, k, k + 1) for k in range(11)] + [(50, 0, 1), (51, 3, 5), (51, 4, 5)]
+    dense = [(k, 20 + a, 20) for k in range(9) for a in range(1, 4 + k % 2)]
+    small = [(0, 31, 30)]
+    texts = [(n, 0 if n < 20 else 20 if n < 30 else 30, f"d{n}-{k}", n) for n in [*range(12), *range(20, 25), 30, 31] for k in range(5 if n == 7 else 1)]
+    touched = spark.createDataFrame(texts, "node long, comp long, _d string, _id long").withColumn("meets", F.expr("array(struct(comp, -1 AS pieces))"))
+    stars = spark.createDataFrame(chain + dense + small, "shard long, node long, to long")
+    rows = N._apart(touched, stars, 2, 2).collect()
+    assert sorted((r.node, r._d) for r in rows) == sorted((n, d) for n, _, d, _ in texts)
+    met = {r._d: {w.comp: w.pieces for w in r.meets} for r in rows}
+    at = lambda n: met[f"d{n}-0"]
+    for k in range(11):
+        assert set(at(k)) & set(at(k + 1))
+    assert set(at(3)) & set(at(4)) & set(at(5)) and len(set(at(0)) & set(at(1))) == 1 and not set(at(0)) & set(at(2))
+    assert all(met[f"d7-{k}"] == at(7) and set(at(7).values()) == {3} for k in range(5))
+    assert all(at(n) == {20: -1} for n in range(20, 25)) and at(30) == at(31) == {30: -1}
 
 
 def test_one_row_of_each_group_stays(spark):

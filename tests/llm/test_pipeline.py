@@ -129,7 +129,7 @@ def test_run_equals_its_stages(spark, sf):
 
 
 def test_queries_and_their_columns():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
 

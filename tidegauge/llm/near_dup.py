@@ -9,7 +9,9 @@ bounded size. Stars of all shards are joined to components by alternating large
 
 near_duplicates() links fingerprints; its shards are those of the pigeonhole principle, which lose no link. similar_groups()
 links texts by the shared part of their shingles: a wide search by sampled bits of two fingerprints finds groups that may
-hold links, and inside these groups, block by block, shingles themselves are compared.
+hold links, and inside these groups, block by block, shingles themselves are compared. A wide group so large that most of
+its texts are only chained together is taken apart into what shards brought together, so that a corpus whose wide groups
+grow into one costs what its shards hold, not the square of its texts.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ SHARD_ROWS = 200_000
 SIMILAR_SHINGLE, SIMILARITY, WIDE, WIDE_BOTH, AT_WIDE = 5, 0.8, 13, 30, 0.4
 #: Texts whose shingles are compared by one task at once: two blocks of this size.
 BLOCK_TEXTS = 200
+#: Texts of a wide group beyond which its texts meet shard by shard instead, where that compares less.
+WHOLE_TEXTS = 2000
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -276,7 +280,8 @@ def _edges(rows: DataFrame, masks: list[int], radius: int, both: int = 0, limit:
         own = large.join(F.broadcast(n) if few(n) else n, ["shard", "key"]).withColumn("piece", F.pmod(F.xxhash64("fp", "other"), F.col("pieces")).cast("int"))
         pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to_piece")).select("shard", "key", F.least("piece", "to_piece").alias("i"), F.greatest("piece", "to_piece").alias("j"), "fp", "other")
         split = pairs.repartition("shard", "key", "i", "j").sortWithinPartitions("shard", "key", "i", "j", "fp", "other")
-        found = found.unionByName(split.mapInArrow(lambda b: _stars(b, radius, both, None), f"shard bigint, key bigint, i bigint, j bigint, {kinds}").drop("i", "j"))
+        pieces = split.mapInArrow(lambda b: _stars(b, radius, both, None), f"shard bigint, key bigint, i bigint, j bigint, {kinds}")
+        found = found.unionByName(settled(pieces.drop("i", "j"), "piece-stars", NUMBERS_AT_ONCE))
     return found.where("to IS NOT NULL").drop("key")
 
 
@@ -423,15 +428,16 @@ def digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, both: int = WIDE_BOTH, found: float = AT_WIDE, block: int = BLOCK_TEXTS) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, both: int = WIDE_BOTH, found: float = AT_WIDE, block: int = BLOCK_TEXTS, whole: int = WHOLE_TEXTS) -> DataFrame:
     """digest, component (a digest), doc_id and first: a row for each distinct text of docs, with its group's smallest doc_id and that row's digest.
 
     Texts link if their sets of shingles share `similarity` of their union. A text of fewer words than a shingle is one
     shingle, one without words links to its likes only. Links are sought between texts of which one fingerprint differs in
     radius bits at most, both together in `both`, and that agree under one of the sampled masks, whose length grows slowly
-    with the number of texts. Groups of such texts, of any size, are then compared block by block by their shingles, so
-    what links is exact, and what is lost is what the search does not bring together. docs is read twice: for fingerprints,
-    and for the shingles of candidates.
+    with the number of texts. Groups of such texts are then compared block by block by their shingles, so what links is
+    exact, and what is lost is what the search does not bring together. A group of more than `whole` texts is compared by
+    its shards' own groups, which hold every pair that a mask brought together, where these have less to compare than the
+    group as one. docs is read twice: for fingerprints, and for the shingles of candidates.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), _fingerprints(F.col(text), shingle).alias("m")).select("doc_id", "digest", "m.*")
     rows = settled(rows, "fingerprints", TEXTS_AT_ONCE)
@@ -447,14 +453,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     node = lambda a, b: F.xxhash64(a, b)
     ends = [F.when(swapped, node(y, x)).otherwise(node(x, y)) for x, y in (("fp", "other"), ("to", "to_other"))]
     wide = components(stars.select(ends[0].alias("a"), ends[1].alias("b")))
-    placed = texts.select("digest", "smallest.doc_id", node("fp", "fp2").alias("node")).join(wide, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("comp"))
+    placed = texts.select("digest", "smallest.doc_id", node("fp", "fp2").alias("node")).join(wide, "node", "left").select("digest", "doc_id", "node", F.coalesce("component", "node").alias("comp"))
     n = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    touched = settled(lookup(placed, n, "comp", "n", F.xxhash64("digest"), texts.count()).where("pieces IS NOT NULL").select("comp", "pieces", F.col("digest").alias("_d"), F.col("doc_id").alias("_id")), "touched")
-    sets = _meeting(docs.select(digest(F.col(text)).alias("digest"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), touched, "inner")
-    sets = sets.select("digest", "comp", "pieces", F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int").alias("piece"), _shingle_sets(F.col("text"), shingle).alias("set"))
+    touched = lookup(placed, n, "comp", "n", F.xxhash64("digest"), texts.count()).where("pieces IS NOT NULL")
+    touched = settled(touched.select("node", "comp", F.array(F.struct("comp", "pieces")).alias("meets"), F.col("digest").alias("_d"), F.col("doc_id").alias("_id")), "touched")
+    if n.where(F.col("n") > whole).take(1):
+        touched = settled(_apart(touched, stars.select("shard", ends[0].alias("node"), ends[1].alias("to")), block, whole), "apart")
+    sets = _meeting(docs.select(digest(F.col(text)).alias("digest"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), touched.select("meets", "_d", "_id"), "inner")
+    sets = sets.select("digest", "meets", _shingle_sets(F.col("text"), shingle).alias("set"))
     if _repeated(rows).take(1):
         sets = sets.dropDuplicates(["digest"])
-    pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to")).select("comp", F.least("piece", "to").alias("i"), F.greatest("piece", "to").alias("j"), "piece", "digest", "set")
+    own = sets.select("digest", "set", F.explode("meets").alias("w")).select("digest", "set", "w.*").withColumn("piece", F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int"))
+    pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to")).select("comp", F.least("piece", "to").alias("i"), F.greatest("piece", "to").alias("j"), "piece", "digest", "set")
     links = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lambda b: _links(b, similarity), "a string, b string")
     comps = components(settled(links, "links", TEXTS_AT_ONCE))
     named = texts.select("digest", "smallest").join(comps, F.col("digest") == F.col("node"), "left")
@@ -463,6 +473,27 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return lookup(named.select("digest", "component"), firsts, "component", "n", F.col("digest"), named.count()).select("digest", "component", "s.doc_id", F.col("s.digest").alias("first"))
 
 
+def _apart(touched: DataFrame, stars: DataFrame, block: int, whole: int) -> DataFrame:
+    """touched (node, comp, meets, ...) where texts of components of over `whole` texts meet in the groups of stars (shard, node, to), if these have less to compare than the component.
+
+    A component costs a row for each of its texts and blocks. Groups of the same nodes, found by several masks, count and
+    meet once. A node meets in one group a shard, or one for each pair of pieces of a large shard.
+    """
+    cost = lambda n: n * F.ceil(n / F.lit(block))
+    nodes = touched.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("texts"))
+    sized = nodes.groupBy("comp").agg(F.sum("texts").alias("n")).where(F.col("n") > whole).select("comp", cost(F.col("n")).alias("together"))
+    nodes = settled(nodes.join(F.broadcast(sized) if few(sized) else sized, "comp"), "large-nodes")
+    members = stars.select(F.xxhash64("shard", "to").alias("group"), F.explode(F.array("node", "to")).alias("node")).distinct()
+    members = settled(members.join(nodes, "node"), "members")
+    groups = members.groupBy("comp", "together", "group").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("of"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    groups = settled(groups.groupBy("comp", "together", "n", "of", "all").agg(F.min("group").alias("group")), "groups-apart")
+    less = groups.groupBy("comp", "together").agg(F.sum(cost(F.col("n"))).alias("apart")).where("apart < together").select("comp")
+    groups = groups.join(F.broadcast(less) if few(less) else less, "comp").select("group", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("pieces"))
+    met = members.select("group", "node", "texts").join(groups, "group").groupBy("node").agg(F.max("texts").alias("texts"), F.collect_list(F.struct(F.col("group").alias("comp"), "pieces")).alias("groups"))
+    rows = lookup(touched, met, "node", "texts", F.xxhash64("_d"), touched.count())
+    return rows.withColumn("meets", F.coalesce("groups", "meets")).drop("groups")
+
+
 def _meeting(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """rows (digest, doc_id, ...) joined with table (_d, _id, ...) by both, null ids being alike; broadcast where the table is small. The pair spreads copies of a text over tasks."""
     on = (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id"))
