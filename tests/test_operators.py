@@ -132,6 +132,25 @@ def test_store(spark, bars, tmp_path):
     assert store.aggregated("s", "D", "W").agg(F.sum("volume")).first()[0] == pytest.approx(bars.agg(F.sum("volume")).first()[0])
 
 
+def test_store_rewrites_months(spark, bars, tmp_path):
+    store = BarStore(spark, str(tmp_path / "bars"))
+    store.write(bars)
+    files = lambda: {m.name: sorted(f.name for f in m.glob("*.parquet")) for m in (tmp_path / "bars").glob("*/*/month=*")}
+    before, late = files(), T0 + dt.timedelta(days=40)
+    assert len(before) > 3
+    store.write(bars.where(F.col("ts") == F.lit(late)).withColumn("close", F.lit(2.5)))
+    after, month = files(), f"month={100 * late.year + late.month}"
+    assert set(after) == set(before) and {m for m in after if after[m] != before[m]} == {month}
+    assert store.read("s", "D").count() == 100 and store.read().where("close = 2.5").select("ts").first()[0] == late
+    part = store.read("s", "D", late, late + dt.timedelta(days=3))
+    assert sorted(r.ts for r in part.collect()) == [late + dt.timedelta(days=k) for k in range(3)]
+    assert "month" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    lost = bars.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    store.write(lost.withColumn("symbol", F.lit("u")))
+    store.write(lost.withColumns({"symbol": F.lit("u"), "volume": F.lit(9.0)}))
+    assert store.read("u").count() == 1 and store.read().count() == 101
+
+
 def test_imputation(spark):
     df = spark.createDataFrame([("s", "D", T0 + dt.timedelta(days=i), x, y) for i, (x, y) in enumerate([(None, 1.0), (1.0, 2.0), (None, 3.0), (None, 4.0), (4.0, 5.0), (None, 6.0)])], "symbol string, timeframe string, ts timestamp_ntz, x double, y double")
     close_to(values(clean.interpolated(df, ["x"]), "x"), [1, 1, 2, 3, 4, 4])
