@@ -137,6 +137,21 @@ def test_global_statistics_leave_no_window(spark):
     assert clean.scaled(df.limit(0), ["x"], "robust").count() == 0
 
 
+def test_members_share_their_clusters(spark, sf, monkeypatch):
+    df = models.prepared(spark, sf)
+    runs, clustered = [], classify.clustered
+    monkeypatch.setattr(classify, "clustered", lambda *a: runs.append(a[2:4]) or clustered(*a))
+    made = lambda: [classify.Detector("logistic", models.FEATURES, seed=s, maxIter=5) for s in (42, 42, 7)]
+    shared = classify.fitted(df, made())
+    assert [r[1] for r in runs] == [42, 7]
+    alone = made()[0].fit(df)
+    said = lambda d: {(r.symbol, r.ts): r.regime for r in d.transform(df).select("symbol", "ts", "regime").collect()}
+    a, b, c = said(shared[0]), said(shared[1]), said(alone)
+    assert a == b and a.keys() == c.keys() and sum(a[x] == c[x] for x in a) >= 0.99 * len(a)
+    told = classify.fitted(df.withColumn("t", (F.col("vol") > 0.01).cast("int")), [classify.Detector("logistic", models.FEATURES, maxIter=5)], "t")
+    assert len(runs) == 3 and set(said(told[0]).values()) <= {0, 1}
+
+
 def test_machines_tell_margins_and_probabilities(spark, sf):
     df = models.prepared(spark, sf)
     d = classify.Detector("svm_linear", models.FEATURES, calibrated=True, maxIter=5).fit(df)

@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import settled
+
 from . import clean, metrics
 from . import regimes as G
 
@@ -199,6 +201,17 @@ def cross_validated(df: DataFrame, name: str, features: list[str], target: str,
     return out
 
 
+def fitted(df: DataFrame, members: list[Detector], target: str | None = None) -> list[Detector]:
+    """members, each fitted to df: to the target column, or to clusters, which members of equal features, k and seed share: they are found and written down once."""
+    made: dict[tuple, DataFrame] = {}
+    for m in members:
+        key = (tuple(m.features), m.k, m.seed)
+        if target is None and key not in made:
+            made[key] = settled(clustered(df.na.drop(subset=m.features), m.features, m.k, m.seed, "_target"), "clusters")
+        m.fit(df, target) if target else m.fit(made[key], "_target")
+    return members
+
+
 def voted(df: DataFrame, members: list[Detector], strategy: str = "voting", weights: list[float] | None = None, out: str = G.LABEL) -> DataFrame:
     """df with members' labels as votes, the ensemble's label, and agreement, the modal share.
 

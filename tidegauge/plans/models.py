@@ -130,14 +130,14 @@ for _name in C.CLASSIFIERS:
 @query()
 def ensemble_regimes(spark: SparkSession, d: str) -> DataFrame:
     df = prepared(spark, d)
-    members = [C.Detector(n, FEATURES).fit(df) for n in ("random_forest", "svm_linear", "logistic")]
+    members = C.fitted(df, [C.Detector(n, FEATURES) for n in ("random_forest", "svm_linear", "logistic")])
     return C.voted(df, members).select("symbol", "ts", "votes", "regime", "agreement")
 
 
 @query()
 def ensemble_bayesian(spark: SparkSession, d: str) -> DataFrame:
     df = prepared(spark, d)
-    members = [C.Detector(n, FEATURES).fit(df) for n in ("random_forest", "logistic")]
+    members = C.fitted(df, [C.Detector(n, FEATURES) for n in ("random_forest", "logistic")])
     return C.voted(df, members, "bayesian").select("symbol", "ts", "p", "regime")
 
 
