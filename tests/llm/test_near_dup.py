@@ -201,3 +201,53 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(False, 0, t[0]), (False, 1, t[1]), (True, 0, t[2]), (False, 7, "")])
     assert N.one_of_each(docs.limit(0)).count() == 0
+
+
+def close_texts():
+    """Pairs of texts that share just 0.8 of their shingles or just less, half of them with a passage that all those have; and copies of white space and of a few words."""
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    out = []
+    for k in range(160):
+        w = [word() for _ in range(random.randint(60, 120))] + passage * (k % 2)
+        # m words replaced well apart from each other take 5 m of n shingles: (n - 5 m) / (n + 5 m) is 0.8 at m = n / 45.
+        m = (len(w) - 4) // 45 + (k % 8 == 0)
+        other = list(w)
+        for place in random.sample(range(1, len(w) // 6), m):
+            other[6 * place] = word()
+        out += [" ".join(w), " ".join(other)]
+    return [*out, "one two", "ONE  two", None, " ", "one two three"]
+
+
+def test_no_link_is_left_out(spark, monkeypatch):
+    """All links of brute force at 0.8 are found, and no other, whatever shingles are held to be common and however little the wide search finds."""
+    texts = close_texts()
+    want = plain_similar(texts)
+    assert 100 < len(texts) - len(set(want)) < 160
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, texts[0]), (900, texts[0]), (901, texts[1])], "doc_id long, text string").repartition(3)
+    want = {i: c for i, c in enumerate(want)} | {900: want[0], 901: want[1]}
+    assert {r.doc_id: r.component_id for r in N.similar(docs).collect()} == want
+    for of, at_least in ((1, 2), (1, 100)):
+        monkeypatch.setattr(N, "COMMON_OF", of)
+        monkeypatch.setattr(N, "COMMON_IN", at_least)
+        groups = {r.digest: r.doc_id for r in N.similar_groups(docs, radius=1, both=1).collect()}
+        got = docs.select("doc_id", N.digest(F.col("text")).alias("d")).collect()
+        assert {r.doc_id: groups[r.d] for r in got} == want
+
+
+def test_first_shingles_hold_a_shared_one():
+    """Two sets that share 0.8 of their union have a first shingle in common, with any shingles held to be common."""
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        size = int(rng.integers(1, 60))
+        pool = rng.integers(-(2**63), 2**63, 2 * size)
+        a = pool[:size]
+        b = np.r_[a[int(rng.integers(0, size // 5 + 1)) :], pool[size : size + int(rng.integers(0, size // 5 + 1))]]
+        x, y = N._set(a.view(np.uint64).tolist()), N._set(b.view(np.uint64).tolist())
+        common = np.unique(rng.choice(pool, int(rng.integers(0, size + 1))))
+        rank = rng.permutation(len(common))
+        firsts = [N._firsts(s, common, rank, 0.8) for s in (x, y)]
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            assert len(np.intersect1d(*firsts))
+        assert len(firsts[0]) == len(x) - N._least(len(x), 0.8) + 1 and set(firsts[0].tolist()) <= set(x.tolist())

@@ -11,24 +11,25 @@ near_duplicates() links fingerprints; its shards are those of the pigeonhole pri
 links texts by the shared part of their shingles: a wide search by sampled bits of two fingerprints finds groups that may
 hold links, and inside these groups, block by block, shingles themselves are compared. A wide group so large that most of
 its texts are only chained together is taken apart into what shards brought together, so that a corpus whose wide groups
-grow into one costs what its shards hold, not the square of its texts.
+grow into one costs what its shards hold, not the square of its texts. What no mask brings together is then found by the
+first of each text's shingles, rare ones first: two texts that link share one of these, so no link is left out.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NUMBERS_AT_ONCE, TEXTS_AT_ONCE, checkpointed, few, forget, lookup, settled
+from .common import FEW, NUMBERS_AT_ONCE, TEXTS_AT_ONCE, checkpointed, few, forget, lookup, settled
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Blocks of a fingerprint; a shard's key has all but RADIUS of them.
@@ -43,6 +44,8 @@ SHARD_ROWS = 200_000
 SIMILAR_SHINGLE, SIMILARITY, WIDE, WIDE_BOTH, AT_WIDE = 5, 0.8, 13, 30, 0.4
 #: Texts whose shingles are compared by one task at once: two blocks of this size.
 BLOCK_TEXTS = 200
+#: A text in so many tells which shingles are common, those that so many of these texts hold; of them no more than COMMON, the most common ones, are set apart.
+COMMON_OF, COMMON_IN, COMMON = 16, 4, 20_000
 #: Texts of a wide group beyond which its texts meet shard by shard instead, where that compares less.
 WHOLE_TEXTS = 2000
 
@@ -72,8 +75,8 @@ def _mixed(h: np.ndarray, family: int) -> np.ndarray:
     return h
 
 
-def simhashes(texts: Iterable[list[bytes]], size_of: int, n: int = SHINGLE, families: int = 1) -> np.ndarray:
-    """For size_of texts, whose words come one text after the other: a row of signed 64-bit fingerprints, one a family, for each: a bit is 1 if over half of the text's shingles have it; 0 without words."""
+def simhashes(texts: Iterable[list[int]], size_of: int, families: int = 1) -> np.ndarray:
+    """For size_of texts, whose shingles' hashes come one text after the other: a row of signed 64-bit fingerprints, one a family, for each: a bit is 1 if over half of the text's shingles have it; 0 without words."""
     out = np.zeros((size_of, families), np.uint64)
     held: list[list[int]] = []
     at: list[int] = []
@@ -87,8 +90,8 @@ def simhashes(texts: Iterable[list[bytes]], size_of: int, n: int = SHINGLE, fami
             ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int64)
             out[at, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
-    for i, words in enumerate(texts):
-        if own := _hashes(words, n):
+    for i, own in enumerate(texts):
+        if own:
             held.append(own)
             at.append(i)
             size += len(own)
@@ -111,7 +114,7 @@ def fingerprint(text: Column, n: int = SHINGLE) -> Column:
     @F.pandas_udf("bigint")
     def hashed(x: pd.Series) -> pd.Series:
         forget()
-        return pd.Series(simhashes(_each(x), len(x), n)[:, 0])
+        return pd.Series(simhashes((_hashes(words, n) for words in _each(x)), len(x))[:, 0])
 
     return hashed(text.cast("binary"))
 
@@ -288,23 +291,31 @@ def _edges(rows: DataFrame, masks: list[int], radius: int, both: int = 0, limit:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for all nodes that edges name.
 
-    A node with many edges is a hot key of the joins by node, whose least neighbours lookup() therefore broadcasts.
+    Edges that are few are joined by windows, three shuffles a round; of more, a node with many edges would be a hot key,
+    whose least neighbours lookup() broadcasts.
     """
+
+    def told(now: DataFrame) -> tuple:
+        return tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state, size = None, now.count()
-    while True:
+    before, state = None, told(now)
+    while state != before:
+        size = state[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = lookup(both.where("b > a"), low, "a", "n", F.col("b"), 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        large = checkpointed(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = lookup(large, low, "a", "n", F.col("b"), size).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        if size <= FEW:
+            least = F.min("b").over(Window.partitionBy("a"))
+            large = both.select("a", "b", F.least("a", least).alias("m")).select(F.greatest("a", "b").alias("a"), F.col("m").alias("b"))
+            small = large.select("a", "b", least.alias("m"))
+        else:
+            low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+            large = lookup(both.where("b > a"), low, "a", "n", F.col("b"), 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+            large = checkpointed(large)
+            low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+            small = lookup(large, low, "a", "n", F.col("b"), size)
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = checkpointed(small)
-        told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        size = told[0]
-        if told == state:
-            break
-        state = told
+        before, state = state, told(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
@@ -338,13 +349,43 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _fingerprints(text: Column, n: int) -> Column:
-    """A struct of two fingerprints of a text by different hashes."""
+def _set(hashes: list[int]) -> np.ndarray:
+    """The distinct hashes, sorted; texts without words share one shingle of their own."""
+    return np.unique(np.array(hashes or [0], np.uint64)).view(np.int64)
+
+
+def _least(size: int, similarity: float) -> int:
+    """Shingles that a text of so many shares with any that links to it, at least."""
+    return max(1, math.ceil(similarity * size - 1e-6))
 
-    @F.pandas_udf("fp bigint, fp2 bigint")
+
+def _firsts(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a set the first shingles, as many as hold one of those that any linked text shares: all that aren't common come before the common ones (sorted, with their ranks)."""
+    n = len(own) - _least(len(own), similarity) + 1
+    at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+    often = common[at] == own if len(common) else np.zeros(len(own), bool)
+    rare = own[~often][:n]
+    return rare if len(rare) == n else np.r_[rare, own[often][np.argsort(rank[at[often]])][: n - len(rare)]]
+
+
+def _fingerprints(text: Column, n: int, similarity: float, common: np.ndarray) -> Column:
+    """A struct of two fingerprints of a text by different hashes, how many shingles it has, and the first of these. common: shingles from the rarest on."""
+    rank = np.argsort(common)
+    sorted_ = common[rank]
+
+    @F.pandas_udf("fp bigint, fp2 bigint, size int, firsts array<bigint>")
     def both(x: pd.Series) -> pd.DataFrame:
         forget()
-        return pd.DataFrame(simhashes(_each(x), len(x), n, 2), columns=["fp", "fp2"])
+        sets: list[np.ndarray] = []
+
+        def hashed() -> Iterator[list[int]]:
+            for words in _each(x):
+                hashes = _hashes(words, n)
+                sets.append(_set(hashes))
+                yield hashes
+
+        out = pd.DataFrame(simhashes(hashed(), len(x), 2), columns=["fp", "fp2"])
+        return out.assign(size=[len(own) for own in sets], firsts=[_firsts(own, sorted_, rank, similarity) for own in sets])
 
     return both(text.cast("binary"))
 
@@ -353,12 +394,19 @@ def _shingle_sets(text: Column, n: int) -> Column:
     @F.pandas_udf("array<bigint>")
     def sets(x: pd.Series) -> pd.Series:
         forget()
-        # Texts without words share one shingle of their own.
-        return pd.Series([np.unique(np.array(_hashes(words, n) or [0], np.uint64)).view(np.int64) for words in _each(x)])
+        return pd.Series([_set(_hashes(words, n)) for words in _each(x)])
 
     return sets(text.cast("binary"))
 
 
+def _common(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """Shingles that many texts hold, from the rarest on, told by the texts of one in COMMON_OF digests. They only set an order, so that any choice is right and the common ones bring fewer texts together."""
+    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(digest(F.col("text"))), F.lit(COMMON_OF)) == 0)
+    counts = some.select(F.explode(_shingle_sets(F.col("text"), n)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_IN)
+    most = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()  # COMMON pairs of numbers at most
+    return np.array([r.h for r in reversed(most)], np.int64)
+
+
 def _shared(first: list[np.ndarray], second: list[np.ndarray] | None, similarity: float) -> Iterator[tuple[int, int]]:
     """Places in the first list and in the second (within the first if there is none) of sets that share enough; of those that are linked within a list, only the first link is sought.
 
@@ -435,14 +483,15 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingle, one without words links to its likes only. Links are sought between texts of which one fingerprint differs in
     radius bits at most, both together in `both`, and that agree under one of the sampled masks, whose length grows slowly
     with the number of texts. Groups of such texts are then compared block by block by their shingles, so what links is
-    exact, and what is lost is what the search does not bring together. A group of more than `whole` texts is compared by
-    its shards' own groups, which hold every pair that a mask brought together, where these have less to compare than the
-    group as one. docs is read twice: for fingerprints, and for the shingles of candidates.
+    exact. A group of more than `whole` texts is compared by its shards' own groups, which hold every pair that a mask
+    brought together, where these have less to compare than the group as one. Links that the search does not bring together
+    are found by _missed(), so none is lost. docs is read four times: some of it for common shingles, then for fingerprints
+    and first shingles, and for the shingles of candidates of either search.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), _fingerprints(F.col(text), shingle).alias("m")).select("doc_id", "digest", "m.*")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), _fingerprints(F.col(text), shingle, similarity, _common(docs, text, shingle)).alias("m")).select("doc_id", "digest", "m.*")
     rows = settled(rows, "fingerprints", TEXTS_AT_ONCE)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id"))
-    texts = settled(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), smallest.alias("smallest")), "texts")
+    texts = settled(rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "size", "firsts")], smallest.alias("smallest")), "texts")
     prints = settled(texts.select("fp", "fp2").distinct(), "prints")
     masks = [_signed(m) for m in sampled_masks(min(40, 12 + int(math.log2(max(2, prints.count()))) // 4), radius, found)]
     # Even shards look at the first fingerprint, odd ones at the second.
@@ -459,16 +508,24 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     touched = settled(touched.select("node", "comp", F.array(F.struct("comp", "pieces")).alias("meets"), F.col("digest").alias("_d"), F.col("doc_id").alias("_id")), "touched")
     if n.where(F.col("n") > whole).take(1):
         touched = settled(_apart(touched, stars.select("shard", ends[0].alias("node"), ends[1].alias("to")), block, whole), "apart")
-    sets = _meeting(docs.select(digest(F.col(text)).alias("digest"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), touched.select("meets", "_d", "_id"), "inner")
-    sets = sets.select("digest", "meets", _shingle_sets(F.col("text"), shingle).alias("set"))
-    if _repeated(rows).take(1):
-        sets = sets.dropDuplicates(["digest"])
+    repeated = bool(_repeated(rows).take(1))
+
+    def sets_of(table: DataFrame, *names: str) -> DataFrame:
+        """digest, names and set of the texts of table (_d, _id, names), once each."""
+        sets = _meeting(docs.select(digest(F.col(text)).alias("digest"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), table.select(*names, "_d", "_id"), "inner")
+        sets = sets.select("digest", *names, _shingle_sets(F.col("text"), shingle).alias("set"))
+        return sets.dropDuplicates(["digest"]) if repeated else sets
+
+    sets = sets_of(touched, "meets")
     own = sets.select("digest", "set", F.explode("meets").alias("w")).select("digest", "set", "w.*").withColumn("piece", F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int"))
     pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("to")).select("comp", F.least("piece", "to").alias("i"), F.greatest("piece", "to").alias("j"), "piece", "digest", "set")
     links = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lambda b: _links(b, similarity), "a string, b string")
     comps = components(settled(links, "links", TEXTS_AT_ONCE))
     named = texts.select("digest", "smallest").join(comps, F.col("digest") == F.col("node"), "left")
     named = settled(named.select("digest", F.coalesce("component", "digest").alias("component"), F.struct("smallest.absent", "smallest.doc_id", "digest").alias("smallest")), "named")
+    if (missed := _missed(texts, named, sets_of, similarity)) is not None:
+        over = components(missed).select(F.col("node").alias("component"), F.col("component").alias("over"))
+        named = settled(named.join(F.broadcast(over) if few(over) else over, "component", "left").select("digest", F.coalesce("over", "component").alias("component"), "smallest"), "named")
     firsts = named.groupBy("component").agg(F.min("smallest").alias("s"), F.count(F.lit(1)).alias("n"))
     return lookup(named.select("digest", "component"), firsts, "component", "n", F.col("digest"), named.count()).select("digest", "component", "s.doc_id", F.col("s.digest").alias("first"))
 
@@ -494,6 +551,36 @@ def _apart(touched: DataFrame, stars: DataFrame, block: int, whole: int) -> Data
     return rows.withColumn("meets", F.coalesce("groups", "meets")).drop("groups")
 
 
+def _missed(texts: DataFrame, named: DataFrame, sets_of: Callable[..., DataFrame], similarity: float) -> DataFrame | None:
+    """Links (a, b) between components of named (digest, component, smallest) that hold texts (digest, size, firsts) which link; None if there are none.
+
+    Whatever the order of shingles, of two linked texts the first shingle that both have is among the firsts of each, and
+    behind it both have enough left to share. Pairs that have such a shingle and lie in different components are compared by
+    their whole sets, once each.
+    """
+    same_shingle = Window.partitionBy("h")
+    node = F.xxhash64("digest")
+    firsts = texts.select(node.alias("node"), "size", F.posexplode("firsts").alias("at", "h"))
+    firsts = firsts.withColumns({"low": F.min("node").over(same_shingle), "high": F.max("node").over(same_shingle)})
+    firsts = settled(firsts.where("low < high").drop("low", "high"), "firsts")
+    placed = settled(firsts.join(named.select(node.alias("node"), F.xxhash64("component").alias("comp")), "node"), "placed")
+    a, b = (placed.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "at", "comp")]) for x in "ab")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-6)
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    pairs = a.join(b, "h").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (left >= least))
+    pairs = settled(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    if not pairs.take(1):
+        return None
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = settled(named.withColumn("node", node).join(nodes, "node").select("node", "component", F.col("digest").alias("_d"), F.col("smallest.doc_id").alias("_id")), "asked")
+    sets = settled(sets_of(asked, "node", "component"), "sets", TEXTS_AT_ONCE)
+    a, b = (sets.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("set").alias(f"set_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    links = pairs.join(a, "a").join(b, "b").withColumn("shared", shared).where(F.col("shared") >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - F.col("shared")))
+    links = settled(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "missed")
+    return links if links.take(1) else None
+
+
 def _meeting(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """rows (digest, doc_id, ...) joined with table (_d, _id, ...) by both, null ids being alike; broadcast where the table is small. The pair spreads copies of a text over tasks."""
     on = (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id"))
