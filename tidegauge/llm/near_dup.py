@@ -45,7 +45,11 @@ SIMILAR_SHINGLE, SIMILARITY, WIDE, WIDE_BOTH, AT_WIDE = 5, 0.8, 13, 30, 0.4
 #: Texts whose shingles are compared by one task at once: two blocks of this size.
 BLOCK_TEXTS = 200
 #: A text in so many tells which shingles are common, those that so many of these texts hold; of them no more than COMMON, the most common ones, are set apart.
-COMMON_OF, COMMON_IN, COMMON = 16, 4, 20_000
+COMMON_OF, COMMON_IN, COMMON = 8, 3, 20_000
+#: First shingles beyond one that texts must share to be compared, where the firsts hold so many.
+SPARE = 4
+#: Files, at most, into which a round of components() over few edges is written.
+FEW_PARTS = 12
 #: Texts of a wide group beyond which its texts meet shard by shard instead, where that compares less.
 WHOLE_TEXTS = 2000
 
@@ -305,16 +309,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if size <= FEW:
             least = F.min("b").over(Window.partitionBy("a"))
-            large = both.select("a", "b", F.least("a", least).alias("m")).select(F.greatest("a", "b").alias("a"), F.col("m").alias("b"))
-            small = large.select("a", "b", least.alias("m"))
+            large = both.select("a", "b", F.least("a", least).alias("m")).where("b > a OR b = m").select(F.greatest("a", "b").alias("a"), F.col("m").alias("b"))
+            # Of a node's neighbours the least one takes the node, the others go to the least one.
+            small = large.select("a", "b", least.alias("m")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         else:
             low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
             large = lookup(both.where("b > a"), low, "a", "n", F.col("b"), 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
             large = checkpointed(large)
             low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-            small = lookup(large, low, "a", "n", F.col("b"), size)
-        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = checkpointed(small)
+            small = lookup(large, low, "a", "n", F.col("b"), size).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
+        now = checkpointed(small.distinct().coalesce(FEW_PARTS) if size <= FEW else small.distinct())
         before, state = state, told(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
@@ -554,9 +558,9 @@ def _apart(touched: DataFrame, stars: DataFrame, block: int, whole: int) -> Data
 def _missed(texts: DataFrame, named: DataFrame, sets_of: Callable[..., DataFrame], similarity: float) -> DataFrame | None:
     """Links (a, b) between components of named (digest, component, smallest) that hold texts (digest, size, firsts) which link; None if there are none.
 
-    Whatever the order of shingles, of two linked texts the first shingle that both have is among the firsts of each, and
-    behind it both have enough left to share. Pairs that have such a shingle and lie in different components are compared by
-    their whole sets, once each.
+    Whatever the order of shingles, two linked texts share `need` of them at least, and fewer than `behind` of these can
+    have fewer than `behind` shingles left in either text; so more than need - behind have more, and those are among the
+    firsts of both. Pairs that have so many and lie in different components are compared by their whole sets, once each.
     """
     same_shingle = Window.partitionBy("h")
     node = F.xxhash64("digest")
@@ -565,10 +569,13 @@ def _missed(texts: DataFrame, named: DataFrame, sets_of: Callable[..., DataFrame
     firsts = settled(firsts.where("low < high").drop("low", "high"), "firsts")
     placed = settled(firsts.join(named.select(node.alias("node"), F.xxhash64("component").alias("comp")), "node"), "placed")
     a, b = (placed.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "at", "comp")]) for x in "ab")
-    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-6)
+    at_least = lambda part, n: F.ceil(F.lit(part) * n - F.lit(1e-6))
+    need = at_least(similarity / (1 + similarity), F.col("size_a") + F.col("size_b"))
+    behind = F.greatest(need - SPARE, at_least(similarity, F.col("size_a")), at_least(similarity, F.col("size_b")))
     left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    pairs = a.join(b, "h").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (left >= least))
-    pairs = settled(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    met = a.join(b, "h").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (left >= behind))
+    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (need - behind).alias("most")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = settled(met.where("n > most").select("a", "b"), "pairs")
     if not pairs.take(1):
         return None
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
